@@ -21,6 +21,13 @@ TINY = "2.2250738585072014e-308"
 DEFAULT_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
 
 
+def r6(expr: str, digits: int = 6) -> str:
+    """Round half up through IEEE arithmetic, identical in Spark and DuckDB
+    (``round`` differs between them on half-way doubles)."""
+    scale = f"1{'0' * digits}.0"
+    return f"(floor(({expr}) * {scale} + 0.5) / {scale})"
+
+
 def _p(k: int) -> str:
     return f"(CAST(num_{k} AS DOUBLE) / den_{k})"
 
@@ -131,7 +138,7 @@ def bleu(
         body = f"(CASE WHEN {hyp_len} = 0 THEN NULL {cases} ELSE {body} END)"
     expr = f"(CASE WHEN num_1 = 0 THEN 0.0 ELSE {body} END)"
     if digits is not None:
-        expr = f"round({expr}, {digits})"
+        expr = r6(expr, digits)
     return expr
 
 

@@ -171,7 +171,7 @@ def brevity(pairs: DataFrame, ids: Sequence[str] = ("pair_id",), hyp: str = "hyp
     hl = F.size(F.col(hyp)).cast("bigint")
     rl = closest_ref_length(F.col(refs), F.size(F.col(hyp))).cast("bigint")
     return pairs.select(*ids, hl.alias("hyp_len"), rl.alias("ref_len")).select(
-        *ids, "hyp_len", "ref_len", F.expr(f"round({BF.brevity_penalty()}, 6)").alias("bp")
+        *ids, "hyp_len", "ref_len", F.expr(BF.r6(BF.brevity_penalty())).alias("bp")
     )
 
 
