@@ -14,7 +14,7 @@ method 6 without trigram matches) give NULL instead of raising.
 from __future__ import annotations
 
 # --- fixed values: smoothing constants and the tiny precision of method 0
-EPSILON = 0.1
+EPSILON = "1e-1"
 ALPHA = 5
 K = 5
 TINY = "2.2250738585072014e-308"
@@ -24,12 +24,12 @@ DEFAULT_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
 def r6(expr: str, digits: int = 6) -> str:
     """Round half up through IEEE arithmetic, identical in Spark and DuckDB
     (``round`` differs between them on half-way doubles)."""
-    scale = f"1{'0' * digits}.0"
-    return f"(floor(({expr}) * {scale} + 0.5) / {scale})"
+    scale = f"1e{digits}"
+    return f"(floor(({expr}) * {scale} + 5e-1) / {scale})"
 
 
 def _p(k: int) -> str:
-    return f"(CAST(num_{k} AS DOUBLE) / den_{k})"
+    return f"(CAST(num_{k} AS DOUBLE) / den_{k})"  # literals below are written 1e0-style: DOUBLE in both engines
 
 
 def smoothed(method: int, n_orders: int, hyp_len: str = "hyp_len") -> list[str]:
@@ -42,7 +42,7 @@ def smoothed(method: int, n_orders: int, hyp_len: str = "hyp_len") -> list[str]:
         return [f"(CASE WHEN {num[i]} = 0 THEN {TINY} ELSE {raw[i]} END)" for i in range(n_orders)]
     if method == 1:
         return [
-            f"(CASE WHEN {num[i]} = 0 THEN ({num[i]} + {EPSILON}) / {den[i]} ELSE {raw[i]} END)"
+            f"(CASE WHEN {num[i]} = 0 THEN (CAST({num[i]} AS DOUBLE) + {EPSILON}) / {den[i]} ELSE {raw[i]} END)"
             for i in range(n_orders)
         ]
     if method == 2:
@@ -51,7 +51,7 @@ def smoothed(method: int, n_orders: int, hyp_len: str = "hyp_len") -> list[str]:
         for i in range(n_orders):
             zeros_before = " + ".join([f"(CASE WHEN {num[j]} = 0 THEN 1 ELSE 0 END)" for j in range(i)]) or "0"
             out.append(
-                f"(CASE WHEN {num[i]} = 0 THEN 1.0 / (power(2, 1 + {zeros_before}) * {den[i]}) ELSE {raw[i]} END)"
+                f"(CASE WHEN {num[i]} = 0 THEN 1e0 / (power(2, 1 + {zeros_before}) * {den[i]}) ELSE {raw[i]} END)"
             )
         return out
     if method == 4:
@@ -80,9 +80,9 @@ def _method5(p: list[str], p_extra: str) -> list[str]:
     # m_{-1} = p_1 + 1; p'_i = (m_{i-1} + p_i + p_{i+1}) / 3 with the unsmoothed next order
     following = p[1:] + [p_extra]
     out = []
-    prev = f"({p[0]} + 1)"
+    prev = f"({p[0]} + 1e0)"
     for i in range(len(p)):
-        cur = f"(({prev} + {p[i]} + {following[i]}) / 3.0)"
+        cur = f"(({prev} + {p[i]} + {following[i]}) / 3e0)"
         out.append(cur)
         prev = cur
     return out
@@ -91,7 +91,7 @@ def _method5(p: list[str], p_extra: str) -> list[str]:
 def _method6(num, raw, n_orders, hyp_len):
     cur = list(raw[:n_orders])
     for i in range(2, n_orders):
-        pi0 = f"(CASE WHEN {cur[i-2]} = 0 THEN 0.0 ELSE power({cur[i-1]}, 2) / {cur[i-2]} END)"
+        pi0 = f"(CASE WHEN {cur[i-2]} = 0 THEN 0e0 ELSE power({cur[i-1]}, 2) / {cur[i-2]} END)"
         grams = f"greatest({hyp_len} - {i}, 0)"
         cur[i] = f"(({num[i]} + {ALPHA} * {pi0}) / ({grams} + {ALPHA}))"
     if n_orders >= 3:
@@ -109,7 +109,7 @@ def _combine(p: list[str], weights: list[str]) -> str:
 
 def brevity_penalty(hyp_len: str = "hyp_len", ref_len: str = "ref_len") -> str:
     return (
-        f"(CASE WHEN {hyp_len} > {ref_len} THEN 1.0 WHEN {hyp_len} = 0 THEN 0.0 "
+        f"(CASE WHEN {hyp_len} > {ref_len} THEN 1e0 WHEN {hyp_len} = 0 THEN 0e0 "
         f"ELSE exp(1 - CAST({ref_len} AS DOUBLE) / {hyp_len}) END)"
     )
 
@@ -130,13 +130,13 @@ def bleu(
         p = smoothed(method, len(ws), hyp_len)
         return f"({bp} * {_combine(p, ws)})"
 
-    body = core([repr(float(w)) for w in weights])
+    body = core([f"{float(w)!r}e0" for w in weights])
     if auto_reweigh and tuple(weights) == DEFAULT_WEIGHTS:
         cases = " ".join(
-            f"WHEN {hyp_len} = {L} THEN {core([f'(1.0 / {L})'] * L)}" for L in range(1, n)
+            f"WHEN {hyp_len} = {L} THEN {core([f'(1e0 / {L})'] * L)}" for L in range(1, n)
         )
         body = f"(CASE WHEN {hyp_len} = 0 THEN NULL {cases} ELSE {body} END)"
-    expr = f"(CASE WHEN num_1 = 0 THEN 0.0 ELSE {body} END)"
+    expr = f"(CASE WHEN num_1 = 0 THEN 0e0 ELSE {body} END)"
     if digits is not None:
         expr = r6(expr, digits)
     return expr

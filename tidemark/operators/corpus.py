@@ -104,3 +104,13 @@ def verdict_join(corpus: DataFrame, actual: DataFrame) -> DataFrame:
     return ids.join(decided.select("id", F.coalesce(passed, F.lit(False)).alias("passed")), "id", "left").select(
         "id", F.coalesce(F.col("passed"), F.lit(False)).alias("passed")
     )
+
+
+def align_last_wins(left: DataFrame, right: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Align two record sets by id, last record per id winning on each side: ``key, left, right``.
+
+    ``max_by`` is a partial aggregate, so a hot id is pre-reduced map-side.
+    """
+    lw = left.groupBy(key).agg(F.max_by(value, order).alias("left"))
+    rw = right.groupBy(key).agg(F.max_by(value, order).alias("right"))
+    return lw.join(rw, key)

@@ -17,10 +17,15 @@ from tidemark.functions.bleu_formulas import r6
 def tenth_bucket_sql(score: str) -> str:
     """Round a 6-place score to one decimal, half to even, with integer arithmetic
     (identical in Spark and DuckDB)."""
-    m = f"CAST(floor(({score}) * 1000000.0 + 0.5) AS BIGINT)"
-    t = f"CAST(floor({m} / 100000.0) AS BIGINT)"
+    m = f"CAST(floor(({score}) * 1e6 + 5e-1) AS BIGINT)"
+    t = f"CAST(floor({m} / 1e5) AS BIGINT)"
     rem = f"({m} - {t} * 100000)"
-    return f"(CAST({t} + (CASE WHEN {rem} > 50000 OR ({rem} = 50000 AND {t} % 2 = 1) THEN 1 ELSE 0 END) AS DOUBLE) / 10.0)"
+    return f"(CAST({t} + (CASE WHEN {rem} > 50000 OR ({rem} = 50000 AND {t} % 2 = 1) THEN 1 ELSE 0 END) AS DOUBLE) / 1e1)"
+
+
+def micro_units_sql(score: str) -> str:
+    """A 6-place score as an exact integer count of millionths (sums become order-free)."""
+    return f"CAST(floor(({score}) * 1e6 + 5e-1) AS BIGINT)"
 
 
 def score_histogram(scores: DataFrame, group_cols: Sequence[str], score: str = "bleu") -> DataFrame:
@@ -45,7 +50,7 @@ def score_report(scores: DataFrame, levels: Sequence[str], score: str = "bleu",
         .agg(
             F.grouping_id().cast("bigint").alias(level_col),
             F.count(F.lit(1)).alias("n"),
-            F.avg(score).alias("_avg"),
+            F.sum(F.expr(micro_units_sql(score))).alias("_micro"),
         )
-        .select(*levels, level_col, "n", F.expr(r6("_avg")).alias("avg"))
+        .select(*levels, level_col, "n", F.expr(r6("CAST(_micro AS DOUBLE) / (n * 1e6)")).alias("avg"))
     )
