@@ -1,6 +1,6 @@
 """Column expressions over source code: identifiers and deterministic renaming.
 
-Renaming is one simultaneous pass: the text is cut into word / non-word runs,
+Renaming (``with_renamed``) is one simultaneous pass: the text is cut into word / non-word runs,
 each word found in the record's name list is swapped for its new name, and
 the runs are joined back. New names are derived from ``md5(id:name)`` (first
 five hex digits mapped to a-p), so the job is deterministic and needs no
@@ -10,7 +10,7 @@ digits instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keywords import RENAME_EXCLUDE_CPP, RENAME_EXCLUDE_JAVA, rename_exclude_py
@@ -38,19 +38,6 @@ def hashed_name(id_col, name: Column, digits: int) -> Column:
     return F.translate(h, "0123456789abcdef", "abcdefghijklmnop")
 
 
-def substitute_words(text, names: Column, id_col) -> Column:
-    """Replace every whole word that is in ``names`` by its hashed name, in one pass."""
-    short = F.transform(names, lambda n: hashed_name(id_col, n, 5))
-    long_ = F.transform(names, lambda n: hashed_name(id_col, n, 12))
-    new = F.when(F.size(F.array_distinct(short)) < F.size(names), long_).otherwise(short)
-    runs = extract_all(text, WORD_RUNS, 0)
-    swapped = F.transform(
-        runs,
-        lambda t: F.when(F.array_contains(names, t), F.element_at(new, F.array_position(names, t).cast("int"))).otherwise(t),
-    )
-    return F.array_join(swapped, "")
-
-
 def names_py(code) -> Column:
     return F.array_except(F.array_distinct(extract_all(code, PY_ASSIGNED, 1)), _lit_array(rename_exclude_py()))
 
@@ -75,26 +62,36 @@ def names_java(code) -> Column:
     return F.array_except(F.array_distinct(found), _lit_array(RENAME_EXCLUDE_JAVA))
 
 
-def rename_py(code, id_col) -> Column:
-    return substitute_words(code, names_py(code), id_col)
-
+def with_renamed(df: DataFrame, code: str = "code", id_col: str = "id", lang: str = "lang",
+                 out: str = "renamed") -> DataFrame:
+    """Add ``out``: ``code`` with its identifiers renamed by language (NULL for other languages).
 
-def rename_cpp(code, id_col) -> Column:
-    return substitute_words(code, names_cpp(code), id_col)
-
-
-def rename_java(code, id_col) -> Column:
+    Python: names assigned with ``=``; C++: declared names; Java: parameter and
+    for-each names, renamed after the first ``(`` only. The name lists are
+    materialised as columns before the per-token lambda runs, so each token is
+    a lookup in a small array instead of a re-run of the extraction regexes.
+    """
+    lg = F.col(lang)
     start, header, body = java_parts(code)
-    rest = F.concat(header, body)
-    matched = (start != "") & (header != "")
-    return F.when(matched, F.concat(start, substitute_words(rest, names_java(code), id_col))).otherwise(col_(code))
-
-
-def rename_code(code, lang, id_col) -> Column:
-    """Rename by language; other languages give NULL."""
-    lg = col_(lang)
-    return (
-        F.when(lg == "Python", rename_py(code, id_col))
-        .when(lg == "Java", rename_java(code, id_col))
-        .when(lg == "C++", rename_cpp(code, id_col))
+    names = (F.when(lg == "Python", names_py(code)).when(lg == "Java", names_java(code))
+             .when(lg == "C++", names_cpp(code)))
+    staged = df.select(
+        "*", names.alias("_names"),
+        F.when(lg == "Java", start).otherwise(F.lit("")).alias("_jstart"),
+        F.when(lg == "Java", header).otherwise(F.lit("")).alias("_jheader"),
+        F.when(lg == "Java", F.concat(header, body)).otherwise(F.col(code)).alias("_scope"),
+    )
+    nm = F.col("_names")
+    short = F.transform(nm, lambda n: hashed_name(id_col, n, 5))
+    long_ = F.transform(nm, lambda n: hashed_name(id_col, n, 12))
+    staged = staged.withColumn("_new", F.when(F.size(F.array_distinct(short)) < F.size(nm), long_).otherwise(short))
+    new = F.col("_new")
+    swapped = F.transform(
+        extract_all("_scope", WORD_RUNS, 0),
+        lambda t: F.when(F.array_contains(nm, t), F.element_at(new, F.array_position(nm, t).cast("int"))).otherwise(t),
+    )
+    result = (
+        F.when((lg == "Java") & ((F.col("_jstart") == "") | (F.col("_jheader") == "")), F.col(code))
+        .when(lg.isin("Python", "Java", "C++"), F.concat(F.col("_jstart"), F.array_join(swapped, "")))
     )
+    return staged.withColumn(out, result).drop("_names", "_jstart", "_jheader", "_scope", "_new")

@@ -48,17 +48,23 @@ def strip_comments_c(code) -> Column:
 
 
 def strip_comments_py(code) -> Column:
-    """Python: drop ``#`` comments and strings that start a line (docstrings), then blank lines."""
+    """Python: drop ``#`` comments and strings that start a line (docstrings), then blank lines.
+
+    Each run is zipped with its predecessor (and the predecessor's index), so the
+    lambda never re-evaluates the run array per element.
+    """
     runs = _runs(code, PY_RUNS)
+    prevs = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(-1).alias("i"))),
+        F.transform(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("t"), i.alias("i"))),
+    )
 
-    def keep(t, i):
-        prev = F.element_at(runs, i)  # runs[i - 1] (element_at is 1-based, i is 0-based)
-        first = F.element_at(runs, 1)
+    def keep(t, p):
         is_str = t.startswith('"') | t.startswith("'")
-        at_line_start = (i == 0) | ((i > 0) & prev.rlike(LINE_START)) | ((i == 1) & first.rlike(BLANK))
+        at_line_start = p["t"].isNull() | p["t"].rlike(LINE_START) | ((p["i"] == 0) & p["t"].rlike(BLANK))
         return F.when(t.startswith("#"), F.lit("")).when(is_str & at_line_start, F.lit("")).otherwise(t)
 
-    return drop_blank_lines(F.array_join(F.transform(runs, keep), ""))
+    return drop_blank_lines(F.array_join(F.zip_with(runs, prevs, keep), ""))
 
 
 def strip_comments(code, lang) -> Column:

@@ -93,7 +93,7 @@ def segment_map(code, fn) -> Column:
     c = col_(code)
     parts = F.split(c, DOCSTRING, -1)
     docs = F.regexp_extract_all(c, F.lit(DOCSTRING), F.lit(0))
-    tail = F.transform(docs, lambda d, i: F.concat(d, fn(F.element_at(parts, i + 2))))
+    tail = F.zip_with(docs, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda d, p: F.concat(d, fn(p)))
     return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
 
 

@@ -36,19 +36,19 @@ def _rename_sql(lang: str) -> str:
 @register("rename_py", _rename_sql("Python"))
 def rename_py(spark, sf):
     k = with_lang(corpus(spark, sf)).where(F.col("lang") == "Python")
-    return k.select("id", C.rename_py("code", "id").alias("renamed"))
+    return C.with_renamed(k).select("id", "renamed")
 
 
 @register("rename_java", _rename_sql("Java"))
 def rename_java(spark, sf):
     k = with_lang(corpus(spark, sf)).where(F.col("lang") == "Java")
-    return k.select("id", C.rename_java("code", "id").alias("renamed"))
+    return C.with_renamed(k).select("id", "renamed")
 
 
 @register("rename_cpp", _rename_sql("C++"))
 def rename_cpp(spark, sf):
     k = with_lang(corpus(spark, sf)).where(F.col("lang") == "C++")
-    return k.select("id", C.rename_cpp("code", "id").alias("renamed"))
+    return C.with_renamed(k).select("id", "renamed")
 
 
 # ---------------------------------------------------------------- comments and LOC

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.code import rename_code
+from tidemark.functions.code import with_renamed
 from tidemark.sources.tables import table
 
 VARIANTS = ("rename", "drop", "comment", "fence")
@@ -104,13 +104,15 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_variants(corpus: DataFrame) -> DataFrame:
     """Long form ``id, variant, text``: one row per perturbation, so attacks union instead of widening."""
-    lang = F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Java"))
+    staged = with_renamed(corpus.withColumn("_lang", F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Java"))),
+                          "code", "id", "_lang", "_renamed")
+    lang = F.col("_lang")
     tag = F.when(lang == "Python", "python").when(lang == "Java", "java").otherwise("cpp")
     fence = F.concat(F.lit("### Response:\n```"), tag, F.lit("\n"), F.col("code"), F.lit("\n```"))
     arr = F.array(
-        F.struct(F.lit("rename").alias("variant"), rename_code("code", lang, "id").alias("text")),
+        F.struct(F.lit("rename").alias("variant"), F.col("_renamed").alias("text")),
         F.struct(F.lit("drop").alias("variant"), F.col("code_drop").alias("text")),
         F.struct(F.lit("comment").alias("variant"), F.col("code_nocomment").alias("text")),
         F.struct(F.lit("fence").alias("variant"), fence.alias("text")),
     )
-    return corpus.select("id", F.explode(arr).alias("v")).select("id", "v.variant", "v.text")
+    return staged.select("id", F.explode(arr).alias("v")).select("id", "v.variant", "v.text")
