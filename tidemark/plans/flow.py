@@ -10,7 +10,9 @@ from tidemark.operators import dataflow as D
 from tidemark.plans.build import LANG, corpus, with_lang
 from tidemark.plans.registry import register
 from tidemark.plans.sql_fixtures import with_ctes
-from tidemark.plans.sql_flow import flow_ctes
+from tidemark.plans.sql_flow import flow_ctes, structure_ctes
+from tidemark.operators import structure as S
+from tidemark.sources.tables import table
 from tidemark.sources.code_corpus import code_variants
 
 # --- fixed values: the variants scored against the original, and their pair-id digit
@@ -98,3 +100,40 @@ LEFT JOIN (
 @register("dataflow_match", DATAFLOW_MATCH_SQL)
 def dataflow_match(spark, sf):
     return dataflow_scores(spark, sf)
+
+
+# ---------------------------------------------------------------- structure (E11 re-aimed)
+PAGE_TOK_SQL = f"""
+  SELECT page_id, CAST(k - 1 AS BIGINT) AS pos, nm[k] AS sym, CASE WHEN sl[k] = '/' THEN -1 ELSE 1 END AS delta
+  FROM (SELECT page_id, regexp_extract_all(html, '{S.PAGE_TAG_RE}', 1) AS sl,
+               regexp_extract_all(html, '{S.PAGE_TAG_RE}', 2) AS nm FROM pages), range(1, len(nm) + 1) r(k)"""
+
+
+@register("subtree_signatures", with_ctes(
+    "SELECT page_id, signature, count(*) AS cnt FROM pg_sig GROUP BY page_id, signature",
+    extra=structure_ctes("pg", PAGE_TOK_SQL, ["page_id"])))
+def subtree_signatures(spark, sf):
+    sig = S.subtree_signatures(S.page_tokens(table(spark, sf, "pages")), ["page_id"])
+    return sig.groupBy("page_id", "signature").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("syntax_match", with_ctes("""
+SELECT p.pair_id, CAST(coalesce(m.matched, 0) AS BIGINT) AS matched, CAST(coalesce(m.total, 0) AS BIGINT) AS total,
+       CASE WHEN coalesce(m.total, 0) = 0 THEN 0e0
+            ELSE floor(CAST(m.matched AS DOUBLE) / m.total * 1e6 + 5e-1) / 1e6 END AS score
+FROM (SELECT a.page_id AS pair_id FROM pages a JOIN pages b ON b.page_id = a.page_id + 1) p
+LEFT JOIN (
+  SELECT r.pair_id, sum(CASE WHEN c.signature IS NOT NULL THEN r.cnt ELSE 0 END) AS matched, sum(r.cnt) AS total
+  FROM (SELECT page_id - 1 AS pair_id, signature, count(*) AS cnt FROM pg_sig GROUP BY 1, 2) r
+  LEFT JOIN (SELECT DISTINCT page_id AS pair_id, signature FROM pg_sig) c
+    ON c.pair_id = r.pair_id AND c.signature = r.signature
+  GROUP BY r.pair_id) m ON m.pair_id = p.pair_id""", extra=structure_ctes("pg", PAGE_TOK_SQL, ["page_id"])))
+def syntax_match(spark, sf):
+    """Each page (candidate) against the next page (reference)."""
+    pages = table(spark, sf, "pages")
+    sig = S.subtree_signatures(S.page_tokens(pages), ["page_id"])
+    ref = sig.select((F.col("page_id") - 1).alias("pair_id"), "signature")
+    cand = sig.select(F.col("page_id").alias("pair_id"), "signature")
+    ids = pages.select("page_id")
+    pairs = ids.join(ids.select((F.col("page_id") - 1).alias("page_id")), "page_id").select(F.col("page_id").alias("pair_id"))
+    return S.syntax_match(ref, cand, pairs)

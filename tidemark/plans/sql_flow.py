@@ -83,3 +83,43 @@ def flow_ctes(p: str, src: str, ids: list[str]) -> dict[str, str]:
          coalesce(string_agg(vname, ',' ORDER BY sub) FILTER (WHERE sub < np), '') AS parents
   FROM {p}_nm2 GROUP BY {i}, pos""",
     }
+
+
+def structure_ctes(p: str, tok_src: str, ids: list[str]) -> dict[str, str]:
+    """CTE ``{p}_sig(ids..., signature)`` over ``tok_src(ids..., pos, sym, delta)``."""
+    i = ", ".join(ids)
+    join_on = " AND ".join(f"x.{c} = s.{c}" for c in ids)
+    xi = ", ".join(f"x.{c}" for c in ids)
+    return {
+        f"{p}_t": f"""
+  SELECT {i}, pos, delta, piece,
+         CAST(coalesce(sum(length(piece)) OVER w, 0) AS BIGINT) AS off,
+         CAST(coalesce(sum(delta) OVER w, 0) AS BIGINT) AS depth
+  FROM (SELECT {i}, pos, delta,
+               CASE WHEN delta = 1 THEN '(' || sym WHEN delta = -1 THEN ')' ELSE ' ' || sym END AS piece
+        FROM ({tok_src}))
+  WINDOW w AS (PARTITION BY {i} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        f"{p}_sx": f"SELECT {i}, string_agg(piece, '' ORDER BY pos) AS sexpr FROM {p}_t GROUP BY {i}",
+        f"{p}_pr": f"""
+  SELECT * FROM (
+    SELECT {i}, d, k, min(CASE WHEN delta = 1 THEN pos END) AS o, max(CASE WHEN delta = -1 THEN pos END) AS c,
+           min(CASE WHEN delta = 1 THEN off END) AS o_off, max(CASE WHEN delta = -1 THEN off + 1 END) AS c_end
+    FROM (SELECT *, row_number() OVER (PARTITION BY {i}, d, delta ORDER BY pos) AS k
+          FROM (SELECT *, CASE WHEN delta = 1 THEN depth ELSE depth - 1 END AS d FROM {p}_t WHERE delta <> 0))
+    GROUP BY {i}, d, k) WHERE c > o + 1""",
+        f"{p}_sig": f"""
+  SELECT {xi}, md5(substring(s.sexpr, x.o_off + 1, x.c_end - x.o_off)) AS signature
+  FROM {p}_pr x JOIN {p}_sx s ON {join_on}
+  UNION ALL SELECT {i}, md5(sexpr) FROM {p}_sx WHERE sexpr <> ''""",
+    }
+
+
+def code_structure_src(tok: str, ids: list[str]) -> str:
+    i = ", ".join(ids)
+    return f"""
+  SELECT {i}, pos,
+         CASE WHEN token IN ('(', ')') THEN 'paren' WHEN token IN ('[', ']') THEN 'index'
+              WHEN token IN ('{{', '}}') THEN 'block' WHEN kind = 'name' THEN 'n' WHEN kind = 'number' THEN '1'
+              WHEN kind = 'string' THEN 's' ELSE token END AS sym,
+         CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END AS delta
+  FROM {tok}"""
