@@ -45,6 +45,19 @@ def ngram_array(tokens, n: int, sep: str = "\n") -> Column:
     return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_arrays(tokens, max_n: int, sep: str = "\n") -> list[Column]:
+    """n-gram arrays for n = 1..max_n, built incrementally: the (n)-grams are the
+    (n-1)-grams zipped with the token n-1 places ahead (no per-gram slice arrays)."""
+    toks = col_(tokens)
+    out = [toks]
+    prev = toks
+    for n in range(2, max_n + 1):
+        keep = F.greatest(F.size(toks) - n + 1, F.lit(0))
+        prev = F.zip_with(F.slice(prev, 1, keep), F.slice(toks, n, keep), lambda a, b: F.concat(a, F.lit(sep), b))
+        out.append(F.when(F.size(toks) >= n, prev).otherwise(F.array().cast("array<string>")))
+    return out
+
+
 def drop_every_third(tokens) -> Column:
     """Remove items 3, 6, 9, ... (1-based) from an array."""
     return F.filter(col_(tokens), lambda x, i: (i + 1) % 3 != 0)

@@ -21,23 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import bleu_formulas as BF
-from tidemark.functions.text import ngram_array
-
-_GRAM = "struct<side:int,ref:int,n:int,gram:string,hl:bigint,rl:bigint>"
-
-
-def _tagged(tokens: Column, side: int, ref_no: Column, n: int, sep: str) -> Column:
-    return F.transform(
-        ngram_array(tokens, n, sep),
-        lambda g: F.struct(
-            F.lit(side).alias("side"),
-            ref_no.cast("int").alias("ref"),
-            F.lit(n).alias("n"),
-            g.alias("gram"),
-            F.lit(None).cast("bigint").alias("hl"),
-            F.lit(None).cast("bigint").alias("rl"),
-        ),
-    )
+from tidemark.functions.text import ngram_arrays
+
+_GROUP = "struct<side:int,ref:int,n:int,grams:array<string>,hl:bigint,rl:bigint>"
 
 
 def closest_ref_length(refs: Column, hyp_len: Column) -> Column:
@@ -47,30 +33,38 @@ def closest_ref_length(refs: Column, hyp_len: Column) -> Column:
     )["len"]
 
 
-def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n: int, sep: str) -> DataFrame:
-    """One row per (pair, side, reference, order, gram occurrence) plus sentinels."""
+def _group(side: int, ref_no, n: int, grams: Column, hl=None, rl=None) -> Column:
+    return F.struct(
+        F.lit(side).alias("side"), (ref_no if isinstance(ref_no, Column) else F.lit(ref_no)).cast("int").alias("ref"),
+        F.lit(n).alias("n"), grams.alias("grams"),
+        (hl if hl is not None else F.lit(None)).cast("bigint").alias("hl"),
+        (rl if rl is not None else F.lit(None)).cast("bigint").alias("rl"),
+    )
+
+
+def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n: int, sep: str,
+              carry: Sequence[str] = ()) -> DataFrame:
+    """One row per (pair, side, reference, order, gram occurrence) plus one sentinel per order.
+
+    Two explodes: first one row per (side, reference, order) holding that
+    order's gram array, then the grams themselves, so no struct is built per gram.
+    ``carry`` columns ride along as values (not keys).
+    """
     h = F.col(hyp)
     r = F.col(refs)
-    hl = F.size(h).cast("bigint")
-    rl = closest_ref_length(r, F.size(h)).cast("bigint")
-    hyp_side = F.flatten(F.array(*[_tagged(h, 0, F.lit(0), n, sep) for n in range(1, max_n + 1)]))
-    ref_side = F.flatten(
-        F.transform(r, lambda t, j: F.flatten(F.array(*[_tagged(t, 1, j, n, sep) for n in range(1, max_n + 1)])))
-    )
-    sentinels = F.array(
-        *[
-            F.struct(
-                F.lit(2).alias("side"), F.lit(0).alias("ref"), F.lit(n).alias("n"),
-                F.lit(None).cast("string").alias("gram"), hl.alias("hl"), rl.alias("rl"),
-            )
-            for n in range(1, max_n + 1)
-        ]
-    )
-    allg = F.concat(hyp_side.cast(f"array<{_GRAM}>"), ref_side.cast(f"array<{_GRAM}>"), sentinels.cast(f"array<{_GRAM}>"))
+    hl = F.size(h)
+    rl = closest_ref_length(r, F.size(h))
+    hyp_groups = [_group(0, 0, n, g) for n, g in enumerate(ngram_arrays(h, max_n, sep), start=1)]
+    ref_groups = F.flatten(F.transform(r, lambda t, j: F.array(
+        *[_group(1, j, n, g) for n, g in enumerate(ngram_arrays(t, max_n, sep), start=1)])))
+    sentinels = [_group(2, 0, n, F.array(F.lit(None).cast("string")), hl, rl) for n in range(1, max_n + 1)]
+    groups = F.concat(F.array(*hyp_groups).cast(f"array<{_GROUP}>"), ref_groups.cast(f"array<{_GROUP}>"),
+                      F.array(*sentinels).cast(f"array<{_GROUP}>"))
+    keep = list(ids) + list(carry)
     return (
         pairs.repartition(*ids)
-        .select(*ids, F.explode(allg).alias("g"))
-        .select(*ids, "g.side", "g.ref", "g.n", "g.gram", "g.hl", "g.rl")
+        .select(*keep, F.explode(groups).alias("g"))
+        .select(*keep, "g.side", "g.ref", "g.n", "g.hl", "g.rl", F.explode("g.grams").alias("gram"))
     )
 
 
@@ -175,15 +169,12 @@ def brevity(pairs: DataFrame, ids: Sequence[str] = ("pair_id",), hyp: str = "hyp
     )
 
 
-def _with_order(grams: Column, n: int) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-
-
 def ngram_counts(docs: DataFrame, id_col: str, tokens: str, max_n: int = 4, sep: str = "\n") -> DataFrame:
     """Multiset of n-grams per document: ``id, n, gram_md5, cnt``; grouped within the doc's partition."""
-    toks = F.col(tokens)
-    grams = F.flatten(F.array(*[_with_order(ngram_array(toks, n, sep), n) for n in range(1, max_n + 1)]))
-    exploded = docs.repartition(id_col).select(id_col, F.explode(grams).alias("g")).select(id_col, "g.n", "g.gram")
+    groups = F.array(*[F.struct(F.lit(n).alias("n"), g.alias("grams"))
+                       for n, g in enumerate(ngram_arrays(F.col(tokens), max_n, sep), start=1)])
+    exploded = (docs.repartition(id_col).select(id_col, F.explode(groups).alias("g"))
+                .select(id_col, "g.n", F.explode("g.grams").alias("gram")))
     return exploded.groupBy(id_col, "n", "gram").agg(F.count(F.lit(1)).alias("cnt")).select(
         id_col, "n", F.md5("gram").alias("gram_md5"), "cnt"
     )

@@ -57,9 +57,10 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str) -
     lines = F.split(strip_comments(text, lang), "\n", -1)
     flat = F.flatten(F.transform(lines, lambda ln, i: F.transform(
         F.regexp_extract_all(ln, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(i.alias("line"), t.alias("tok")))))
-    # materialise the token array as a column first: a lambda that referenced the
-    # expression itself would re-run the tokenizer for every element
-    staged = programs.repartition(*ids).select(*ids, lang, flat.alias("_flat"))
+    # tokenize before the shuffle: the exchange then carries token arrays and is
+    # reused by every consumer; the array is also a column, so the lambda below
+    # does not re-run the tokenizer for every element
+    staged = programs.select(*ids, lang, flat.alias("_flat")).repartition(*ids)
     f = F.col("_flat")
     with_ctx = F.transform(f, lambda x, i: F.struct(
         x["line"].alias("line"), x["tok"].alias("tok"),

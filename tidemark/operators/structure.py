@@ -32,7 +32,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     slash = F.regexp_extract_all("html", F.lit(PAGE_TAG_RE), F.lit(1))
     name = F.regexp_extract_all("html", F.lit(PAGE_TAG_RE), F.lit(2))
     tags = F.zip_with(slash, name, lambda s, n: F.struct(n.alias("sym"), F.when(s == "/", -1).otherwise(1).alias("delta")))
-    return pages.repartition("page_id").select("page_id", F.posexplode(tags).alias("pos", "t")).select(
+    staged = pages.select("page_id", tags.alias("_tags")).repartition("page_id")
+    return staged.select("page_id", F.posexplode("_tags").alias("pos", "t")).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "t.sym", "t.delta")
 
 

@@ -14,6 +14,7 @@ from tidemark.operators import weighted as W
 from tidemark.operators.corpus import align_last_wins
 from tidemark.operators.report import micro_units_sql
 from tidemark.plans.build import LANG, corpus, with_lang
+from tidemark.session import checkpoint_dir
 from tidemark.plans.flow import SCORED_VARIANTS, variant_programs
 from tidemark.plans.registry import register
 from tidemark.plans.scoring import stats_ctes
@@ -24,10 +25,18 @@ from tidemark.sources.code_corpus import code_variants
 
 # ---------------------------------------------------------------- Spark side
 def cb_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """``pair_id, id, variant, lang, grade, text1 (original), text2 (variant)``."""
+    """``pair_id, id, variant, lang, grade, text1 (original), text2 (variant)``.
+
+    The pairs fan out to four scorers; they are materialised once with a
+    reliable checkpoint in the shared checkpoint folder, which also cuts the
+    lineage (a lost executor re-reads the checkpoint instead of rebuilding the
+    corpus and its variants).
+    """
+    checkpoint_dir(spark)
     k = corpus(spark, sf).select("id", "grade", F.col("code").alias("text1"))
     vp = variant_programs(spark, sf)
-    return vp.join(k, "id").select("pair_id", "id", "variant", "lang", "grade", "text1", F.col("text").alias("text2"))
+    pairs = vp.join(k, "id").select("pair_id", "id", "variant", "lang", "grade", "text1", F.col("text").alias("text2"))
+    return pairs.checkpoint(eager=True)
 
 
 def codebleu_scores(pairs: DataFrame, keywords: DataFrame, params: str = W.DEFAULT_PARAMS) -> DataFrame:
@@ -192,6 +201,7 @@ SELECT lang, count(*) AS n, floor(CAST(sum(CAST(floor(codebleu * 1e6 + 5e-1) AS
        / (count(*) * 1e6) * 1e6 + 5e-1) / 1e6 AS avg
 FROM cb_scores GROUP BY lang""", DUAL_PAIRS_SQL))
 def codebleu_dual(spark, sf):
+    checkpoint_dir(spark)
     k = with_lang(corpus(spark, sf))
     first = k.select("id", "lang", "code")
     v = code_variants(corpus(spark, sf)).where(F.col("variant").isin("drop", "rename"))
@@ -201,7 +211,7 @@ def codebleu_dual(spark, sf):
     right = second.select("id", F.struct("lang", "code").alias("v"), "ord")
     al = align_last_wins(left, right, "id", "ord", "v").where(F.col("left.lang") == F.col("right.lang"))
     pairs = al.select(F.col("id").alias("pair_id"), F.col("left.lang").alias("lang"),
-                      F.col("left.code").alias("text1"), F.col("right.code").alias("text2"))
+                      F.col("left.code").alias("text1"), F.col("right.code").alias("text2")).checkpoint(eager=True)
     s = codebleu_scores(pairs, W.keyword_dim(spark))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(micro_units_sql("codebleu"))).alias("_m")).select(
         "lang", "n", F.expr(BF.r6("CAST(_m AS DOUBLE) / (n * 1e6)")).alias("avg"))
