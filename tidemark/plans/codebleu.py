@@ -42,6 +42,8 @@ def cb_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def codebleu_scores(pairs: DataFrame, keywords: DataFrame, params: str = W.DEFAULT_PARAMS) -> DataFrame:
     """The four CodeBLEU components and their weighted sum per pair.
 
+    ``pairs``: pair_id, id (the original program's id), lang, text1, text2.
+
     BLEU: hypothesis = text2 lines, reference = text1 lines. Weighted n-gram,
     syntax and data flow: reference = text2, candidate = text1 (words for the
     weighted score).
@@ -52,13 +54,17 @@ def codebleu_scores(pairs: DataFrame, keywords: DataFrame, params: str = W.DEFAU
                                              word_tokens("text2").alias("ref")),
                                 ["pair_id"], "lang", "hyp", "ref", keywords).select("pair_id", F.col("score").alias("weighted"))
     ref_tok = D.token_table(pairs.select("pair_id", F.col("text2").alias("text"), "lang"), ["pair_id"], "text", "lang")
-    cand_tok = D.token_table(pairs.select("pair_id", F.col("text1").alias("text"), "lang"), ["pair_id"], "text", "lang")
+    # the candidate (original program) is shared by all variants of an id: analyse it once
+    # per id, then fan the small signature / item rows out to the pairs
+    links = pairs.select("pair_id", "id")
+    cand_prog = pairs.select("id", F.col("text1").alias("text"), "lang").dropDuplicates(["id"])
+    cand_tok = D.token_table(cand_prog, ["id"], "text", "lang")
+    cand_sig = S.subtree_signatures(S.code_structure_tokens(cand_tok, ["id"]), ["id"]).distinct().join(links, "id")
     syn = S.syntax_match(S.subtree_signatures(S.code_structure_tokens(ref_tok, ["pair_id"]), ["pair_id"]),
-                         S.subtree_signatures(S.code_structure_tokens(cand_tok, ["pair_id"]), ["pair_id"]),
-                         pairs).select("pair_id", F.col("score").alias("syntax"))
+                         cand_sig.select("pair_id", "signature"), pairs).select("pair_id", F.col("score").alias("syntax"))
     item = F.concat_ws("|", "var", "rel", "parents").alias("item")
     rn = D.normalized(D.nodes(ref_tok, ["pair_id"]), ["pair_id"]).select("pair_id", item)
-    cn = D.normalized(D.nodes(cand_tok, ["pair_id"]), ["pair_id"]).select("pair_id", item)
+    cn = D.normalized(D.nodes(cand_tok, ["id"]), ["id"]).select("id", item).join(links, "id").select("pair_id", "item")
     m = D.multiset_match(rn, cn, "pair_id", "item")
     flow = pairs.select("pair_id").join(m, "pair_id", "left").select(
         "pair_id", F.expr(f"CASE WHEN coalesce(total, 0) = 0 THEN 0e0 ELSE {BF.r6('CAST(matched AS DOUBLE) / total')} END")
@@ -210,7 +216,7 @@ def codebleu_dual(spark, sf):
     left = first.select("id", F.struct("lang", "code").alias("v"), F.lit(0).alias("ord"))
     right = second.select("id", F.struct("lang", "code").alias("v"), "ord")
     al = align_last_wins(left, right, "id", "ord", "v").where(F.col("left.lang") == F.col("right.lang"))
-    pairs = al.select(F.col("id").alias("pair_id"), F.col("left.lang").alias("lang"),
+    pairs = al.select(F.col("id").alias("pair_id"), "id", F.col("left.lang").alias("lang"),
                       F.col("left.code").alias("text1"), F.col("right.code").alias("text2")).checkpoint(eager=True)
     s = codebleu_scores(pairs, W.keyword_dim(spark))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(micro_units_sql("codebleu"))).alias("_m")).select(
