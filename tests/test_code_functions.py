@@ -89,3 +89,36 @@ def test_rename_java_only_after_header(spark):
 
 def test_rename_other_language_is_null(spark):
     assert _rename(spark, "x = 1", "Ruby") is None
+
+
+PAGE = """<html><body>
+<h3>Sample Input 1</h3><p>x</p><pre>
+1 2
+</pre>
+<h3>Output for the Sample Input 1</h3><pre>3</pre>
+<h2>入力例 2</h2><pre>5 6</pre>
+<h2>出力例 2</h2><pre> 11 </pre>
+<h3>Sample Input 1</h3><pre>9 9</pre>
+<h3>Sample Input 3</h3><pre>7</pre>
+<h3>Notes</h3><pre>ignored</pre>
+</body></html>"""
+
+
+def test_sample_io_pairs(spark):
+    from tidemark.operators.pages import sample_io_pairs
+
+    df = spark.createDataFrame([(1, PAGE)], "page_id long, html string")
+    got = [(r["ord"], r["input"], r["expected"]) for r in sample_io_pairs(df).orderBy("ord").collect()]
+    # repeated "Sample Input 1" keeps its first place and its last value; input 3 has no output
+    assert got == [(1, "9 9", "3"), (2, "5 6", "11")]
+
+
+def test_sample_io_pairs_oracle_agrees_on_golden_page():
+    import duckdb
+
+    from tidemark.operators.pages import SAMPLE_IO_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1::BIGINT AS page_id, ? AS html", [PAGE])
+    got = sorted(con.execute(SAMPLE_IO_SQL).fetchall())
+    assert got == [(1, 1, "9 9", "3"), (1, 2, "5 6", "11")]

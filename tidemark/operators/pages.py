@@ -44,3 +44,65 @@ SELECT page_id, CAST(i - 1 AS BIGINT) AS ord,
 FROM (SELECT page_id, i, parts[i] AS piece
       FROM (SELECT page_id, string_split(html, '<h1') AS parts FROM pages), range(2, len(parts) + 1) r(i))
 WHERE regexp_matches(piece, '{HEADING}')"""
+
+
+# --- fixed values: sample headings (output patterns are tested first, so
+# "Output for the Sample Input N" is an output), heading levels and block tag
+SAMPLE_OUTPUT = ("Output for the Sample Input", "Sample Output", "出力例")
+SAMPLE_INPUT = ("Sample Input", "入力例", "サンプル入力", "Sample input")
+HEADED_BLOCK = "<h[1-3][^>]*>([^<]*)</h[1-3]>[\\s\\S]*?<pre[^>]*>([\\s\\S]*?)</pre>"
+
+
+def _class_re(words) -> str:
+    return "^(?:" + "|".join(words) + ")\\s*[0-9]+$"
+
+
+def sample_io_pairs(pages: DataFrame) -> DataFrame:
+    """``page_id, ord, input, expected``: sample tests read from headed ``pre`` blocks.
+
+    A heading (h1-h3) holding one matching text is paired with the first later
+    ``pre`` block (trimmed). A repeated heading keeps its first position and
+    its last value. Headings are classified output-first; the i-th input is
+    joined with the i-th output. Pages are single rows, so the per-page window
+    is bounded by one page.
+    """
+    from pyspark.sql import Window
+
+    heads = F.regexp_extract_all("html", F.lit(HEADED_BLOCK), F.lit(1))
+    blocks = F.regexp_extract_all("html", F.lit(HEADED_BLOCK), F.lit(2))
+    pairs = F.arrays_zip(heads.alias("h"), blocks.alias("b"))
+    rows = pages.select("page_id", F.posexplode(pairs).alias("pos", "x")).select(
+        "page_id", "pos", py_strip(F.col("x.h")).alias("heading"), py_strip(F.col("x.b")).alias("block"))
+    cls = F.when(F.col("heading").rlike(_class_re(SAMPLE_OUTPUT)), "output").when(
+        F.col("heading").rlike(_class_re(SAMPLE_INPUT)), "input")
+    rows = rows.withColumn("cls", cls).where(F.col("cls").isNotNull())
+    dedup = rows.groupBy("page_id", "heading", "cls").agg(
+        F.min("pos").alias("first_pos"), F.max_by("block", "pos").alias("value"))
+    ranked = dedup.withColumn("ord", F.row_number().over(Window.partitionBy("page_id", "cls").orderBy("first_pos")))
+    return ranked.groupBy("page_id", "ord").agg(
+        F.max(F.when(F.col("cls") == "input", F.col("value"))).alias("input"),
+        F.max(F.when(F.col("cls") == "output", F.col("value"))).alias("expected"),
+    ).where(F.col("input").isNotNull() & F.col("expected").isNotNull()).select(
+        "page_id", F.col("ord").cast("bigint").alias("ord"), "input", "expected")
+
+
+def _cls_sql(words) -> str:
+    return "^(?:" + "|".join(words) + ")\\s*[0-9]+$"
+
+
+SAMPLE_IO_SQL = f"""
+WITH x AS (
+  SELECT page_id, k - 1 AS pos, {_strip_sql('hs[k]')} AS heading, {_strip_sql('bs[k]')} AS block
+  FROM (SELECT page_id, regexp_extract_all(html, '{HEADED_BLOCK}', 1) AS hs,
+               regexp_extract_all(html, '{HEADED_BLOCK}', 2) AS bs FROM pages), range(1, len(hs) + 1) r(k)),
+c AS (
+  SELECT *, CASE WHEN regexp_matches(heading, '{_cls_sql(SAMPLE_OUTPUT)}') THEN 'output'
+                 WHEN regexp_matches(heading, '{_cls_sql(SAMPLE_INPUT)}') THEN 'input' END AS cls FROM x),
+d AS (
+  SELECT page_id, heading, cls, min(pos) AS first_pos, arg_max(block, pos) AS value
+  FROM c WHERE cls IS NOT NULL GROUP BY page_id, heading, cls),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id, cls ORDER BY first_pos) AS ord FROM d)
+SELECT page_id, CAST(ord AS BIGINT) AS ord, max(CASE WHEN cls = 'input' THEN value END) AS input,
+       max(CASE WHEN cls = 'output' THEN value END) AS expected
+FROM r GROUP BY page_id, ord
+HAVING max(CASE WHEN cls = 'input' THEN value END) IS NOT NULL AND max(CASE WHEN cls = 'output' THEN value END) IS NOT NULL"""

@@ -136,6 +136,12 @@ def io_pairs(spark, sf):
     return PG.io_pairs(table(spark, sf, "pages"))
 
 
+@register("sample_io_pairs", PG.SAMPLE_IO_SQL)
+def sample_io_pairs(spark, sf):
+    """Sample tests from headed ``pre`` blocks (the fixture pages have none: 0 rows there)."""
+    return PG.sample_io_pairs(table(spark, sf, "pages"))
+
+
 @register("corpus_join", with_ctes(f"""
 SELECT c.id, p.page_id, c.type, p.n_pairs
 FROM code_corpus c
