@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bleu_formulas as BF
 from tidemark.functions.text import ngram_arrays
+from tidemark.session import fanout_partitions
+
+FANOUT = 4  # gram rows per shuffled token, roughly: orders x sides / 2
 
 _GROUP = "struct<side:int,ref:int,n:int,grams:array<string>,hl:bigint,rl:bigint>"
 
@@ -62,7 +65,7 @@ def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n:
                       F.array(*sentinels).cast(f"array<{_GROUP}>"))
     keep = list(ids) + list(carry)
     return (
-        pairs.repartition(*ids)
+        pairs.repartition(fanout_partitions(pairs, FANOUT), *ids)
         .select(*keep, F.explode(groups).alias("g"))
         .select(*keep, "g.side", "g.ref", "g.n", "g.hl", "g.rl", F.explode("g.grams").alias("gram"))
     )

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.comments import strip_comments
 from tidemark.functions.keywords import KEYWORDS, LANG_CODE
 from tidemark.functions.text import col_
+from tidemark.session import fanout_partitions
 
 # --- fixed values: token pattern, assignment operators, declaration type words
 TOKEN = (
@@ -60,7 +61,8 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str) -
     # tokenize before the shuffle: the exchange then carries token arrays and is
     # reused by every consumer; the array is also a column, so the lambda below
     # does not re-run the tokenizer for every element
-    staged = programs.select(*ids, lang, flat.alias("_flat")).repartition(*ids)
+    staged = programs.select(*ids, lang, flat.alias("_flat"))
+    staged = staged.repartition(fanout_partitions(staged, 2), *ids)
     f = F.col("_flat")
     with_ctx = F.transform(f, lambda x, i: F.struct(
         x["line"].alias("line"), x["tok"].alias("tok"),

@@ -51,3 +51,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None:
         sc.setCheckpointDir(current)
     return current
+
+
+def fanout_partitions(df, factor: int) -> int:
+    """Partition count for a shuffle whose rows are exploded ``factor``-fold right after it.
+
+    AQE sizes coalesced partitions by the bytes that cross the shuffle (raw
+    text); an explicit count keeps the exploded n-gram / token rows of one task
+    within memory instead of spilling.
+    """
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, base * factor)
