@@ -302,7 +302,7 @@ SELECT id, target FROM (
 WHERE target IS NOT NULL""", "code_corpus", "code_variants"))
 def target_select(spark, sf):
     k = corpus(spark, sf)
-    t = _targets(k, code_variants(k))
+    t = _targets(k, code_variants(k, ("rename", "drop", "fence")))
     hit = F.get(F.filter("wm", lambda x: x.rlike(FENCE_RE)), 0)
     from_wm = F.when(hit.isNotNull(), F.regexp_extract(hit, FENCE_RE, 1)).otherwise(F.get("wm", 0))
     target = (

@@ -210,7 +210,7 @@ def codebleu_dual(spark, sf):
     checkpoint_dir(spark)
     k = with_lang(corpus(spark, sf))
     first = k.select("id", "lang", "code")
-    v = code_variants(corpus(spark, sf)).where(F.col("variant").isin("drop", "rename"))
+    v = code_variants(corpus(spark, sf), ("drop", "rename"))
     second = v.join(k.select("id", "lang"), "id").select(
         "id", "lang", F.col("text").alias("code"), F.when(F.col("variant") == "drop", 1).otherwise(2).alias("ord"))
     left = first.select("id", F.struct("lang", "code").alias("v"), F.lit(0).alias("ord"))

@@ -26,7 +26,7 @@ def programs(spark: SparkSession, sf: str) -> DataFrame:
 def variant_programs(spark: SparkSession, sf: str) -> DataFrame:
     k = corpus(spark, sf)
     lang = with_lang(k).select("id", "lang")
-    v = code_variants(k).where(F.col("variant").isin(*SCORED_VARIANTS))
+    v = code_variants(k, tuple(SCORED_VARIANTS))
     vno = F.create_map(*[x for kv in SCORED_VARIANTS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     return v.join(lang, "id").select(
         (F.col("id") * 10 + vno[F.col("variant")]).alias("pair_id"), "id", "variant", "text", "lang")

@@ -31,7 +31,7 @@ SELECT id, variant, array_to_string(blocks, {sq(P.BLOCK_SEP)}) AS blocks, coales
 FROM (SELECT id, variant, text, {_blocks_sql('text')} AS blocks FROM code_variants WHERE variant IN ('fence', 'drop'))""",
     "code_variants"))
 def extract_code(spark, sf):
-    v = code_variants(corpus(spark, sf)).where(F.col("variant").isin("fence", "drop"))
+    v = code_variants(corpus(spark, sf), ("fence", "drop"))
     blocks = P.fenced_blocks("text")
     return v.select("id", "variant", F.array_join(blocks, P.BLOCK_SEP).alias("blocks"),
                     F.coalesce(F.get(blocks, 0), F.col("text")).alias("first_block"))
@@ -82,7 +82,7 @@ FROM (SELECT id, a1, {_blocks_sql('a2')} AS b2
             FROM code_variants f JOIN code_variants r ON r.id = f.id AND r.variant = 'rename'
             WHERE f.variant = 'fence'))""", "code_variants"))
 def roundtrip_resolve(spark, sf):
-    v = code_variants(corpus(spark, sf))
+    v = code_variants(corpus(spark, sf), ("fence", "rename"))
     fwd = v.where(F.col("variant") == "fence").select("id", F.col("text").alias("forward"))
     back = v.where(F.col("variant") == "rename").select("id", P.back_answer("id", "text").alias("back"))
     return P.roundtrip_resolve(fwd.join(back, "id"), "forward", "back").select("id", "final", "fallback")

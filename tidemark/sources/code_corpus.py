@@ -102,17 +102,22 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def code_variants(corpus: DataFrame) -> DataFrame:
-    """Long form ``id, variant, text``: one row per perturbation, so attacks union instead of widening."""
-    staged = with_renamed(corpus.withColumn("_lang", F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Java"))),
-                          "code", "id", "_lang", "_renamed")
+def code_variants(corpus: DataFrame, variants=VARIANTS) -> DataFrame:
+    """Long form ``id, variant, text``: one row per perturbation, so attacks union instead of widening.
+
+    Only the requested ``variants`` are built (Catalyst cannot prune elements
+    of the exploded array, so an unused rename would still be computed).
+    """
+    staged = corpus.withColumn("_lang", F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Java")))
+    if "rename" in variants:
+        staged = with_renamed(staged, "code", "id", "_lang", "_renamed")
     lang = F.col("_lang")
     tag = F.when(lang == "Python", "python").when(lang == "Java", "java").otherwise("cpp")
-    fence = F.concat(F.lit("### Response:\n```"), tag, F.lit("\n"), F.col("code"), F.lit("\n```"))
-    arr = F.array(
-        F.struct(F.lit("rename").alias("variant"), F.col("_renamed").alias("text")),
-        F.struct(F.lit("drop").alias("variant"), F.col("code_drop").alias("text")),
-        F.struct(F.lit("comment").alias("variant"), F.col("code_nocomment").alias("text")),
-        F.struct(F.lit("fence").alias("variant"), fence.alias("text")),
-    )
+    build = {
+        "rename": lambda: F.col("_renamed"),
+        "drop": lambda: F.col("code_drop"),
+        "comment": lambda: F.col("code_nocomment"),
+        "fence": lambda: F.concat(F.lit("### Response:\n```"), tag, F.lit("\n"), F.col("code"), F.lit("\n```")),
+    }
+    arr = F.array(*[F.struct(F.lit(v).alias("variant"), build[v]().alias("text")) for v in VARIANTS if v in variants])
     return staged.select("id", F.explode(arr).alias("v")).select("id", "v.variant", "v.text")
