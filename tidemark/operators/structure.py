@@ -8,9 +8,9 @@ pairwise join: the k-th opener at depth d closes with the k-th closer at
 depth d. Signatures are taken for the root and every node with children.
 
 Plan: the token table arrives hash partitioned by ``ids``; the running sums,
-ranks and aggregations are all keyed by ``ids`` (+ extra keys), and the final
-join with the per-program s-expression is on exactly ``ids``, so no exchange
-is added after the initial one.
+ranks and aggregations are all keyed by ``ids`` (+ extra keys). Node spans are
+collected per program and joined 1:1 with the program's s-expression, which
+is therefore read once for the root and all nodes.
 """
 
 from __future__ import annotations
@@ -55,7 +55,10 @@ def subtree_signatures(tokens: DataFrame, ids: Sequence[str]) -> DataFrame:
     piece = (F.when(F.col("delta") == 1, F.concat(F.lit("("), F.col("sym")))
              .when(F.col("delta") == -1, F.lit(")")).otherwise(F.concat(F.lit(" "), F.col("sym"))))
     before = Window.partitionBy(*ids).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = tokens.select(*ids, "pos", "delta", piece.alias("piece"))
+    # the same not-null filter on both branches keeps their plans identical, so the
+    # input shuffle is computed once and reused (a join infers it on one side only)
+    keyed = tokens.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))
+    t = keyed.select(*ids, "pos", "delta", piece.alias("piece"))
     t = t.select("*", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("off"),
                  F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"))
     sexpr = t.groupBy(*ids).agg(
@@ -68,10 +71,17 @@ def subtree_signatures(tokens: DataFrame, ids: Sequence[str]) -> DataFrame:
         F.min(F.when(F.col("delta") == 1, F.col("off"))).alias("o_off"),
         F.max(F.when(F.col("delta") == -1, F.col("off") + 1)).alias("c_end"),
     ).where(F.col("c") > F.col("o") + 1)
-    nodes = pairs.join(sexpr, ids).select(
-        *ids, F.md5(F.expr("substring(sexpr, o_off + 1, c_end - o_off)")).alias("signature"))
-    roots = sexpr.where(F.col("sexpr") != "").select(*ids, F.md5("sexpr").alias("signature"))
-    return nodes.unionByName(roots)
+    # one row per program: its s-expression and the spans of its nodes (bounded by
+    # the program), so the s-expression is read once for the root and every node
+    spans = pairs.groupBy(*ids).agg(F.collect_list(F.struct("o_off", "c_end")).alias("spans"))
+    prog = sexpr.where(F.col("sexpr") != "").join(spans, ids, "left")
+    sx = F.col("sexpr")
+    sigs = F.concat(
+        F.array(F.md5(sx)),
+        F.transform(F.coalesce("spans", F.array().cast("array<struct<o_off:bigint,c_end:bigint>>")),
+                    lambda sp: F.md5(F.substring(sx, (sp["o_off"] + 1).cast("int"), (sp["c_end"] - sp["o_off"]).cast("int")))),
+    )
+    return prog.select(*ids, F.explode(sigs).alias("signature"))
 
 
 def syntax_match(ref_sigs: DataFrame, cand_sigs: DataFrame, pairs: DataFrame, key: str = "pair_id") -> DataFrame:
