@@ -65,7 +65,8 @@ def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n:
                       F.array(*sentinels).cast(f"array<{_GROUP}>"))
     keep = list(ids) + list(carry)
     return (
-        pairs.repartition(fanout_partitions(pairs, FANOUT), *ids)
+        pairs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))
+        .repartition(fanout_partitions(pairs, FANOUT), *ids)
         .select(*keep, F.explode(groups).alias("g"))
         .select(*keep, "g.side", "g.ref", "g.n", "g.hl", "g.rl", F.explode("g.grams").alias("gram"))
     )

@@ -61,7 +61,8 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str) -
     # tokenize before the shuffle: the exchange then carries token arrays and is
     # reused by every consumer; the array is also a column, so the lambda below
     # does not re-run the tokenizer for every element
-    staged = programs.select(*ids, lang, flat.alias("_flat"))
+    keyed = programs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))  # same plan in every consumer
+    staged = keyed.select(*ids, lang, flat.alias("_flat"))
     staged = staged.repartition(fanout_partitions(staged, 2), *ids)
     f = F.col("_flat")
     with_ctx = F.transform(f, lambda x, i: F.struct(
