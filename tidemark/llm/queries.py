@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import dedup_fuse, mixing, rules
-from tidemark.llm.common import documents
+from tidemark.llm import (
+    dedup_fuse, knn_quality, langid, licenses, mixing, packing, rules, simhash, tokens, toxicity,
+)
+from tidemark.llm.common import documents, labels
 
 QUERIES = {}
 ORACLE = {}
@@ -22,6 +25,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under the public byte-level vocabulary."""
+    return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; a fifth of the ids is held out."""
+    return langid.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op3_exact_dedup", dedup_fuse.ORACLE)
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents; one half by id hash is the immutable snapshot, the other the new batch."""
@@ -39,3 +54,34 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_rules(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       F.col("base_failed"), F.col("kept"))
+
+
+@register("op5_knn_quality")
+def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; a fifth of the ids is held out."""
+    return knn_quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; a quarter of the ids is held out."""
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).select(
+        "doc_id", "held_out", "score", "predicted", "evidence")
+
+
+@register("op7_simhash_near_dedup")
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-word shingles, fingerprints linked at 2 or fewer differing bits."""
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle_words=3, max_bits=2)
+
+
+@register("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens of the public word vocabulary, each document closed by id 2."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op10_license_scan", licenses.ORACLE)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license templates in every whole text."""
+    return licenses.scan(documents(spark, sf_dir))
