@@ -28,6 +28,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def carry(docs: DataFrame, **extra: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct ``row`` beside the named expressions, so that no names can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[v.alias(k) for k, v in extra.items()])
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

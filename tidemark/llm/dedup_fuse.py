@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import fuse
-from tidemark.llm.common import materialise
+from tidemark.llm.common import ASCII_UPPER, carry, materialise
 
 #: Distinct digests per filter shard, on average: what one task holds, at any input size.
 SHARD_KEYS = 1 << 14
@@ -162,14 +162,13 @@ def dedup_table(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
 
 def apply_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated kept rows one stays."""
-    keep = dedup_table(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keep = keep.dropDuplicates(["_id", "_sha"])
-    sha = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-                             "abcdefghijklmnopqrstuvwxyz"), 256)
-    tagged = docs.withColumn("_digest", sha)
-    met = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    keep = dedup_table(docs).where("kept").select(
+        F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")).distinct()
+    sha = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), ASCII_UPPER, ASCII_UPPER.lower()), 256)
+    tagged = carry(docs, id=F.col("doc_id"), sha=sha)
+    met = tagged.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
     # rows that agree in id and text: one stays; the grouping key holds no more than such repeats
-    return met.dropDuplicates(["doc_id", "_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return met.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 ORACLE = r"""

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, with_rank
+from tidemark.llm.common import WORD, carry, with_rank
 
 #: Weights dealt to the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -108,19 +108,18 @@ def apply_mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS,
     columns: rows that agree in all of them take their summed copies in turn,
     so nothing is lost when ids repeat.
     """
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    decided = mix_sources(docs, seed, weights, max_copies).groupBy("doc_id", "source", "size").agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_copies", "_rows")
-    joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
-                        & (F.col("_size") == F.col("_sz")), "inner")
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    turn = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(same))
+    decided = mix_sources(docs, seed, weights, max_copies).groupBy(
+        F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), F.col("size").alias("d_size")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    keyed = carry(docs, id=F.col("doc_id"), source=F.col("source"), size=word_count(F.col("text")))
+    joined = keyed.join(decided.where("copies > 0"), F.col("id").eqNullSafe(F.col("d_id"))
+                        & F.col("source").eqNullSafe(F.col("d_source")) & (F.col("size") == F.col("d_size")))
+    same = Window.partitionBy("id", "source", "size").orderBy(F.xxhash64("row.text"))
+    turn = F.when(F.col("rows") == 1, F.lit(1)).otherwise(F.row_number().over(same))
     # rows that agree share the copies: the first ones take one more when they don't divide evenly
-    mine = F.floor((F.col("_copies") + F.col("_rows") - turn) / F.col("_rows")).cast("int")
-    out = joined.withColumn("_mine", mine).where(F.col("_mine") > 0)
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = F.floor((F.col("copies") + F.col("rows") - turn) / F.col("rows")).cast("int")
+    out = joined.select("row", mine.alias("mine")).where(F.col("mine") > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("mine")))).select("row.*")
 
 
 ORACLE = r"""

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import carry, materialise
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -252,7 +252,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that represent their component (the smallest id), with all their columns."""
     found = near_duplicates(docs, shingle_words, max_bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(
-        F.min("fingerprint").alias("fingerprint")).select(F.col("doc_id").alias("_id"))
-    met = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return met.dropDuplicates(["doc_id"])
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+    met = carry(docs, id=F.col("doc_id")).join(keep, F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return met.dropDuplicates(["id"]).select("row.*")
