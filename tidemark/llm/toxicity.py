@@ -12,8 +12,8 @@ labels vote with weights that fall with distance, shrunk towards the base rate;
 the nearest examples' ids are returned as evidence.
 
 Defined cases: null and empty text, and texts without any term, score the
-toxic rate of training examples without terms; without training labels every
-score is 0; texts are read whole; ties in cosine go to the example that comes
+toxic rate of training examples without terms, at most ``NO_EVIDENCE``; without
+training labels every score is 0; texts are read whole; ties in cosine go to the example that comes
 first; repeated rows score alike; an empty table gives an empty result; other
 columns are ignored (kept by ``reject_toxic``).
 """
@@ -44,6 +44,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 SHRINK = 0.3
 THRESHOLD = 0.3
+#: A text without evidence never scores more than this.
+NO_EVIDENCE = 0.15
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -198,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     lookup = Lookup(choose_terms(sample))
     rate = label_share(docs, labels, "toxic", train)
     if not lookup.number:
-        return Model(lookup, np.zeros(0), None, rate, rate)
+        return Model(lookup, np.zeros(0), None, rate, min(rate, NO_EVIDENCE))
     n, df = document_frequencies(docs, lookup)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
 
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     without = [rows[i]["label"] for i, u in enumerate(units) if not u]
     index = BlockMaxIndex([units[i] for i in with_terms], [rows[i]["label"] for i in with_terms],
                           [rows[i]["doc_id"] for i in with_terms], len(idf))
-    rest = min(rate, sum(without) / len(without)) if without else 0.0
+    rest = min(NO_EVIDENCE, rate, sum(without) / len(without)) if without else 0.0
     return Model(lookup, idf, index, rate, rest)
 
 
