@@ -57,6 +57,7 @@ def with_rank(df: DataFrame, group: list[str], order: list[str], rank: str = "ra
     """
     part = "_range_part"
     n = partitions(df.sparkSession)
+    df = materialise(df)  # range partitioning reads its input twice: once to choose the bounds
     laid = materialise(df.repartitionByRange(n, *[F.col(c) for c in group + order])
                        .withColumn(part, F.spark_partition_id()))
     sums = [F.count(F.lit(1)).alias("_rows")] + ([F.sum(weight).alias("_weight")] if weight else [])

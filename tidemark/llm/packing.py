@@ -29,42 +29,42 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, with_rank
 from tidemark.llm.cutting import whole_patterns
-from tidemark.llm.tokens import Memo, load
+from tidemark.llm.tokens import Memo, load, usual
 
 CAPACITY = 4096
 CLASS_WIDTH = 8
 END_ID = 2
-#: White space outside ASCII and the separators that only Python takes for white space.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_CORE = re.compile(r"([^\W_]+)([.,;:!?]+)")
+_PARTS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 _memos: dict[str, Memo] = {}
 
 
 def _id_bytes(path: str):
-    """bytes of little-endian 32-bit ids per word; a word and its closing marks are encoded apart."""
+    """bytes of little-endian 32-bit ids per word."""
     def make(words: list[str]) -> list[bytes]:
-        tok = load(path)
-        split = [_CORE.fullmatch(w) for w in words]
-        cores = list({m[1] if m else w for w, m in zip(words, split, strict=True)} | {m[2] for m in split if m})
-        enc = tok.encode_batch_fast(cores, add_special_tokens=False)
-        known = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(cores, enc, strict=True)}
-        return [known[m[1]] + known[m[2]] if m else known[w] for w, m in zip(words, split, strict=True)]
+        return [np.array(e.ids, "<u4").tobytes() for e in load(path).encode_batch_fast(words, add_special_tokens=False)]
 
     return make
 
 
-def encode_words(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space.
+def _words(text: str) -> list[str]:
+    """Parts of the text whose ids, one after another, are the text's.
 
-    Such a tokenizer splits at white space before anything else, so the ids of
-    a text are those of its words, one after another.
+    The tokenizer lower-cases, drops white space, and splits letters from marks;
+    for usual texts those parts are known, others are split at white space only.
     """
+    if usual(text):
+        return _PARTS.findall(text.lower())
+    return [w for w in _SPACE.split(text) if w]
+
+
+def encode_words(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space."""
     memo = _memos.setdefault(path, Memo(_id_bytes(path)))
     out: list[bytes] = []
     for at in range(0, len(texts), 256):
-        lists = [[w for w in _SPACE.split(t) if w] if _ODD_SPACE.search(t) else t.split() for t in texts[at:at + 256]]
+        lists = [_words(t) for t in texts[at:at + 256]]
         known = memo.cover(lists)
         out += [b"".join(map(known.__getitem__, ws)) for ws in lists]
     return out
