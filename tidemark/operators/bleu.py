@@ -46,12 +46,13 @@ def _group(side: int, ref_no, n: int, grams: Column, hl=None, rl=None) -> Column
 
 
 def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n: int, sep: str,
-              carry: Sequence[str] = ()) -> DataFrame:
+              carry: Sequence[str] = (), laid: bool = False) -> DataFrame:
     """One row per (pair, side, reference, order, gram occurrence) plus one sentinel per order.
 
     Two explodes: first one row per (side, reference, order) holding that
     order's gram array, then the grams themselves, so no struct is built per gram.
-    ``carry`` columns ride along as values (not keys).
+    ``carry`` columns ride along as values (not keys). ``laid`` tells that the
+    pairs are hash partitioned by some of ``ids`` already, so nothing is shuffled.
     """
     h = F.col(hyp)
     r = F.col(refs)
@@ -64,10 +65,10 @@ def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n:
     groups = F.concat(F.array(*hyp_groups).cast(f"array<{_GROUP}>"), ref_groups.cast(f"array<{_GROUP}>"),
                       F.array(*sentinels).cast(f"array<{_GROUP}>"))
     keep = list(ids) + list(carry)
+    rows = pairs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))
+    rows = rows if laid else rows.repartition(fanout_partitions(pairs, FANOUT), *ids)
     return (
-        pairs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))
-        .repartition(fanout_partitions(pairs, FANOUT), *ids)
-        .select(*keep, F.explode(groups).alias("g"))
+        rows.select(*keep, F.explode(groups).alias("g"))
         .select(*keep, "g.side", "g.ref", "g.n", "g.hl", "g.rl", F.explode("g.grams").alias("gram"))
     )
 
@@ -79,6 +80,7 @@ def order_stats(
     refs: str = "refs",
     max_n: int = 4,
     sep: str = "\n",
+    laid: bool = False,
 ) -> DataFrame:
     """Modified precision per pair and order: ``ids, n, num, den, hyp_len, ref_len``.
 
@@ -86,7 +88,7 @@ def order_stats(
     den = max(1, number of hypothesis grams).
     """
     ids = list(ids)
-    g = gram_rows(pairs, ids, hyp, refs, max_n, sep)
+    g = gram_rows(pairs, ids, hyp, refs, max_n, sep, laid=laid)
     per_side = g.groupBy(*ids, "n", "gram", "side", "ref").agg(
         F.count(F.lit(1)).alias("c"), F.max("hl").alias("hl"), F.max("rl").alias("rl")
     )
@@ -124,10 +126,11 @@ def sentence_bleu(
     weights: tuple[float, ...] = BF.DEFAULT_WEIGHTS,
     auto_reweigh: bool = False,
     sep: str = "\n",
+    laid: bool = False,
 ) -> DataFrame:
     """BLEU of each pair: ``ids, bleu`` (rounded to 6 places)."""
     n = BF.orders_needed(method, weights)
-    wide = wide_stats(order_stats(pairs, ids, hyp, refs, n, sep), ids, n)
+    wide = wide_stats(order_stats(pairs, ids, hyp, refs, n, sep, laid), ids, n)
     return wide.select(*ids, F.expr(BF.bleu(method, weights, auto_reweigh)).alias("bleu"))
 
 

@@ -40,19 +40,20 @@ TYPE_WORDS = ("int", "long", "short", "float", "double", "char", "bool", "boolea
               "String", "unsigned", "signed", "void")
 
 
-def _keyword_array(lang: Column) -> Column:
-    out = None
+def _is_keyword(token: Column, lang: Column) -> Column:
+    """Set membership per language: one hash probe per token."""
+    out = F.lit(False)
     for name, code in LANG_CODE.items():
-        arr = F.array(*[F.lit(w) for w in KEYWORDS[code]])
-        out = F.when(lang == name, arr) if out is None else out.when(lang == name, arr)
-    return out.otherwise(F.array().cast("array<string>"))
+        out = F.when(lang == name, token.isin(*KEYWORDS[code])).otherwise(out)
+    return out
 
 
-def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str) -> DataFrame:
+def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str, laid: bool = False) -> DataFrame:
     """``ids, pos, line, token, kind, prev_tok, next_tok`` with comments removed first.
 
     kind: string, number, keyword, name, op. Positions are 0-based over the
-    whole program; lines are 0-based.
+    whole program; lines are 0-based. ``laid`` tells that the programs are hash
+    partitioned by some of ``ids`` already, so nothing is shuffled.
     """
     ids = list(ids)
     lines = F.split(strip_comments(text, lang), "\n", -1)
@@ -63,18 +64,18 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str) -
     # does not re-run the tokenizer for every element
     keyed = programs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))  # same plan in every consumer
     staged = keyed.select(*ids, lang, flat.alias("_flat"))
-    staged = staged.repartition(fanout_partitions(staged, 2), *ids)
+    if not laid:
+        staged = staged.repartition(fanout_partitions(staged, 2), *ids)
     f = F.col("_flat")
     with_ctx = F.transform(f, lambda x, i: F.struct(
         x["line"].alias("line"), x["tok"].alias("tok"),
         F.get(f, i - 1)["tok"].alias("prev_tok"), F.get(f, i + 1)["tok"].alias("next_tok")))
-    kw = _keyword_array(F.col(lang))
-    exploded = staged.select(*ids, kw.alias("_kw"), F.posexplode(with_ctx).alias("pos", "t"))
+    exploded = staged.select(*ids, lang, F.posexplode(with_ctx).alias("pos", "t"))
     tok = F.col("t.tok")
     kind = (
         F.when(tok.startswith('"') | tok.startswith("'"), "string")
         .when(tok.rlike("^[0-9]"), "number")
-        .when(F.array_contains("_kw", tok), "keyword")
+        .when(_is_keyword(tok, F.col(lang)), "keyword")
         .when(tok.rlike("^[A-Za-z_]"), "name")
         .otherwise("op")
     )
@@ -166,6 +167,19 @@ def normalized(node_df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return per_node.select(*ids, "pos", "var", "rel", F.array_join(plist, ",").alias("parents"))
 
 
+def group_match(items: DataFrame, group: str, member: str, item: str) -> DataFrame:
+    """``group, member, matched, total`` for every member above 0 against member 0 of its group.
+
+    One count per (group, member, item) and a window over (group, item): no join,
+    so frames partitioned by ``group`` stay where they are.
+    """
+    c = items.groupBy(group, member, item).agg(F.count(F.lit(1)).alias("rc"))
+    own = F.max(F.when(F.col(member) == 0, F.col("rc"))).over(Window.partitionBy(group, item))
+    c = c.withColumn("cc", F.coalesce(own, F.lit(0))).where(F.col(member) > 0)
+    return c.groupBy(group, member).agg(
+        F.sum(F.least("rc", "cc")).cast("bigint").alias("matched"), F.sum("rc").cast("bigint").alias("total"))
+
+
 def multiset_match(ref: DataFrame, cand: DataFrame, key: str, item: str) -> DataFrame:
     """``key, matched, total``: sum over items of min(ref count, cand count); total = ref count."""
     r = ref.groupBy(key, item).agg(F.count(F.lit(1)).alias("rc"))

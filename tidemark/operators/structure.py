@@ -7,10 +7,9 @@ between its opening and closing piece. Nodes are found without any range or
 pairwise join: the k-th opener at depth d closes with the k-th closer at
 depth d. Signatures are taken for the root and every node with children.
 
-Plan: the token table arrives hash partitioned by ``ids``; the running sums,
-ranks and aggregations are all keyed by ``ids`` (+ extra keys). Node spans are
-collected per program and joined 1:1 with the program's s-expression, which
-is therefore read once for the root and all nodes.
+Plan: the token table arrives hash partitioned by ``ids`` (or some of them); the
+running sums, ranks and the one aggregation per program are all keyed by
+``ids`` (+ extra keys), so nothing is shuffled and nothing is joined.
 """
 
 from __future__ import annotations
@@ -50,40 +49,52 @@ def code_structure_tokens(tokens: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def subtree_signatures(tokens: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """``ids, signature`` for the root and every node with at least one child (with multiplicity)."""
+    """``ids, signature`` for the root and every node with at least one child (with multiplicity).
+
+    One aggregation per program gathers its pieces and its node spans; there is
+    no join. The s-expression is cut as bytes, so a node costs its own length
+    wherever it stands: a record ten times longer takes ten times as long.
+    """
     ids = list(ids)
     piece = (F.when(F.col("delta") == 1, F.concat(F.lit("("), F.col("sym")))
              .when(F.col("delta") == -1, F.lit(")")).otherwise(F.concat(F.lit(" "), F.col("sym"))))
     before = Window.partitionBy(*ids).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    # the same not-null filter on both branches keeps their plans identical, so the
-    # input shuffle is computed once and reused (a join infers it on one side only)
     keyed = tokens.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))
     t = keyed.select(*ids, "pos", "delta", piece.alias("piece"))
-    t = t.select("*", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("off"),
+    t = t.select("*", F.coalesce(F.sum(F.octet_length("piece")).over(before), F.lit(0)).alias("off"),
                  F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"))
-    sexpr = t.groupBy(*ids).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("sexpr"))
-    marks = t.where(F.col("delta") != 0).withColumn("d", F.when(F.col("delta") == 1, F.col("depth")).otherwise(F.col("depth") - 1))
-    marks = marks.withColumn("k", F.row_number().over(Window.partitionBy(*ids, "d", "delta").orderBy("pos")))
-    pairs = marks.groupBy(*ids, "d", "k").agg(
-        F.min(F.when(F.col("delta") == 1, F.col("pos"))).alias("o"),
-        F.max(F.when(F.col("delta") == -1, F.col("pos"))).alias("c"),
-        F.min(F.when(F.col("delta") == 1, F.col("off"))).alias("o_off"),
-        F.max(F.when(F.col("delta") == -1, F.col("off") + 1)).alias("c_end"),
-    ).where(F.col("c") > F.col("o") + 1)
-    # one row per program: its s-expression and the spans of its nodes (bounded by
-    # the program), so the s-expression is read once for the root and every node
-    spans = pairs.groupBy(*ids).agg(F.collect_list(F.struct("o_off", "c_end")).alias("spans"))
-    prog = sexpr.where(F.col("sexpr") != "").join(spans, ids, "left")
+    # the k-th opener at a depth closes with the k-th closer there; leaves stay apart at delta 0
+    t = t.withColumn("d", F.when(F.col("delta") == -1, F.col("depth") - 1).otherwise(F.col("depth")))
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy(*ids, "d", "delta").orderBy("pos")))
+    mate = Window.partitionBy(*ids, "d", "k")
+    opener = F.max(F.when(F.col("delta") == 1, F.struct("pos", "off"))).over(mate)
+    t = t.withColumn("o", opener)
+    closes = (F.col("delta") == -1) & (F.col("pos") > F.col("o.pos") + 1)
+    prog = t.groupBy(*ids).agg(
+        F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), ""),
+                 "UTF-8").alias("sexpr"),
+        F.collect_list(F.when(closes, F.struct(F.col("o.off").alias("a"), (F.col("off") + 1).alias("b")))).alias("spans"),
+    ).where(F.octet_length("sexpr") > 0)
     sx = F.col("sexpr")
-    sigs = F.concat(
-        F.array(F.md5(sx)),
-        F.transform(F.coalesce("spans", F.array().cast("array<struct<o_off:bigint,c_end:bigint>>")),
-                    lambda sp: F.md5(F.substring(sx, (sp["o_off"] + 1).cast("int"), (sp["c_end"] - sp["o_off"]).cast("int")))),
-    )
+    sigs = F.concat(F.array(F.md5(sx)), F.transform("spans", lambda sp: F.md5(
+        F.substring(sx, (sp["a"] + 1).cast("int"), (sp["b"] - sp["a"]).cast("int")))))
     return prog.select(*ids, F.explode(sigs).alias("signature"))
 
 
+def group_syntax_match(sigs: DataFrame, group: str, member: str) -> DataFrame:
+    """``group, member, matched, total`` for every member above 0: its subtrees (with multiplicity) found in member 0.
+
+    Counts and a window over (group, signature): no join, so frames partitioned
+    by ``group`` stay where they are.
+    """
+    c = sigs.groupBy(group, member, "signature").agg(F.count(F.lit(1)).alias("cnt"))
+    hit = F.max(F.col(member) == 0).over(Window.partitionBy(group, "signature"))
+    c = c.withColumn("hit", hit).where(F.col(member) > 0)
+    return c.groupBy(group, member).agg(
+        F.sum(F.when(F.col("hit"), F.col("cnt")).otherwise(0)).cast("bigint").alias("matched"),
+        F.sum("cnt").cast("bigint").alias("total"))
+
+
 def syntax_match(ref_sigs: DataFrame, cand_sigs: DataFrame, pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """``key, matched, total, score``: reference subtrees (with multiplicity) found among the candidate's."""
     r = ref_sigs.groupBy(key, "signature").agg(F.count(F.lit(1)).alias("cnt"))

@@ -44,16 +44,17 @@ def _lang_id(lang: str) -> F.Column:
 
 
 def weighted_stats(pairs: DataFrame, ids: Sequence[str], lang: str, hyp: str, ref: str,
-                   keywords: DataFrame, max_n: int = 4, sep: str = " ") -> DataFrame:
-    """Wide per-pair recall statistics ``ids, lang_id, num_k, den_k, hyp_len, ref_len``.
+                   keywords: DataFrame, max_n: int = 4, sep: str = " ", laid: bool = False) -> DataFrame:
+    """Wide per-pair recall statistics ``ids, lang, num_k, den_k, hyp_len, ref_len``.
 
     The language rides along as a small integer: a string in an aggregation
     buffer would push Spark from hash to sort aggregation.
     """
     ids = list(ids)
-    p = pairs.select(*ids, _lang_id(lang).alias("lang_id"), F.col(hyp).alias("_hyp"), F.array(F.col(ref)).alias("_refs"))
-    g = B.gram_rows(p, ids, "_hyp", "_refs", max_n, sep, carry=["lang_id"])
-    per_gram = g.groupBy(*ids, "n", "gram").agg(
+    keys = [*ids, lang]  # a pair has one language: as a key it needs no join back
+    p = pairs.select(*keys, _lang_id(lang).alias("lang_id"), F.col(hyp).alias("_hyp"), F.array(F.col(ref)).alias("_refs"))
+    g = B.gram_rows(p, ids, "_hyp", "_refs", max_n, sep, carry=[lang, "lang_id"], laid=laid)
+    per_gram = g.groupBy(*keys, "n", "gram").agg(
         F.count(F.when(F.col("side") == 0, 1)).alias("h"),
         F.count(F.when(F.col("side") == 1, 1)).alias("r"),
         F.max("lang_id").alias("lang_id"), F.max("hl").alias("hl"), F.max("rl").alias("rl"),
@@ -62,21 +63,21 @@ def weighted_stats(pairs: DataFrame, ids: Sequence[str], lang: str, hyp: str, re
     j = per_gram.join(kw, (per_gram["lang_id"] == kw["kw_lang"]) & (per_gram["gram"] == kw["keyword"]) & (per_gram["n"] == 1),
                       "left")
     w5 = F.when(F.col("n") == 1, F.when(F.col("is_kw"), W_KEYWORD).otherwise(W_OTHER)).otherwise(W_SCALE)
-    per_order = j.groupBy(*ids, "n").agg(
+    per_order = j.groupBy(*keys, "n").agg(
         F.sum(F.least("h", "r") * w5).alias("num5"), F.sum(F.col("r") * w5).alias("den5"),
         F.max("hl").alias("hyp_len"), F.max("rl").alias("ref_len"))
     aggs = []
     for k in range(1, max_n + 1):
         aggs.append(F.max(F.when(F.col("n") == k, F.col("num5") / float(W_SCALE))).alias(f"num_{k}"))
         aggs.append(F.max(F.when(F.col("n") == k, F.greatest(F.lit(1.0), F.col("den5") / float(W_SCALE)))).alias(f"den_{k}"))
-    return per_order.groupBy(*ids).agg(*aggs, F.max("hyp_len").alias("hyp_len"), F.max("ref_len").alias("ref_len"))
+    return per_order.groupBy(*keys).agg(*aggs, F.max("hyp_len").alias("hyp_len"), F.max("ref_len").alias("ref_len"))
 
 
-def weighted_ngram(pairs: DataFrame, ids: Sequence[str], lang: str, hyp: str, ref: str, keywords: DataFrame) -> DataFrame:
+def weighted_ngram(pairs: DataFrame, ids: Sequence[str], lang: str, hyp: str, ref: str, keywords: DataFrame,
+                   laid: bool = False) -> DataFrame:
     """``ids, lang, score``: weighted recall BLEU (method 1), 6 places."""
-    wide = weighted_stats(pairs, ids, lang, hyp, ref, keywords)
-    names = pairs.select(*ids, lang)
-    return wide.select(*ids, F.expr(BF.bleu(1)).alias("score")).join(names, list(ids)).select(*ids, lang, "score")
+    wide = weighted_stats(pairs, ids, lang, hyp, ref, keywords, laid=laid)
+    return wide.select(*ids, lang, F.expr(BF.bleu(1)).alias("score"))
 
 
 # --- fixed values: default CodeBLEU weights alpha, beta, gamma, theta

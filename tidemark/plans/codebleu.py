@@ -14,63 +14,96 @@ from tidemark.operators import weighted as W
 from tidemark.operators.corpus import align_last_wins
 from tidemark.operators.report import micro_units_sql
 from tidemark.plans.build import LANG, corpus, with_lang
-from tidemark.session import checkpoint_dir
-from tidemark.plans.flow import SCORED_VARIANTS, variant_programs
+from tidemark.session import checkpoint_dir, fanout_partitions
+from tidemark.plans.flow import SCORED_VARIANTS
 from tidemark.plans.registry import register
 from tidemark.plans.scoring import stats_ctes
 from tidemark.plans.sql_fixtures import NL, WS, strip, with_ctes
 from tidemark.plans.sql_flow import _kw, code_structure_src, flow_ctes, structure_ctes
-from tidemark.sources.code_corpus import code_variants
+from tidemark.sources.code_corpus import variant_texts
 
 
 # ---------------------------------------------------------------- Spark side
-def cb_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """``pair_id, id, variant, lang, grade, text1 (original), text2 (variant)``.
+def lay(rows: DataFrame) -> DataFrame:
+    """Rows of ``id, lang, grade, texts`` (the original first) laid out once by id, behind a reliable checkpoint.
 
-    The pairs fan out to four scorers; they are materialised once with a
-    reliable checkpoint in the shared checkpoint folder, which also cuts the
-    lineage (a lost executor re-reads the checkpoint instead of rebuilding the
-    corpus and its variants).
+    This is the only time the texts cross the network: the checkpoint keeps the
+    partitioning, and every scorer below works on keys that begin with ``id``.
     """
-    checkpoint_dir(spark)
-    k = corpus(spark, sf).select("id", "grade", F.col("code").alias("text1"))
-    vp = variant_programs(spark, sf)
-    pairs = vp.join(k, "id").select("pair_id", "id", "variant", "lang", "grade", "text1", F.col("text").alias("text2"))
-    return pairs.checkpoint(eager=True)
+    checkpoint_dir(rows.sparkSession)
+    return rows.repartition(fanout_partitions(rows, B.FANOUT), "id").checkpoint(eager=True)
 
 
-def codebleu_scores(pairs: DataFrame, keywords: DataFrame, params: str = W.DEFAULT_PARAMS) -> DataFrame:
-    """The four CodeBLEU components and their weighted sum per pair.
+def laid_programs(spark: SparkSession, sf: str, scored: dict[str, int] = SCORED_VARIANTS) -> DataFrame:
+    """``id, lang, grade, texts``: each program with its scored variants, in the order of their digits."""
+    return lay(variant_texts(with_lang(corpus(spark, sf)), scored).select("id", "lang", "grade", "texts"))
 
-    ``pairs``: pair_id, id (the original program's id), lang, text1, text2.
 
-    BLEU: hypothesis = text2 lines, reference = text1 lines. Weighted n-gram,
-    syntax and data flow: reference = text2, candidate = text1 (words for the
-    weighted score).
+def _pairs(rows: DataFrame) -> DataFrame:
+    """``id, member, lang, text1 (original), text2 (member's)``: a narrow map."""
+    return rows.select("id", "lang", F.element_at("texts", 1).alias("text1"), F.posexplode("texts").alias("member", "text2")
+                       ).where(F.col("member") > 0)
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "lang", F.posexplode("texts").alias("member", "text"))
+
+
+_KEY = ["id", "member"]
+
+
+def weighted_scores(rows: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``id, member, lang, score``: words of the original against words of the member."""
+    words = _pairs(rows).select(*_KEY, "lang", word_tokens("text1").alias("hyp"), word_tokens("text2").alias("ref"))
+    return W.weighted_ngram(words, _KEY, "lang", "hyp", "ref", keywords, laid=True)
+
+
+def flow_matches(rows: DataFrame) -> DataFrame:
+    """``id, member, matched, total`` of normalised data-flow items."""
+    tok = D.token_table(_members(rows), _KEY, "text", "lang", laid=True)
+    items = D.normalized(D.nodes(tok, _KEY), _KEY).select(*_KEY, F.concat_ws("|", "var", "rel", "parents").alias("item"))
+    return D.group_match(items, "id", "member", "item")
+
+
+def syntax_matches(rows: DataFrame) -> DataFrame:
+    """``id, member, matched, total`` of subtree signatures."""
+    tok = D.token_table(_members(rows), _KEY, "text", "lang", laid=True)
+    return S.group_syntax_match(S.subtree_signatures(S.code_structure_tokens(tok, _KEY), _KEY), "id", "member")
+
+
+def codebleu_scores(rows: DataFrame, keywords: DataFrame, params: str = W.DEFAULT_PARAMS) -> DataFrame:
+    """``id, member, lang, grade`` with the four CodeBLEU components and their weighted sum.
+
+    ``rows``: as ``lay`` returns them. BLEU: hypothesis = the member's lines,
+    reference = the original's. Weighted n-gram, syntax and data flow: reference
+    = member, candidate = original. Every scorer emits one small row per pair;
+    they are stacked and combined in one aggregation instead of joined.
     """
-    bleu = B.sentence_bleu(pairs.select("pair_id", line_tokens("text2").alias("hyp"),
-                                        F.array(line_tokens("text1")).alias("refs")))
-    weighted = W.weighted_ngram(pairs.select("pair_id", "lang", word_tokens("text1").alias("hyp"),
-                                             word_tokens("text2").alias("ref")),
-                                ["pair_id"], "lang", "hyp", "ref", keywords).select("pair_id", F.col("score").alias("weighted"))
-    ref_tok = D.token_table(pairs.select("pair_id", F.col("text2").alias("text"), "lang"), ["pair_id"], "text", "lang")
-    # the candidate (original program) is shared by all variants of an id: analyse it once
-    # per id, then fan the small signature / item rows out to the pairs
-    links = pairs.select("pair_id", "id")
-    cand_prog = pairs.select("id", F.col("text1").alias("text"), "lang").dropDuplicates(["id"])
-    cand_tok = D.token_table(cand_prog, ["id"], "text", "lang")
-    cand_sig = S.subtree_signatures(S.code_structure_tokens(cand_tok, ["id"]), ["id"]).distinct().join(links, "id")
-    syn = S.syntax_match(S.subtree_signatures(S.code_structure_tokens(ref_tok, ["pair_id"]), ["pair_id"]),
-                         cand_sig.select("pair_id", "signature"), pairs).select("pair_id", F.col("score").alias("syntax"))
-    item = F.concat_ws("|", "var", "rel", "parents").alias("item")
-    rn = D.normalized(D.nodes(ref_tok, ["pair_id"]), ["pair_id"]).select("pair_id", item)
-    cn = D.normalized(D.nodes(cand_tok, ["id"]), ["id"]).select("id", item).join(links, "id").select("pair_id", "item")
-    m = D.multiset_match(rn, cn, "pair_id", "item")
-    flow = pairs.select("pair_id").join(m, "pair_id", "left").select(
-        "pair_id", F.expr(f"CASE WHEN coalesce(total, 0) = 0 THEN 0e0 ELSE {BF.r6('CAST(matched AS DOUBLE) / total')} END")
-        .alias("dataflow"))
-    out = pairs.select("pair_id", "lang").join(bleu, "pair_id").join(weighted, "pair_id").join(syn, "pair_id").join(flow, "pair_id")
-    return out.select("pair_id", "lang", "bleu", "weighted", "syntax", "dataflow", F.expr(W.combine_sql(params)).alias("codebleu"))
+    none = F.lit(None).cast("double")
+    ratio = F.expr(BF.r6("CAST(matched AS DOUBLE) / total"))
+
+    def part(df: DataFrame, name: str, value: F.Column) -> DataFrame:
+        return df.select(*_KEY, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("grade"), *[
+            (value if n == name else none).alias(n) for n in ("bleu", "weighted", "syntax", "dataflow")])
+
+    bleu = B.sentence_bleu(_pairs(rows).select(*_KEY, line_tokens("text2").alias("hyp"), F.array(line_tokens("text1")).alias("refs")),
+                           _KEY, laid=True)
+    known = rows.select("id", "lang", "grade", F.explode(F.sequence(F.lit(1), F.size("texts") - 1)).alias("member")).select(
+        *_KEY, "lang", "grade", *[none.alias(n) for n in ("bleu", "weighted", "syntax", "dataflow")])
+    stacked = known
+    for piece in (part(bleu, "bleu", F.col("bleu")), part(weighted_scores(rows, keywords), "weighted", F.col("score")),
+                  part(syntax_matches(rows), "syntax", ratio), part(flow_matches(rows), "dataflow", ratio)):
+        stacked = stacked.unionByName(piece)
+    zero = F.lit(0.0)
+    out = stacked.groupBy(*_KEY).agg(
+        F.max("lang").alias("lang"), F.max("grade").alias("grade"), F.max("bleu").alias("bleu"),
+        F.max("weighted").alias("weighted"), F.coalesce(F.max("syntax"), zero).alias("syntax"),
+        F.coalesce(F.max("dataflow"), zero).alias("dataflow"))
+    return out.withColumn("codebleu", F.expr(W.combine_sql(params)))
+
+
+def pair_id() -> F.Column:
+    return (F.col("id") * 10 + F.col("member")).alias("pair_id")
 
 
 # ---------------------------------------------------------------- DuckDB side
@@ -163,14 +196,13 @@ def _cb_sql(query: str, pairs_sql: str = CB_PAIRS_SQL) -> str:
     extra={"cbp": CB_PAIRS_SQL, **weighted_ctes(
         "wt", f"SELECT pair_id, lang, {_words('text1')} AS hyp, {_words('text2')} AS ref FROM cbp")}))
 def weighted_ngram(spark, sf):
-    p = cb_pairs(spark, sf)
-    return W.weighted_ngram(p.select("pair_id", "lang", word_tokens("text1").alias("hyp"), word_tokens("text2").alias("ref")),
-                            ["pair_id"], "lang", "hyp", "ref", W.keyword_dim(spark))
+    return weighted_scores(laid_programs(spark, sf), W.keyword_dim(spark)).select(pair_id(), "lang", "score")
 
 
 @register("codebleu", _cb_sql("SELECT pair_id, lang, bleu, weighted, syntax, dataflow, codebleu FROM cb_scores"))
 def codebleu(spark, sf):
-    return codebleu_scores(cb_pairs(spark, sf), W.keyword_dim(spark))
+    return codebleu_scores(laid_programs(spark, sf), W.keyword_dim(spark)).select(
+        pair_id(), "lang", "bleu", "weighted", "syntax", "dataflow", "codebleu")
 
 
 @register("codebleu_report", _cb_sql(f"""
@@ -180,9 +212,9 @@ FROM cb_scores s JOIN cbp p ON p.pair_id = s.pair_id
 GROUP BY ROLLUP (p.variant, p.lang, p.grade)"""))
 def codebleu_report(spark, sf):
     """Mean CodeBLEU per variant, language and grade, with rollup totals (level = grouping id)."""
-    p = cb_pairs(spark, sf)
-    s = codebleu_scores(p, W.keyword_dim(spark)).select("pair_id", "codebleu")
-    j = p.select("pair_id", "variant", "lang", "grade").join(s, "pair_id")
+    names = F.array(*[F.lit(v) for v in ("original", *SCORED_VARIANTS)])
+    j = codebleu_scores(laid_programs(spark, sf), W.keyword_dim(spark)).withColumn(
+        "variant", F.element_at(names, F.col("member") + 1))
     return (
         j.rollup("variant", "lang", "grade")
         .agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"),
@@ -207,17 +239,14 @@ SELECT lang, count(*) AS n, floor(CAST(sum(CAST(floor(codebleu * 1e6 + 5e-1) AS
        / (count(*) * 1e6) * 1e6 + 5e-1) / 1e6 AS avg
 FROM cb_scores GROUP BY lang""", DUAL_PAIRS_SQL))
 def codebleu_dual(spark, sf):
-    checkpoint_dir(spark)
-    k = with_lang(corpus(spark, sf))
-    first = k.select("id", "lang", "code")
-    v = code_variants(corpus(spark, sf), ("drop", "rename"))
-    second = v.join(k.select("id", "lang"), "id").select(
-        "id", "lang", F.col("text").alias("code"), F.when(F.col("variant") == "drop", 1).otherwise(2).alias("ord"))
-    left = first.select("id", F.struct("lang", "code").alias("v"), F.lit(0).alias("ord"))
-    right = second.select("id", F.struct("lang", "code").alias("v"), "ord")
+    k = variant_texts(with_lang(corpus(spark, sf)), {"rename": 1, "drop": 2})
+    lang_code = lambda n: F.struct("lang", F.element_at("texts", n).alias("code")).alias("v")
+    left = k.select("id", lang_code(1), F.lit(0).alias("ord"))
+    second = F.explode(F.array(F.struct(lang_code(3), F.lit(1).alias("ord")), F.struct(lang_code(2), F.lit(2).alias("ord"))))
+    right = k.select("id", second.alias("r")).select("id", "r.v", "r.ord")
     al = align_last_wins(left, right, "id", "ord", "v").where(F.col("left.lang") == F.col("right.lang"))
-    pairs = al.select(F.col("id").alias("pair_id"), "id", F.col("left.lang").alias("lang"),
-                      F.col("left.code").alias("text1"), F.col("right.code").alias("text2")).checkpoint(eager=True)
-    s = codebleu_scores(pairs, W.keyword_dim(spark))
+    rows = lay(al.select("id", F.col("left.lang").alias("lang"), F.lit(None).cast("string").alias("grade"),
+                         F.array("left.code", "right.code").alias("texts")))
+    s = codebleu_scores(rows, W.keyword_dim(spark))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(micro_units_sql("codebleu"))).alias("_m")).select(
         "lang", "n", F.expr(BF.r6("CAST(_m AS DOUBLE) / (n * 1e6)")).alias("avg"))

@@ -13,9 +13,9 @@ from tidemark.plans.sql_fixtures import with_ctes
 from tidemark.plans.sql_flow import flow_ctes, structure_ctes
 from tidemark.operators import structure as S
 from tidemark.sources.tables import table
-from tidemark.sources.code_corpus import code_variants
 
-# --- fixed values: the variants scored against the original, and their pair-id digit
+# --- fixed values: the variants scored against the original, and their pair-id digit (the fenced
+# variant is left out: the code extracted from it is the original itself)
 SCORED_VARIANTS = {"rename": 1, "drop": 2, "comment": 3}
 
 
@@ -23,15 +23,6 @@ def programs(spark: SparkSession, sf: str) -> DataFrame:
     return with_lang(corpus(spark, sf)).select("id", F.col("code").alias("text"), "lang")
 
 
-def variant_programs(spark: SparkSession, sf: str) -> DataFrame:
-    k = corpus(spark, sf)
-    lang = with_lang(k).select("id", "lang")
-    v = code_variants(k, tuple(SCORED_VARIANTS))
-    vno = F.create_map(*[x for kv in SCORED_VARIANTS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return v.join(lang, "id").select(
-        (F.col("id") * 10 + vno[F.col("variant")]).alias("pair_id"), "id", "variant", "text", "lang")
-
-
 K_SRC = f"SELECT id, code AS text, {LANG} AS lang FROM code_corpus"
 _VNO = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SCORED_VARIANTS.items())
 V_SRC = (f"SELECT v.id * 10 + CASE v.variant {_VNO} END AS pair_id, v.id, v.variant, v.text, {LANG} AS lang "
@@ -65,23 +56,6 @@ def _item(prefix: str = "") -> str:
     return f"{prefix}var || '|' || {prefix}rel || '|' || {prefix}parents"
 
 
-def dataflow_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """``pair_id, matched, total, score``: reference = variant, candidate = original."""
-    vp = variant_programs(spark, sf)
-    ref = D.normalized(D.nodes(D.token_table(vp, ["pair_id"], "text", "lang"), ["pair_id"]), ["pair_id"])
-    ref = ref.select("pair_id", F.concat_ws("|", "var", "rel", "parents").alias("item"))
-    cand = D.normalized(D.nodes(D.token_table(programs(spark, sf), ["id"], "text", "lang"), ["id"]), ["id"])
-    digits = F.array(*[F.lit(v) for v in SCORED_VARIANTS.values()])
-    cand = cand.select("id", F.explode(digits).alias("d"), F.concat_ws("|", "var", "rel", "parents").alias("item"))
-    cand = cand.select((F.col("id") * 10 + F.col("d")).alias("pair_id"), "item")
-    m = D.multiset_match(ref, cand, "pair_id", "item")
-    pairs = vp.select("pair_id")
-    out = pairs.join(m, "pair_id", "left").select(
-        "pair_id", F.coalesce("matched", F.lit(0)).cast("bigint").alias("matched"),
-        F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
-    return out.withColumn("score", F.expr(f"CASE WHEN total = 0 THEN 0e0 ELSE {r6('CAST(matched AS DOUBLE) / total')} END"))
-
-
 DATAFLOW_MATCH_SQL = with_ctes(f"""
 SELECT p.pair_id, CAST(coalesce(m.matched, 0) AS BIGINT) AS matched, CAST(coalesce(m.total, 0) AS BIGINT) AS total,
        CASE WHEN coalesce(m.total, 0) = 0 THEN 0e0
@@ -99,7 +73,16 @@ LEFT JOIN (
 
 @register("dataflow_match", DATAFLOW_MATCH_SQL)
 def dataflow_match(spark, sf):
-    return dataflow_scores(spark, sf)
+    """Reference = variant, candidate = original."""
+    from tidemark.plans.codebleu import flow_matches, laid_programs, pair_id
+
+    rows = laid_programs(spark, sf)
+    every = rows.select("id", F.explode(F.sequence(F.lit(1), F.size("texts") - 1)).alias("member"),
+                        F.lit(0).cast("bigint").alias("matched"), F.lit(0).cast("bigint").alias("total"))
+    out = flow_matches(rows).select("id", "member", "matched", "total").unionByName(every).groupBy("id", "member").agg(
+        F.max("matched").alias("matched"), F.max("total").alias("total"))
+    score = F.expr(f"CASE WHEN total = 0 THEN 0e0 ELSE {r6('CAST(matched AS DOUBLE) / total')} END")
+    return out.select(pair_id(), "matched", "total", score.alias("score"))
 
 
 # ---------------------------------------------------------------- structure (E11 re-aimed)

@@ -102,22 +102,33 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def code_variants(corpus: DataFrame, variants=VARIANTS) -> DataFrame:
-    """Long form ``id, variant, text``: one row per perturbation, so attacks union instead of widening.
-
-    Only the requested ``variants`` are built (Catalyst cannot prune elements
-    of the exploded array, so an unused rename would still be computed).
-    """
+def _variant_columns(corpus: DataFrame, variants) -> tuple[DataFrame, dict]:
+    """(corpus with what the variants need, one text expression per variant): narrow, one row per program."""
     staged = corpus.withColumn("_lang", F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Java")))
     if "rename" in variants:
         staged = with_renamed(staged, "code", "id", "_lang", "_renamed")
     lang = F.col("_lang")
     tag = F.when(lang == "Python", "python").when(lang == "Java", "java").otherwise("cpp")
-    build = {
-        "rename": lambda: F.col("_renamed"),
-        "drop": lambda: F.col("code_drop"),
-        "comment": lambda: F.col("code_nocomment"),
-        "fence": lambda: F.concat(F.lit("### Response:\n```"), tag, F.lit("\n"), F.col("code"), F.lit("\n```")),
+    return staged, {
+        "rename": F.col("_renamed"),
+        "drop": F.col("code_drop"),
+        "comment": F.col("code_nocomment"),
+        "fence": F.concat(F.lit("### Response:\n```"), tag, F.lit("\n"), F.col("code"), F.lit("\n```")),
     }
-    arr = F.array(*[F.struct(F.lit(v).alias("variant"), build[v]().alias("text")) for v in VARIANTS if v in variants])
-    return staged.select("id", F.explode(arr).alias("v")).select("id", "v.variant", "v.text")
+
+
+def variant_texts(corpus: DataFrame, variants) -> DataFrame:
+    """The corpus with ``texts``: the program first, then the named variants in order; one row per program."""
+    staged, build = _variant_columns(corpus, variants)
+    return staged.withColumn("texts", F.array("code", *[build[v] for v in variants]))
+
+
+def code_variants(corpus: DataFrame, variants=VARIANTS, carry=()) -> DataFrame:
+    """Long form ``id, variant, text`` (and the ``carry`` columns): one row per perturbation.
+
+    Only the requested ``variants`` are built (Catalyst cannot prune elements
+    of the exploded array, so an unused rename would still be computed).
+    """
+    staged, build = _variant_columns(corpus, variants)
+    arr = F.array(*[F.struct(F.lit(v).alias("variant"), build[v].alias("text")) for v in VARIANTS if v in variants])
+    return staged.select("id", *carry, F.explode(arr).alias("v")).select("id", *carry, "v.variant", "v.text")
