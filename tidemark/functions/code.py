@@ -4,8 +4,9 @@ Renaming (``with_renamed``) is one simultaneous pass: the text is cut into word
 each word found in the record's name list is swapped for its new name, and
 the runs are joined back. New names are derived from ``md5(id:name)`` (first
 five hex digits mapped to a-p), so the job is deterministic and needs no
-shared state; if two names of one record collide, that record uses twelve
-digits instead.
+shared state. If two new names of one record are equal, or one is a word of the
+record or a reserved word, that record uses twelve digits, then all 32; a
+record for which even those clash keeps its names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keywords import RENAME_EXCLUDE_CPP, RENAME_EXCLUDE_JAVA, rename_exclude_py
 from tidemark.functions.text import col_
 
+NAME_DIGITS = (5, 12, 32)  # hex digits of a new name, the first length without a clash
 WORD_RUNS = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
 
 # --- fixed values: identifier patterns per language
@@ -38,6 +40,10 @@ def hashed_name(id_col, name: Column, digits: int) -> Column:
     return F.translate(h, "0123456789abcdef", "abcdefghijklmnop")
 
 
+def _hashed_names(names: Column, id_col, digits: int) -> Column:
+    return F.transform(names, lambda n: hashed_name(id_col, n, digits))
+
+
 def names_py(code) -> Column:
     return F.array_except(F.array_distinct(extract_all(code, PY_ASSIGNED, 1)), _lit_array(rename_exclude_py()))
 
@@ -50,9 +56,9 @@ def java_parts(code) -> tuple[Column, Column, Column]:
     """(start through the first '(', header up to the next ')', body)."""
     c = col_(code)
     start = F.regexp_extract(c, "^([^(]*\\()", 1)
-    rest = F.substring(c, F.length(start) + 1, F.lit(1 << 30))
+    rest = F.substr(c, F.length(start) + 1)
     header = F.regexp_extract(rest, "^([^)]*\\))", 1)
-    body = F.substring(rest, F.length(header) + 1, F.lit(1 << 30))
+    body = F.substr(rest, F.length(header) + 1)
     return start, header, body
 
 
@@ -82,16 +88,23 @@ def with_renamed(df: DataFrame, code: str = "code", id_col: str = "id", lang: st
         F.when(lg == "Java", F.concat(header, body)).otherwise(F.col(code)).alias("_scope"),
     )
     nm = F.col("_names")
-    short = F.transform(nm, lambda n: hashed_name(id_col, n, 5))
-    long_ = F.transform(nm, lambda n: hashed_name(id_col, n, 12))
-    staged = staged.withColumn("_new", F.when(F.size(F.array_distinct(short)) < F.size(nm), long_).otherwise(short))
+    words = extract_all("_scope", WORD_RUNS, 0)
+    staged = staged.withColumn("_words", words)
+    reserved = F.concat(*[_lit_array(w) for w in (rename_exclude_py(), RENAME_EXCLUDE_CPP, RENAME_EXCLUDE_JAVA)])
+    chosen = nm
+    for digits in NAME_DIGITS[::-1]:
+        new = _hashed_names(nm, id_col, digits)
+        free = (F.size(F.array_distinct(new)) == F.size(nm)) & ~F.arrays_overlap(new, F.col("_words")) & ~F.arrays_overlap(new, reserved)
+        chosen = F.when(free, new).otherwise(chosen)
+    staged = staged.withColumn("_new", chosen)
     new = F.col("_new")
     swapped = F.transform(
-        extract_all("_scope", WORD_RUNS, 0),
+        "_words",
         lambda t: F.when(F.array_contains(nm, t), F.element_at(new, F.array_position(nm, t).cast("int"))).otherwise(t),
     )
     result = (
         F.when((lg == "Java") & ((F.col("_jstart") == "") | (F.col("_jheader") == "")), F.col(code))
-        .when(lg.isin("Python", "Java", "C++"), F.concat(F.col("_jstart"), F.array_join(swapped, "")))
+        # naming _new a second time keeps it a column: named once, it would be inlined and re-run for every word
+        .when(lg.isin("Python", "Java", "C++") & (F.size("_new") >= 0), F.concat(F.col("_jstart"), F.array_join(swapped, "")))
     )
-    return staged.withColumn(out, result).drop("_names", "_jstart", "_jheader", "_scope", "_new")
+    return staged.withColumn(out, result).drop("_names", "_jstart", "_jheader", "_scope", "_words", "_new")

@@ -32,6 +32,16 @@ KEYWORDS = {
         "struct switch template this thread_local throw true try typedef typeid typename union "
         "unsigned using virtual void volatile wchar_t while xor xor_eq"
     ).split(),
+    "c_sharp": (
+        "abstract as base bool break byte case catch char checked class const continue decimal "
+        "default delegate do double else enum event explicit extern false finally fixed float for "
+        "foreach goto if implicit in int interface internal is lock long namespace new null "
+        "object operator out override params private protected public readonly ref return sbyte "
+        "sealed short sizeof stackalloc static string struct switch this throw true try typeof "
+        "uint ulong unchecked unsafe ushort using virtual void volatile while add alias ascending "
+        "async await by descending dynamic equals from get global group into join let nameof "
+        "notnull on orderby partial remove select set unmanaged value var when where yield"
+    ).split(),
 }
 
 # --- fixed values: names the renamer never touches, per language
@@ -74,4 +84,4 @@ def rename_exclude_py() -> list[str]:
 
 
 # --- fixed values: language names and codes
-LANG_CODE = {"C++": "cpp", "Java": "java", "Python": "python"}
+LANG_CODE = {"C++": "cpp", "Java": "java", "Python": "python", "C#": "c_sharp"}

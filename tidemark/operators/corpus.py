@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import col_, py_strip
+from tidemark.session import checkpoint_dir
 
 DEFAULT_SALTS = 32
 
@@ -54,26 +55,26 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
 
 
 def sequential_ids(df: DataFrame, order_col: str, seq_col: str = "seq") -> DataFrame:
-    """0-based position of every row in ``order_col`` order (unique), without a single-task window.
+    """``df`` with the 0-based position of every row in ``order_col`` order (unique), without a single-task window.
 
-    Rows are range partitioned and sorted; ``monotonically_increasing_id`` then
-    encodes (partition, position in partition); a per-partition count (one row
-    per partition, a proven small side) gives each partition's offset.
+    Only the keys are numbered: they are range partitioned, and checkpointed
+    together with their partition number, so the partition counts and the
+    positions read the very same rows whatever the plan around them does. A
+    count per partition gives the offsets. The numbers are joined back to all
+    rows by the key; a row that finds no number fails the job, none is dropped.
     """
-    ordered = df.orderBy(order_col).withColumn("_mono", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("_part", F.shiftright("_mono", 33)).withColumn(
-        "_local", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
-    )
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select(
-        "_part",
-        (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    )
-    return (
-        ordered.join(F.broadcast(offsets), "_part")
-        .withColumn(seq_col, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("bigint"))
-        .drop("_mono", "_part", "_local", "_off")
-    )
+    checkpoint_dir(df.sparkSession)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    keys = df.select(F.col(order_col).alias("_key")).repartitionByRange(n, "_key").withColumn("_part", F.spark_partition_id())
+    keys = keys.checkpoint(eager=True)
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt")).select(
+        "_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1
+    numbered = keys.withColumn("_local", local).join(F.broadcast(offsets), "_part", "left").select(
+        "_key", (F.col("_off") + F.col("_local")).cast("bigint").alias("_seq"))
+    found = F.coalesce(F.col("_seq"), F.raise_error(F.lit("a row has no position")).cast("bigint"))
+    return df.join(numbered, F.col(order_col).eqNullSafe(F.col("_key")), "left").withColumn(seq_col, found).drop("_key", "_seq")
 
 
 def verdict_join(corpus: DataFrame, actual: DataFrame) -> DataFrame:
@@ -106,6 +107,16 @@ def verdict_join(corpus: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
+def attach_samples(code: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """Code rows whose ``key`` has samples, with all of them as ``test_case`` in order; others are left out.
+
+    ``samples``: key, ord, input, expected. The list is bounded by one page.
+    """
+    one = F.struct("ord", F.struct("input", "expected").alias("t"))
+    per = samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]).alias("test_case"))
+    return code.join(per, key)
+
+
 def align_last_wins(left: DataFrame, right: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Align two record sets by id, last record per id winning on each side: ``key, left, right``.
 

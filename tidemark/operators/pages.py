@@ -7,7 +7,7 @@ tag, are taken with regular expressions. Unbalanced ``p`` tags are tolerated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import py_strip
@@ -46,39 +46,33 @@ FROM (SELECT page_id, i, parts[i] AS piece
 WHERE regexp_matches(piece, '{HEADING}')"""
 
 
-# --- fixed values: sample headings (output patterns are tested first, so
-# "Output for the Sample Input N" is an output), heading levels and block tag
-SAMPLE_OUTPUT = ("Output for the Sample Input", "Sample Output", "出力例")
-SAMPLE_INPUT = ("Sample Input", "入力例", "サンプル入力", "Sample input")
-HEADED_BLOCK = "<h[1-3][^>]*>([^<]*)</h[1-3]>[\\s\\S]*?<pre[^>]*>([\\s\\S]*?)</pre>"
-
-
-def _class_re(words) -> str:
-    return "^(?:" + "|".join(words) + ")\\s*[0-9]+$"
+# --- fixed values: sample headings, searched anywhere in the heading's text (a number may follow);
+# output patterns are tested first, so "Output for the Sample Input N" is an output
+SAMPLE_OUTPUT = "Output for the Sample Input|Sample Output|出力例"
+SAMPLE_INPUT = "Sample Input|入力例|サンプル入力|Sample input"
+EVENT = "(?i)<h[1-3](?:\\s[^>]*)?>[^<]*</h[1-3]>|<pre(?:\\s[^>]*)?>[\\s\\S]*?</pre>"
+EVENT_TEXT = "^<[^>]*>([\\s\\S]*)</[^>]*>$"
+IS_BLOCK = "^(?i)<pre"
 
 
 def sample_io_pairs(pages: DataFrame) -> DataFrame:
     """``page_id, ord, input, expected``: sample tests read from headed ``pre`` blocks.
 
-    A heading (h1-h3) holding one matching text is paired with the first later
-    ``pre`` block (trimmed). A repeated heading keeps its first position and
-    its last value. Headings are classified output-first; the i-th input is
-    joined with the i-th output. Pages are single rows, so the per-page window
-    is bounded by one page.
+    Headings (h1-h3, any case) and ``pre`` blocks are events in page order; a
+    heading takes the next block after it, then headings are classified. A
+    repeated heading keeps its first position and its last value. The i-th
+    input is joined with the i-th output. All windows are bounded by one page.
     """
-    from pyspark.sql import Window
-
-    heads = F.regexp_extract_all("html", F.lit(HEADED_BLOCK), F.lit(1))
-    blocks = F.regexp_extract_all("html", F.lit(HEADED_BLOCK), F.lit(2))
-    pairs = F.arrays_zip(heads.alias("h"), blocks.alias("b"))
-    rows = pages.select("page_id", F.posexplode(pairs).alias("pos", "x")).select(
-        "page_id", "pos", py_strip(F.col("x.h")).alias("heading"), py_strip(F.col("x.b")).alias("block"))
-    cls = F.when(F.col("heading").rlike(_class_re(SAMPLE_OUTPUT)), "output").when(
-        F.col("heading").rlike(_class_re(SAMPLE_INPUT)), "input")
-    rows = rows.withColumn("cls", cls).where(F.col("cls").isNotNull())
-    dedup = rows.groupBy("page_id", "heading", "cls").agg(
-        F.min("pos").alias("first_pos"), F.max_by("block", "pos").alias("value"))
-    ranked = dedup.withColumn("ord", F.row_number().over(Window.partitionBy("page_id", "cls").orderBy("first_pos")))
+    events = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(EVENT), F.lit(0))).alias("pos", "e"))
+    events = events.select("page_id", "pos", F.col("e").rlike(IS_BLOCK).alias("is_block"),
+                           py_strip(F.regexp_extract("e", EVENT_TEXT, 1)).alias("text"))
+    later = Window.partitionBy("page_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    block = F.first(F.when(F.col("is_block"), F.col("text")), ignorenulls=True).over(later)
+    kind = F.when(F.col("text").rlike(SAMPLE_OUTPUT), "output").when(F.col("text").rlike(SAMPLE_INPUT), "input")
+    heads = events.withColumn("block", block).where(~F.col("is_block")).withColumn("cls", kind).where(
+        F.col("cls").isNotNull() & F.col("block").isNotNull())
+    once = heads.groupBy("page_id", "text", "cls").agg(F.min("pos").alias("first_pos"), F.max_by("block", "pos").alias("value"))
+    ranked = once.withColumn("ord", F.row_number().over(Window.partitionBy("page_id", "cls").orderBy("first_pos")))
     return ranked.groupBy("page_id", "ord").agg(
         F.max(F.when(F.col("cls") == "input", F.col("value"))).alias("input"),
         F.max(F.when(F.col("cls") == "output", F.col("value"))).alias("expected"),
@@ -86,21 +80,22 @@ def sample_io_pairs(pages: DataFrame) -> DataFrame:
         "page_id", F.col("ord").cast("bigint").alias("ord"), "input", "expected")
 
 
-def _cls_sql(words) -> str:
-    return "^(?:" + "|".join(words) + ")\\s*[0-9]+$"
-
-
-SAMPLE_IO_SQL = f"""
-WITH x AS (
-  SELECT page_id, k - 1 AS pos, {_strip_sql('hs[k]')} AS heading, {_strip_sql('bs[k]')} AS block
-  FROM (SELECT page_id, regexp_extract_all(html, '{HEADED_BLOCK}', 1) AS hs,
-               regexp_extract_all(html, '{HEADED_BLOCK}', 2) AS bs FROM pages), range(1, len(hs) + 1) r(k)),
-c AS (
-  SELECT *, CASE WHEN regexp_matches(heading, '{_cls_sql(SAMPLE_OUTPUT)}') THEN 'output'
-                 WHEN regexp_matches(heading, '{_cls_sql(SAMPLE_INPUT)}') THEN 'input' END AS cls FROM x),
+def sample_io_sql(pages: str = "pages") -> str:
+    """The same in DuckDB SQL over ``pages(page_id, html)``."""
+    return f"""
+WITH ev AS MATERIALIZED (
+  SELECT page_id, k AS pos, regexp_matches(es[k], '{IS_BLOCK}') AS is_block,
+         {_strip_sql(f"regexp_extract(es[k], '{EVENT_TEXT}', 1)")} AS text
+  FROM (SELECT page_id, regexp_extract_all(html, '{EVENT}', 0) AS es FROM {pages}), range(1, len(es) + 1) r(k)),
+hd AS (
+  SELECT page_id, pos, is_block, text,
+         first_value(CASE WHEN is_block THEN text END IGNORE NULLS) OVER (
+           PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS block,
+         CASE WHEN regexp_matches(text, '{SAMPLE_OUTPUT}') THEN 'output'
+              WHEN regexp_matches(text, '{SAMPLE_INPUT}') THEN 'input' END AS cls FROM ev),
 d AS (
-  SELECT page_id, heading, cls, min(pos) AS first_pos, arg_max(block, pos) AS value
-  FROM c WHERE cls IS NOT NULL GROUP BY page_id, heading, cls),
+  SELECT page_id, text, cls, min(pos) AS first_pos, arg_max(block, pos) AS value
+  FROM hd WHERE NOT is_block AND cls IS NOT NULL AND block IS NOT NULL GROUP BY page_id, text, cls),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id, cls ORDER BY first_pos) AS ord FROM d)
 SELECT page_id, CAST(ord AS BIGINT) AS ord, max(CASE WHEN cls = 'input' THEN value END) AS input,
        max(CASE WHEN cls = 'output' THEN value END) AS expected

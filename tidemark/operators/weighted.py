@@ -36,6 +36,14 @@ def keyword_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kw_lang int, keyword string")
 
 
+def read_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """The keyword dimension from a folder of ``<code>.txt`` files, one keyword per line."""
+    ids = F.create_map(*[x for name, code in LANG_CODE.items() for x in (F.lit(code), F.lit(LANG_IDS[name]))])
+    code = F.regexp_extract(F.col("_metadata.file_name"), "^([A-Za-z_]+)[.]txt$", 1)
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder).select(ids[code].alias("kw_lang"), F.trim("value").alias("keyword"))
+    return rows.where(F.col("kw_lang").isNotNull() & (F.col("keyword") != "")).distinct()
+
+
 def _lang_id(lang: str) -> F.Column:
     out = None
     for name, i in LANG_IDS.items():

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from tidemark.operators import corpus as K
 from tidemark.plans import sql_code as SC
 from tidemark.plans.registry import register
 from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes
-from tidemark.sources.code_corpus import actual_outputs, code_corpus, code_variants
+from tidemark.sources.code_corpus import actual_outputs, code_corpus, variant_texts
 
 LANG = "coalesce(nullif(type, ''), 'Java')"
 
@@ -116,8 +113,10 @@ def lint_text(code, lang) -> F.Column:
     return F.when(lang == "Python", fold(runs(PY_RUNS), ["#"])).otherwise(fold(runs(C_RUNS), ["//", "/*"]))
 
 
-def gate(text_col: str, lang: F.Column) -> tuple[F.Column, F.Column]:
-    lint = lint_text(text_col, lang)
+def with_gate(df: DataFrame, text_col: str, lang_col: str = "lang") -> DataFrame:
+    """Add ``ok`` and ``reason``; the lint text is a column of its own, so its patterns run once per row."""
+    lang, lint = F.col(lang_col), F.col("_lint")
+    df = df.withColumn("_lint", lint_text(text_col, lang))
     reason = (
         F.when(~lang.isin(*SUPPORTED), "unsupported")
         .when(py_strip(lint) == "", "blank")
@@ -125,7 +124,7 @@ def gate(text_col: str, lang: F.Column) -> tuple[F.Column, F.Column]:
         .when(bracket_state(lint) != "", "unbalanced")
         .otherwise("ok")
     )
-    return reason == "ok", reason
+    return df.withColumn("reason", reason).withColumn("ok", F.col("reason") == "ok").drop("_lint")
 
 
 def _lint_sql(code: str, lang: str) -> str:
@@ -152,11 +151,10 @@ SELECT id, variant, reason = 'ok' AS ok, reason FROM (
       SELECT id, 'original' AS variant, {LANG} AS lang, code AS text FROM code_corpus
       UNION ALL SELECT id, 'drop', {LANG}, code_drop FROM code_corpus)))""", "code_corpus"))
 def syntax_gate(spark, sf):
-    k = with_lang(corpus(spark, sf))
-    texts = k.select("id", F.lit("original").alias("variant"), "lang", F.col("code").alias("text")).unionByName(
-        k.select("id", F.lit("drop").alias("variant"), "lang", F.col("code_drop").alias("text")))
-    ok, reason = gate("text", F.col("lang"))
-    return texts.select("id", "variant", ok.alias("ok"), reason.alias("reason"))
+    both = F.array(F.struct(F.lit("original").alias("variant"), F.col("code").alias("text")),
+                   F.struct(F.lit("drop").alias("variant"), F.col("code_drop").alias("text")))
+    texts = with_lang(corpus(spark, sf)).select("id", "lang", F.explode(both).alias("v")).select("id", "lang", "v.variant", "v.text")
+    return with_gate(texts, "text").select("id", "variant", "ok", "reason")
 
 
 # ---------------------------------------------------------------- verdicts and usable rows
@@ -195,10 +193,9 @@ def verdict_join(spark, sf):
 def usable_frame(spark: SparkSession, sf: str) -> DataFrame:
     k = with_lang(corpus(spark, sf))
     v = K.verdict_join(k, actual_outputs(spark, sf))
-    ok, _ = gate("code", F.col("lang"))
-    return k.join(v, "id").select(
+    return with_gate(k, "code").join(v, "id").select(
         "id", F.col("lang").alias("type"), "grade",
-        F.when(F.col("grade") == "fine", F.col("passed")).otherwise(ok).alias("usable"),
+        F.when(F.col("grade") == "fine", F.col("passed")).otherwise(F.col("ok")).alias("usable"),
     )
 
 
@@ -231,11 +228,13 @@ def cap_per_stratum(spark, sf):
 
 
 @register("sequential_ids", with_ctes(
-    "SELECT id, row_number() OVER (ORDER BY id) - 1 AS seq FROM usable WHERE usable",
+    "SELECT u.id, u.seq, u.type, u.grade, c.code FROM (SELECT id, type, grade, row_number() OVER (ORDER BY id) - 1 AS seq "
+    "FROM usable WHERE usable) u JOIN code_corpus c ON c.id = u.id",
     "code_corpus", "actual_outputs", extra=_VERDICT_CTES))
 def sequential_ids(spark, sf):
-    u = usable_frame(spark, sf).where("usable").select("id")
-    return K.sequential_ids(u, "id").select("id", "seq")
+    """Whole usable records, numbered."""
+    u = usable_frame(spark, sf).where("usable").select("id", "type", "grade").join(corpus(spark, sf).select("id", "code"), "id")
+    return K.sequential_ids(u, "id").select("id", "seq", "type", "grade", "code")
 
 
 # ---------------------------------------------------------------- records: tags, unions, targets
@@ -250,7 +249,7 @@ def tag_language(spark, sf):
     k = corpus(spark, sf)
     g1 = F.regexp_extract("filename", TAG_RE, 1)
     g2 = F.regexp_extract("filename", TAG_RE, 2)
-    lang = F.concat(F.upper(F.substring(g1, 1, 1)), F.substring(g1, 2, 1 << 20))
+    lang = F.initcap(g1)  # the pattern admits one lower-case word
     return k.select("id", F.nullif(lang, F.lit("")).alias("lang"), F.nullif(g2, F.lit("")).alias("split"))
 
 
@@ -269,22 +268,7 @@ def corpus_union(spark, sf):
 FENCE_RE = "```[a-zA-Z]{0,10}\\n([\\s\\S]*?)```"
 
 
-def _targets(k: DataFrame, v: DataFrame) -> DataFrame:
-    piv = v.groupBy("id").agg(
-        F.max(F.when(F.col("variant") == "rename", F.col("text"))).alias("t_rename"),
-        F.max(F.when(F.col("variant") == "drop", F.col("text"))).alias("t_drop"),
-        F.max(F.when(F.col("variant") == "fence", F.col("text"))).alias("t_fence"),
-    )
-    m = F.col("id") % 4
-    return k.select("id").join(piv, "id").select(
-        "id",
-        F.when(m == 0, F.array(F.lit("see below"), F.col("t_fence"))).when(m == 1, F.array().cast("array<string>")).alias("wm"),
-        F.when(m == 1, F.col("t_rename")).when(m == 2, F.lit("")).alias("wmname"),
-        F.when(m == 2, F.col("t_drop")).when(m == 3, F.when(F.col("id") % 8 == 3, F.lit("")).otherwise(F.col("t_drop"))).alias("opaque_predicate"),
-    )
-
-
-@register("target_select", with_ctes(f"""
+TARGET_SQL = f"""
 SELECT id, target FROM (
   SELECT id,
     CASE WHEN len(wm) > 0 THEN coalesce(
@@ -299,10 +283,21 @@ SELECT id, target FROM (
         JOIN code_variants r ON r.id = c.id AND r.variant = 'rename'
         JOIN code_variants d ON d.id = c.id AND d.variant = 'drop'
         JOIN code_variants f ON f.id = c.id AND f.variant = 'fence'))
-WHERE target IS NOT NULL""", "code_corpus", "code_variants"))
+WHERE target IS NOT NULL"""
+
+
+@register("target_select", with_ctes(TARGET_SQL, "code_corpus", "code_variants"))
 def target_select(spark, sf):
-    k = corpus(spark, sf)
-    t = _targets(k, code_variants(k, ("rename", "drop", "fence")))
+    """The variants are columns of the program's own row: nothing is exploded, regrouped or joined."""
+    k = variant_texts(corpus(spark, sf), ("rename", "drop", "fence"))
+    renamed, dropped, fenced = (F.element_at("texts", i) for i in (2, 3, 4))
+    m = F.col("id") % 4
+    t = k.select(
+        "id",
+        F.when(m == 0, F.array(F.lit("see below"), fenced)).when(m == 1, F.array().cast("array<string>")).alias("wm"),
+        F.when(m == 1, renamed).when(m == 2, F.lit("")).alias("wmname"),
+        F.when(m == 2, dropped).when(m == 3, F.when(F.col("id") % 8 == 3, F.lit("")).otherwise(dropped)).alias("opaque_predicate"),
+    )
     hit = F.get(F.filter("wm", lambda x: x.rlike(FENCE_RE)), 0)
     from_wm = F.when(hit.isNotNull(), F.regexp_extract(hit, FENCE_RE, 1)).otherwise(F.get("wm", 0))
     target = (
@@ -311,25 +306,3 @@ def target_select(spark, sf):
         .when(F.col("opaque_predicate") != "", F.col("opaque_predicate"))
     )
     return t.select("id", target.alias("target")).where(F.col("target").isNotNull())
-
-
-# ---------------------------------------------------------------- strict Python parse (rows-only)
-def _parse_batches(batches):
-    for pdf in batches:
-        oks, reasons = [], []
-        for code in pdf["code"]:
-            try:
-                ast.parse(code)
-                oks.append(True)
-                reasons.append("ok")
-            except SyntaxError as e:  # noqa: PERF203
-                oks.append(False)
-                reasons.append(f"syntax: {e.msg}")
-        yield pd.DataFrame({"id": pdf["id"], "ok": oks, "reason": reasons})
-
-
-@register("python_parse_gate")
-def python_parse_gate(spark, sf):
-    """Strict well-formedness for Python rows with the standard parser, Arrow-batched."""
-    k = with_lang(corpus(spark, sf)).where(F.col("lang") == "Python").select("id", "code")
-    return k.mapInPandas(_parse_batches, "id long, ok boolean, reason string")

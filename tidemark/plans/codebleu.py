@@ -13,7 +13,7 @@ from tidemark.operators import structure as S
 from tidemark.operators import weighted as W
 from tidemark.operators.corpus import align_last_wins
 from tidemark.operators.report import micro_units_sql
-from tidemark.plans.build import LANG, corpus, with_lang
+from tidemark.plans.build import LANG, TARGET_SQL, corpus, target_select, with_lang
 from tidemark.session import checkpoint_dir, fanout_partitions
 from tidemark.plans.flow import SCORED_VARIANTS
 from tidemark.plans.registry import register
@@ -250,3 +250,18 @@ def codebleu_dual(spark, sf):
     s = codebleu_scores(rows, W.keyword_dim(spark))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(micro_units_sql("codebleu"))).alias("_m")).select(
         "lang", "n", F.expr(BF.r6("CAST(_m AS DOUBLE) / (n * 1e6)")).alias("avg"))
+
+
+# the chosen target of each record (first usable of three fields) against its program
+TARGET_PAIRS_SQL = f"""
+  SELECT t.id AS pair_id, {LANG.replace('type', 'c.type')} AS lang, c.grade, c.code AS text1, t.target AS text2
+  FROM ({TARGET_SQL}) t JOIN code_corpus c ON c.id = t.id"""
+
+
+@register("codebleu_target", _cb_sql("SELECT pair_id AS id, lang, bleu, weighted, syntax, dataflow, codebleu FROM cb_scores",
+                                     TARGET_PAIRS_SQL))
+def codebleu_target(spark, sf):
+    """Single-file scoring: records without a target are left out."""
+    k = with_lang(corpus(spark, sf)).select("id", "lang", "grade", "code")
+    rows = lay(k.join(target_select(spark, sf), "id").select("id", "lang", "grade", F.array("code", "target").alias("texts")))
+    return codebleu_scores(rows, W.keyword_dim(spark)).select("id", "lang", "bleu", "weighted", "syntax", "dataflow", "codebleu")

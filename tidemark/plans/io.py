@@ -1,34 +1,49 @@
-"""Rows-only I/O queries: JSONL scan, code-tree scan, corpus write, resumable stream."""
+"""I/O queries: JSONL scan, code-tree scan, corpus write, resumable stream (written, then read back)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidemark.operators.corpus import default_type
-from tidemark.plans.build import corpus
+from tidemark.plans.build import LANG, corpus
 from tidemark.plans.registry import register
+from tidemark.plans.sql_fixtures import NL, with_ctes
 from tidemark.sources import files as FS
 from tidemark.streaming import resume as R
 
 
-@register("read_corpus")
+@register("read_corpus", with_ctes("""
+SELECT id, filename, type, code, CAST(coalesce(len(test_case), 0) AS BIGINT) AS n_tests,
+       test_case[1].expected AS first_expected, false AS corrupt
+FROM code_corpus""", "code_corpus"))
 def read_corpus(spark, sf):
     path = FS.scratch_path(spark, "corpus-jsonl")
     FS.write_corpus(corpus(spark, sf).select("id", "filename", "type", "code", "test_case"), path, mode="overwrite")
-    return FS.read_corpus(spark, path)
+    return FS.read_corpus(spark, path).select(
+        "id", "filename", "type", "code", F.coalesce(F.size("test_case"), F.lit(0)).cast("bigint").alias("n_tests"),
+        F.get("test_case", 0)["expected"].alias("first_expected"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
 
-@register("read_code_tree")
+PROBLEM = "'p' || lpad(CAST(id // 100 AS VARCHAR), 5, '0')"
+
+
+@register("read_code_tree", with_ctes(f"""
+SELECT problem, lang, string_agg(code, {NL} ORDER BY id) || {NL} AS code
+FROM (SELECT id, {PROBLEM} AS problem, {LANG} AS lang, code FROM code_corpus) GROUP BY problem, lang""", "code_corpus"))
 def read_code_tree(spark, sf):
+    """A tree with one source file per problem (a hundred ids) and language, written and scanned."""
     root = FS.scratch_path(spark, "code-tree")
-    k = corpus(spark, sf).select(
-        F.concat(F.lit("p"), F.lpad((F.col("id") % 50).cast("string"), 5, "0")).alias("problem"),
-        default_type("type").alias("lang"), "code")
-    FS.write_code_tree(k, root)
-    return FS.read_code_tree(spark, root)
+    problem = F.concat(F.lit("p"), F.lpad(F.floor(F.col("id") / 100).cast("string"), 5, "0"))
+    k = corpus(spark, sf).select(problem.alias("problem"), default_type("type").alias("lang"), F.struct("id", "code").alias("c"))
+    files = k.groupBy("problem", "lang").agg(F.array_sort(F.collect_list("c")).alias("cs")).select(
+        "problem", "lang", F.array_join(F.transform("cs", lambda c: c["code"]), "\n").alias("code"))
+    FS.write_code_tree(files, root)
+    return FS.read_code_tree(spark, root, {lang: "txt" for lang in FS.EXTENSIONS}).select("problem", "lang", "code")
 
 
-@register("write_corpus")
+@register("write_corpus", with_ctes("""
+SELECT id, type, grade, code FROM code_corpus UNION ALL SELECT id, type, grade, upper(code) FROM code_corpus""",
+                                    "code_corpus"))
 def write_corpus(spark, sf):
     """Overwrite with the corpus, append a second run, read back: both runs' rows."""
     path = FS.scratch_path(spark, "corpus-parquet")
@@ -38,7 +53,8 @@ def write_corpus(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("resume_stream")
+@register("resume_stream", """
+SELECT event_id, user_id, event_type, floor(value * 1e2 + 5e-1) / 1e2 AS value, CAST(ts AS DATE) AS day FROM events""")
 def resume_stream(spark, sf):
     """Two availableNow runs over the events file with one checkpoint: the second finds nothing new."""
     sink = FS.scratch_path(spark, "events-sink")

@@ -15,7 +15,7 @@ from tidemark.operators import perturb as P
 from tidemark.plans.build import LANG, corpus, with_lang
 from tidemark.plans.registry import register
 from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes
-from tidemark.sources.code_corpus import code_variants
+from tidemark.sources.code_corpus import variant_texts
 from tidemark.sources.tables import table
 
 
@@ -82,10 +82,34 @@ FROM (SELECT id, a1, {_blocks_sql('a2')} AS b2
             FROM code_variants f JOIN code_variants r ON r.id = f.id AND r.variant = 'rename'
             WHERE f.variant = 'fence'))""", "code_variants"))
 def roundtrip_resolve(spark, sf):
-    v = code_variants(corpus(spark, sf), ("fence", "rename"))
-    fwd = v.where(F.col("variant") == "fence").select("id", F.col("text").alias("forward"))
-    back = v.where(F.col("variant") == "rename").select("id", P.back_answer("id", "text").alias("back"))
-    return P.roundtrip_resolve(fwd.join(back, "id"), "forward", "back").select("id", "final", "fallback")
+    """Both answers are columns of the program's own row: no join."""
+    k = variant_texts(corpus(spark, sf), ("fence", "rename"))
+    both = k.select("id", F.element_at("texts", 2).alias("forward"), P.back_answer("id", F.element_at("texts", 3)).alias("back"))
+    return P.roundtrip_resolve(both, "forward", "back").select("id", "final", "fallback")
+
+
+@register("build_back_prompts", with_ctes(f"""
+SELECT id, pv AS "pivot", replace(replace(replace({sq(P.TEMPLATES['back'])}, '{{lang}}', lang), '{{pivot}}', pv), '{{code}}', answer)
+  AS prompt
+FROM (SELECT c.id, {LANG} AS lang, CASE {LANG} {_PIVOT_SQL} END AS pv,
+             CASE WHEN len({_blocks_sql('f.text')}) > 0 THEN {_blocks_sql('f.text')}[1] ELSE {_after_marker_sql('f.text')} END AS answer
+      FROM code_corpus c JOIN code_variants f ON f.id = c.id AND f.variant = 'fence')""", "code_corpus", "code_variants"))
+def build_back_prompts(spark, sf):
+    """Second half of the round trip: the code found in the forward answer, to be translated back."""
+    k = with_lang(variant_texts(corpus(spark, sf), ("fence",))).withColumn("pivot", P.pivot_of("lang"))
+    k = k.withColumn("blocks", P.fenced_blocks(F.element_at("texts", 2)))
+    answer = F.when(F.size("blocks") > 0, F.get("blocks", 0)).otherwise(P.response_after_marker(F.element_at("texts", 2), P.RESPONSE_MARKER))
+    k = k.withColumn("answer", answer)
+    return k.select("id", "pivot", P.fill_template(P.TEMPLATES["back"].replace("{code}", "{answer}"), lang="lang", pivot="pivot",
+                                                   answer="answer").alias("prompt"))
+
+
+@register("build_summary_prompts", with_ctes(f"""
+SELECT id, replace(replace({sq(P.TEMPLATES['summary'])}, '{{lang}}', {LANG}), '{{code}}', code) AS prompt
+FROM code_corpus""", "code_corpus"))
+def build_summary_prompts(spark, sf):
+    k = with_lang(corpus(spark, sf))
+    return k.select("id", P.fill_template(P.TEMPLATES["summary"], lang="lang", code="code").alias("prompt"))
 
 
 BUDGET = 512
@@ -126,6 +150,22 @@ def nested_generations(spark, sf):
     return c.select("conv_id", "turn", P.rebuild_nested(P.map_leaves(nested, py_strip)).alias("texts"))
 
 
+_GENS_SQL = f"list_transform(string_split(text, {NL}), lambda l: string_split_regex(l, {sq(P.SENTENCE_END)}))"
+
+
+@register("nested_generations_column", f"""
+SELECT conv_id, turn, CAST(to_json(list_transform({_GENS_SQL}, lambda l: list_transform(l, lambda x: {strip('x')}))) AS VARCHAR)
+  AS generations
+FROM conversations""")
+def nested_generations_column(spark, sf):
+    """A list-of-lists column in (parsed from its JSON text), every leaf mapped, the same nesting out."""
+    c = table(spark, sf, "conversations")
+    stored = c.select("conv_id", "turn", F.to_json(F.transform(
+        F.split("text", "\n", -1), lambda line: F.split(line, P.SENTENCE_END, -1))).alias("generations"))
+    nested = F.from_json("generations", "array<array<string>>")
+    return stored.select("conv_id", "turn", F.to_json(P.map_leaves(nested, py_strip)).alias("generations"))
+
+
 @register("blob_list_map", f"""
 SELECT doc_id, CAST(len(blobs) AS BIGINT) AS n_blobs,
        array_to_string(list_transform(blobs, lambda b: {strip(f"regexp_replace(b, '{WS}+', ' ', 'g')")}), {NL}) AS texts

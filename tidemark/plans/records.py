@@ -16,7 +16,7 @@ from tidemark.operators.report import micro_units_sql, tenth_bucket_sql
 from tidemark.plans.build import corpus
 from tidemark.plans.registry import register
 from tidemark.plans.scoring import DOCPAIR_SRC, docpairs, stats_ctes
-from tidemark.plans.sql_fixtures import sq, strip, with_ctes
+from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes
 from tidemark.sources.tables import table
 
 
@@ -136,21 +136,66 @@ def io_pairs(spark, sf):
     return PG.io_pairs(table(spark, sf, "pages"))
 
 
-@register("sample_io_pairs", PG.SAMPLE_IO_SQL)
+def _sample_block(concat, page, url, back) -> list[str]:
+    """Sample sections in four shapes, by page: as text with the page's own address as test data.
+
+    ``concat`` joins literals and expressions, so one rule serves both engines.
+    """
+    return [
+        concat("<h1>", url, "</h1><h2>Sample Input 1</h2>\n<pre>\n", url, "\n</pre><h3>Sample Output 1</h3><pre>", back, "</pre>"),
+        concat("<h2>Sample Input</h2><p>", url, "</p><pre>", page, "</pre><h2>Sample Output</h2><pre>", back, "</pre>"),
+        concat("<h2>Input</h2><h3>入力例 1</h3><pre>", page, "</pre><h2>Output</h2><h3>出力例 1</h3><pre>", back,
+               "</pre><h3>入力例 2</h3><pre>", url, "</pre><h3>出力例 2</h3><pre>", page, "</pre>"),
+        concat("<H2>Output for the Sample Input</H2><PRE>", back, "</PRE><H2>Sample Input</H2><PRE class=\"x\"> ", url, "</PRE>"),
+    ]
+
+
+def sample_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """``page_id, html``: every page followed by sample sections made from its address."""
+    def concat(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    page, url = F.col("page_id").cast("string"), F.col("url")
+    shapes = _sample_block(concat, page, url, F.reverse(url))
+    block = shapes[-1]
+    for k, shape in enumerate(shapes[:-1]):
+        block = F.when(F.col("page_id") % 4 == k, shape).otherwise(block)
+    return table(spark, sf, "pages").select("page_id", F.concat("html", block).alias("html"))
+
+
+def _sample_pages_sql() -> str:
+    class Raw(str):
+        pass
+
+    def concat(*parts):
+        return " || ".join(p if isinstance(p, Raw) else sq(p).replace("\n", f"' || {NL} || '") for p in parts)
+
+    shapes = _sample_block(concat, Raw("CAST(page_id AS VARCHAR)"), Raw("url"), Raw("reverse(url)"))
+    whens = " ".join(f"WHEN page_id % 4 = {k} THEN {shape}" for k, shape in enumerate(shapes[:-1]))
+    return f"(SELECT page_id, html || CASE {whens} ELSE {shapes[-1]} END AS html FROM pages)"
+
+
+SAMPLE_PAIRS_SQL = PG.sample_io_sql(_sample_pages_sql())
+
+
+@register("sample_io_pairs", SAMPLE_PAIRS_SQL)
 def sample_io_pairs(spark, sf):
-    """Sample tests from headed ``pre`` blocks (the fixture pages have none: 0 rows there)."""
-    return PG.sample_io_pairs(table(spark, sf, "pages"))
+    """Sample tests from headed ``pre`` blocks of pages that carry sample sections."""
+    return PG.sample_io_pairs(sample_pages(spark, sf))
 
 
 @register("corpus_join", with_ctes(f"""
-SELECT c.id, p.page_id, c.type, p.n_pairs
+SELECT c.id, p.page_id, c.type, p.n_pairs, p.samples, 'fine' AS grade
 FROM code_corpus c
-JOIN (SELECT page_id, count(*) AS n_pairs FROM ({PG.IO_PAIRS_SQL}) WHERE block <> '' GROUP BY page_id) p
+JOIN (SELECT page_id, count(*) AS n_pairs, string_agg(input || '=>' || expected, ';' ORDER BY ord) AS samples
+      FROM ({SAMPLE_PAIRS_SQL}) GROUP BY page_id) p
   ON p.page_id = c.id % (SELECT count(*) FROM pages)""", "code_corpus"))
 def corpus_join(spark, sf):
-    """Code kept only when its problem page exists and yields at least one sample pair."""
-    pages = table(spark, sf, "pages")
-    n_pages = pages.select(F.count(F.lit(1))).scalar()
-    per_page = PG.io_pairs(pages).where(F.col("block") != "").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    """Code kept only when its problem page yields a sample pair, with the samples attached as ``test_case``."""
+    pages = sample_pages(spark, sf)
+    n_pages = table(spark, sf, "pages").select(F.count(F.lit(1))).scalar()
     k = corpus(spark, sf).select("id", "type").withColumn("page_id", F.col("id") % n_pages)
-    return k.join(per_page, "page_id").select("id", "page_id", "type", "n_pairs")
+    out = K.attach_samples(k, PG.sample_io_pairs(pages), "page_id")
+    samples = F.array_join(F.transform("test_case", lambda t: F.concat(t["input"], F.lit("=>"), t["expected"])), ";")
+    return out.select("id", "page_id", "type", F.size("test_case").cast("bigint").alias("n_pairs"), samples.alias("samples"),
+                      K.grade_of("test_case").alias("grade"))

@@ -7,7 +7,7 @@ value independently from the raw tables.
 
 from __future__ import annotations
 
-from tidemark.functions.code import CPP_DECLARED, JAVA_FOREACH, JAVA_PARAM, PY_ASSIGNED, WORD_RUNS
+from tidemark.functions.code import CPP_DECLARED, JAVA_FOREACH, JAVA_PARAM, NAME_DIGITS, PY_ASSIGNED, WORD_RUNS
 from tidemark.functions.keywords import RENAME_EXCLUDE_CPP, RENAME_EXCLUDE_JAVA, rename_exclude_py
 
 NL = "chr(10)"
@@ -96,6 +96,14 @@ def hashed(key: str, name: str, digits: int) -> str:
     )
 
 
+def choose_names() -> str:
+    """The first length of new names without a clash among themselves, with the record's words or reserved words."""
+    reserved = sql_list(dict.fromkeys([*rename_exclude_py(), *RENAME_EXCLUDE_CPP, *RENAME_EXCLUDE_JAVA]))
+    whens = " ".join(f"WHEN len(list_distinct(new_{d})) = len(names) AND NOT list_has_any(new_{d}, words) "
+                     f"AND NOT list_has_any(new_{d}, {reserved}) THEN new_{d}" for d in NAME_DIGITS)
+    return f"CASE {whens} ELSE names END"
+
+
 def names_py(code: str) -> str:
     return (f"list_filter(list_distinct(regexp_extract_all({code}, {sq(PY_ASSIGNED)}, 1)), "
             f"lambda x: NOT list_contains({sql_list(rename_exclude_py())}, x))")
@@ -141,17 +149,17 @@ def rename_ctes(src: str, prefix: str) -> dict[str, str]:
          CASE WHEN {lang} = 'Java' THEN {java_header('code')} ELSE '' END AS jheader
   FROM {src}""",
         f"{prefix}_h": f"""
-  SELECT *, CASE WHEN len(list_distinct(list_transform(names, lambda n: {hashed('id', 'n', 5)}))) < len(names)
-                 THEN list_transform(names, lambda n: {hashed('id', 'n', 12)})
-                 ELSE list_transform(names, lambda n: {hashed('id', 'n', 5)}) END AS newn,
-            CASE WHEN lang = 'Java' THEN substr(code, length(jstart) + 1) ELSE code END AS scope
-  FROM {prefix}_n""",
+  SELECT *, {choose_names()} AS newn
+  FROM (SELECT *, regexp_extract_all(scope, {sq(WORD_RUNS)}) AS words,
+               {', '.join(f"list_transform(names, lambda n: {hashed('id', 'n', d)}) AS new_{d}" for d in NAME_DIGITS)}
+        FROM (SELECT *, CASE WHEN lang = 'Java' THEN substr(code, length(jstart) + 1) ELSE code END AS scope
+              FROM {prefix}_n))""",
         f"{prefix}_out": f"""
   SELECT id, type,
          CASE WHEN lang = 'Java' AND (jstart = '' OR jheader = '') THEN code
               WHEN lang IN ('Python', 'Java', 'C++') THEN
                 (CASE WHEN lang = 'Java' THEN jstart ELSE '' END) ||
-                array_to_string(list_transform(regexp_extract_all(scope, {sq(WORD_RUNS)}),
+                array_to_string(list_transform(words,
                   lambda t: CASE WHEN list_contains(names, t) THEN newn[list_position(names, t)] ELSE t END), '')
          END AS renamed
   FROM {prefix}_h""",
@@ -180,7 +188,7 @@ cte("docpair", (), f"""
 
 
 def with_ctes(query: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """Prefix ``query`` with the named CTEs (and their dependencies) in order."""
+    """Prefix ``query`` with the named CTEs (and their dependencies) in order, each computed once."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -192,9 +200,9 @@ def with_ctes(query: str, *names: str, extra: dict[str, str] | None = None) -> s
 
     for n in names:
         visit(n)
-    parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order]
+    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]}\n)" for n in order]
     for n, body in (extra or {}).items():
-        parts.append(f"{n} AS ({body}\n)")
+        parts.append(f"{n} AS MATERIALIZED ({body}\n)")
     if not parts:
         return query
     return "WITH " + ",\n".join(parts) + "\n" + query

@@ -118,9 +118,13 @@ def _variant_columns(corpus: DataFrame, variants) -> tuple[DataFrame, dict]:
 
 
 def variant_texts(corpus: DataFrame, variants) -> DataFrame:
-    """The corpus with ``texts``: the program first, then the named variants in order; one row per program."""
+    """The corpus with ``texts``: the program first, then the named variants in order; one row per program.
+
+    The array comes out of an explode of one element: a later filter on it
+    would otherwise be pushed below and re-run the renaming in every condition.
+    """
     staged, build = _variant_columns(corpus, variants)
-    return staged.withColumn("texts", F.array("code", *[build[v] for v in variants]))
+    return staged.withColumn("texts", F.explode(F.array(F.array("code", *[build[v] for v in variants]))))
 
 
 def code_variants(corpus: DataFrame, variants=VARIANTS, carry=()) -> DataFrame:

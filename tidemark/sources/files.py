@@ -38,21 +38,24 @@ def write_corpus(df: DataFrame, path: str, mode: str = "append", fmt: str = "jso
 
 
 def write_code_tree(df: DataFrame, root: str) -> None:
-    """Lay out snippets as ``<root>/problem=<p>/lang=<L>/part-*.txt`` with one JSON-escaped snippet per line."""
-    (df.select("problem", "lang", F.to_json(F.struct("code")).alias("value"))
-       .repartition("problem", "lang").write.mode("overwrite").partitionBy("problem", "lang").text(root))
-
-
-def read_code_tree(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
-    """Scan a code tree: every file under ``root`` matching ``glob``; problem and language
-    come from the path; files that are not valid UTF-8 are skipped; one row per snippet line."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(root))
-    ok = files.where(F.expr("is_valid_utf8(content)"))
-    text = F.expr("decode(content, 'UTF-8')")
-    rows = ok.select(
-        F.regexp_extract("path", "problem=([^/]+)", 1).alias("problem"),
-        F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"),
-        F.explode(F.split(text, "\n", -1)).alias("line"),
-    ).where(F.col("line") != "")
-    return rows.select("problem", "lang", F.from_json("line", "code string")["code"].alias("code"))
+    """Lay out snippets as ``<root>/problem=<p>/lang=<L>/*.txt``, one file per snippet."""
+    (df.select("problem", "lang", "code").sortWithinPartitions("problem", "lang")
+       .write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("problem", "lang").text(root))
+
+
+def read_code_tree(spark: SparkSession, root: str, extensions: dict[str, str] | None = None) -> DataFrame:
+    """``problem, lang, path, code`` of a tree ``<root>/<problem>/<language>/<file>.<extension>``.
+
+    One row per file. Folder names may be Hive style (``problem=``, ``lang=``). A
+    file counts only under a known language folder and with that language's
+    extension; files that are not valid UTF-8 are skipped.
+    """
+    known = extensions or EXTENSIONS
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folder = "/(?:problem=)?([^/]+)/(?:lang=)?([^/]+)/[^/]+[.]([A-Za-z0-9]+)$"
+    path = F.regexp_replace(F.col("path"), "%2B", "+")
+    rows = files.select("path", "content", F.regexp_extract(path, folder, 1).alias("problem"),
+                        F.regexp_extract(path, folder, 2).alias("lang"), F.regexp_extract(path, folder, 3).alias("ext"))
+    wanted = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    ok = rows.where((wanted[F.col("lang")] == F.col("ext")) & F.expr("is_valid_utf8(content)"))
+    return ok.select("problem", "lang", "path", F.expr("decode(content, 'UTF-8')").alias("code"))

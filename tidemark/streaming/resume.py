@@ -29,5 +29,5 @@ EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, va
 
 
 def tag_events(stream: DataFrame) -> DataFrame:
-    return stream.select("event_id", "user_id", "event_type", F.round("value", 2).alias("value"),
+    return stream.select("event_id", "user_id", "event_type", (F.floor(F.col("value") * 100.0 + 0.5) / 100.0).alias("value"),
                          F.to_date("ts").alias("day"))
