@@ -101,3 +101,6 @@ SELECT page_id, CAST(ord AS BIGINT) AS ord, max(CASE WHEN cls = 'input' THEN val
        max(CASE WHEN cls = 'output' THEN value END) AS expected
 FROM r GROUP BY page_id, ord
 HAVING max(CASE WHEN cls = 'input' THEN value END) IS NOT NULL AND max(CASE WHEN cls = 'output' THEN value END) IS NOT NULL"""
+
+
+SAMPLE_IO_SQL = sample_io_sql()

@@ -48,7 +48,7 @@ def read_code_tree(spark: SparkSession, root: str, extensions: dict[str, str] |
 
     One row per file. Folder names may be Hive style (``problem=``, ``lang=``). A
     file counts only under a known language folder and with that language's
-    extension; files that are not valid UTF-8 are skipped.
+    extension; files that are not valid UTF-8 are skipped, and empty files hold no snippet.
     """
     known = extensions or EXTENSIONS
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -57,5 +57,5 @@ def read_code_tree(spark: SparkSession, root: str, extensions: dict[str, str] |
     rows = files.select("path", "content", F.regexp_extract(path, folder, 1).alias("problem"),
                         F.regexp_extract(path, folder, 2).alias("lang"), F.regexp_extract(path, folder, 3).alias("ext"))
     wanted = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    ok = rows.where((wanted[F.col("lang")] == F.col("ext")) & F.expr("is_valid_utf8(content)"))
+    ok = rows.where((wanted[F.col("lang")] == F.col("ext")) & F.expr("is_valid_utf8(content)") & (F.octet_length("content") > 0))
     return ok.select("problem", "lang", "path", F.expr("decode(content, 'UTF-8')").alias("code"))
