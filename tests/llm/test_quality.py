@@ -7,6 +7,16 @@ from tidemark.llm.queries import QUERIES
 SF01 = "/root/testdata/sf0.01"
 
 
+def test_lookup_counts_what_terms_says(monkeypatch):
+    monkeypatch.setattr(knn_quality.Lookup, "MEMO", 3)
+    texts = ["The cat, the CAT! don't 12% été É\n\nthe cat", "", None, "x", "  \n ", "a%% a%% (b) --- _x_ AbC a\tb"]
+    names = sorted({t for x in texts for t in knn_quality.terms(x)})[::2]
+    lookup = knn_quality.Lookup(names)
+    for x in texts * 2:
+        at, n = lookup.counts(x)
+        assert {names[i]: c for i, c in zip(at, n, strict=True)} == {t: c for t, c in knn_quality.terms(x).items() if t in names}
+
+
 def test_vote_equals_brute_force():
     rng = np.random.default_rng(1)
     space = knn_quality.Space(["wa", "sA", "ru9"], np.ones(3))

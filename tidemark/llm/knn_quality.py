@@ -43,78 +43,127 @@ THRESHOLD = 0.3
 BLOCK = 256
 #: Weight of each kind of term: words, shapes, repetition.
 KINDS = {"w": 0.5, "s": 1.0, "r": 1.0}
-_LETTERS = re.compile(r"[^\W\d_]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER, _OTHER, _DIGIT, _RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\W\d_A]"), re.compile(r"\d"), re.compile(r"(.)\1+")
 
 
-def shape(token: str) -> str:
-    """Letter case, digits and marks of a token with runs collapsed, at most 8 characters."""
-    return _RUN.sub(r"\1", _DIGIT.sub("0", _OTHER.sub("a", _UPPER.sub("A", token))))[:8]
+def token_terms(token: str) -> tuple[str, str]:
+    """(word, shape) of a white-space token: lower-cased without marks around it; letter case, digits and marks
+    with runs collapsed, at most 8 characters."""
+    core = token.strip(_MARKS)
+    if core.isalpha() and core.isascii():
+        kind = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[0].isupper() and core[1:].islower() else None
+    else:
+        kind = None
+    if kind is None:
+        kind = _DIGIT.sub("0", _OTHER.sub("a", _UPPER.sub("A", core)))
+    if len(core) == len(token):
+        around = kind
+    else:
+        at = token.index(core) if core else 0
+        around = token[:at] + kind + token[at + len(core):]
+    return "w" + core.lower(), "s" + _RUN.sub(r"\1", around)[:8]
 
 
-def _token_terms(token: str) -> tuple[str, ...]:
-    return ("s" + shape(token), *("w" + w for w in _LETTERS.findall(token.lower())))
-
-
-_memo: dict[str, tuple[str, ...]] = {}
+def _shares(text: str, distinct: int, total: int) -> tuple[str, str, str]:
+    """Terms of repetition: shares of distinct tokens and lines in tenths, and whether the text is short."""
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    return (f"ru{10 * distinct // total}", f"rl{10 * len(set(lines)) // len(lines)}" if lines else "rl0",
+            "r#" if total < 20 else "r=")
 
 
 def terms(text: str | None) -> Counter:
     """Counts of all terms of a text; their first letter is the kind."""
-    text = text or ""
-    tokens = Counter(text.split())
+    tokens = Counter((text or "").split())
     out: Counter = Counter()
-    if len(_memo) > 200_000:
-        _memo.clear()
     for token, n in tokens.items():
-        found = _memo.get(token)
-        if found is None:
-            found = _token_terms(token)
-            if len(token) <= 64:
-                _memo[token] = found
-        for t in found:
-            out[t] += n
-    total = sum(tokens.values())
-    if total:
-        lines = [x for x in text.split("\n") if x.strip()]
-        out[f"ru{10 * len(tokens) // total}"] = 1
-        out[f"rl{10 * len(set(lines)) // len(lines)}"] = 1
-        out["r#" if total < 20 else "r="] = 1
+        word, form = token_terms(token)
+        out[word] += n
+        out[form] += n
+    if tokens:
+        out.update(_shares(text, len(tokens), sum(tokens.values())))
     return out
 
 
-def _counted(docs: DataFrame, wanted: frozenset | None) -> DataFrame:
-    """(term, n): in how many documents a term occurs; ``wanted`` limits the terms."""
+class Lookup:
+    """Text -> counts of the chosen terms as arrays; tokens are classified once and kept in a bounded memo."""
+
+    MEMO = 400_000
+
+    def __init__(self, names: list[str]):
+        self.term = {t: i for i, t in enumerate(names)}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.word, self.shape = np.full(1024, -1, np.int32), np.full(1024, -1, np.int32)
+
+    def __getstate__(self):
+        return {"term": self.term}
+
+    def __setstate__(self, state):
+        self.term = state["term"]
+        self._reset()
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers in order, counts)."""
+        tokens = (text or "").split()
+        if not tokens:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        number, term = self.number, self.term
+        distinct = set(tokens)
+        for t in [t for t in distinct if t not in number]:
+            at = number[t] = len(number)
+            if at >= len(self.word):
+                self.word, self.shape = (np.concatenate([x, np.full(len(x), -1, np.int32)]) for x in (self.word, self.shape))
+            w, s = token_terms(t)
+            self.word[at], self.shape[at] = term.get(w, -1), term.get(s, -1)
+        which = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        more = [term[t] for t in _shares(text, len(distinct), len(tokens)) if t in term]
+        both = np.concatenate([self.word[which], self.shape[which], np.array(more, np.int32)])
+        n = np.bincount(both + 1, minlength=len(term) + 1)[1:]
+        if len(number) > self.MEMO:
+            self._reset()
+        at = np.flatnonzero(n)
+        return at, n[at]
+
+
+def _sample_terms(sample: DataFrame) -> DataFrame:
+    """(term, n): in how many documents of the bounded sample every term occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         for b in batches:
-            found = [terms(t).keys() for t in b.column(0).to_pylist()]
-            if wanted is None:
-                total = Counter()
-                total.update(chain.from_iterable(found))
-            else:
-                total.update(chain.from_iterable(wanted & f for f in found))
-            total["#documents"] += len(found)
-            if wanted is None:
-                yield rows(total)
-                total = Counter()
-        if total:
-            yield rows(total)
-
-    def rows(total: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
-                                          names=["term", "n"])
-
-    return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            total = Counter(chain.from_iterable(terms(t) for t in b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
+                                             names=["term", "n"])
+
+    return sample.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _document_frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+    """(documents, document frequency per term) over all documents; one small row per term reaches the driver."""
+    lookup = Lookup(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(len(names), np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                n += 1
+                df[lookup.counts(text)[0]] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, df[some]])], names=["t", "n"])
+
+    sums = {r["t"]: r["n"] for r in docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(
+        F.sum("n").alias("n")).collect()}
+    return sums.get(-1, 0), np.array([sums.get(t, 0) for t in range(len(names))], np.float64)
 
 
 class Space:
     """Terms with weights, the projection to the latent space, and the labelled vectors there."""
 
     def __init__(self, names: list[str], idf: np.ndarray):
-        self.number = {t: i for i, t in enumerate(names)}
+        self.lookup = Lookup(names)
         self.idf = idf
-        self.kind = np.array(["wsr".index(t[0]) for t in names])
+        self.kind = np.array(["wsr".index(t[0]) for t in names], np.int64)
         self.weight = np.array([KINDS[k] for k in "wsr"])
         self.project = np.zeros((len(names), 0), np.float32)
         self.examples = np.zeros((0, 0), np.float32)
@@ -122,13 +171,10 @@ class Space:
 
     def raw(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, weights) with each kind of length one times its weight."""
-        number = self.number
-        found = [(number[t], n) for t, n in terms(text).items() if t in number]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        found.sort()
-        at = np.array([t for t, _ in found])
-        x = (1.0 + np.log([n for _, n in found])) * self.idf[at]
+        at, n = self.lookup.counts(text)
+        if not len(at):
+            return at, np.zeros(0, np.float32)
+        x = (1.0 + np.log(n)) * self.idf[at]
         kind = self.kind[at]
         norm = np.sqrt(np.bincount(kind, x * x, 3))
         return at, (x * (self.weight / np.maximum(norm, 1e-12))[kind]).astype(np.float32)
@@ -143,7 +189,7 @@ class Space:
         return y / np.maximum(norm, 1e-9) * (norm > 1e-6)
 
     def fit(self, found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dimensions: int) -> None:
-        x = np.zeros((len(found), len(self.number)), np.float32)
+        x = np.zeros((len(found), len(self.idf)), np.float32)
         for i, (at, v) in enumerate(found):
             x[i, at] = v
         values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
@@ -174,14 +220,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     train = fold_bucket(F.col("doc_id"), folds) != held_out
     sample = labelled_sample(docs, labels, "quality", train, per_class or PER_CLASS, seed)
     rest = label_share(docs, labels, "quality", train)
-    seen = _counted(sample, None).where(F.col("n") >= MIN_DOCS)
+    seen = _sample_terms(sample).where(F.col("n") >= MIN_DOCS)
     names: list[str] = []
     for kind, most in (("w", MAX_WORDS), ("s", MAX_SHAPES), ("r", 64)):
         top = seen.where(F.substring("term", 1, 1) == kind).orderBy(F.desc("n"), "term").limit(most)
         names += [r["term"] for r in top.select("term").collect()]
-    df = {r["term"]: r["n"] for r in _counted(docs, frozenset(names)).collect()}
-    n = df.get("#documents", 0)
-    space = Space(names, np.array([np.log((1.0 + n) / (1.0 + df.get(t, 0))) + 1.0 for t in names]))
+    n, df = _document_frequencies(docs, names) if names else (0, np.zeros(0))
+    space = Space(names, np.log((1.0 + n) / (1.0 + df)) + 1.0)
     if not names:
         return space, rest
 
