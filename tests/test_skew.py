@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.corpus import align_last_wins, sequential_ids, top_k_per_group
@@ -46,7 +48,27 @@ def test_align_last_wins_with_hot_key(spark):
     assert got == {k: (v[1], v[1]) for k, v in last.items()}
 
 
-def test_checkpoint_dir_requires_shared_folder_off_local(spark, monkeypatch):
+def test_checkpoint_dir_requires_shared_folder_off_local(monkeypatch):
+    from types import SimpleNamespace
+
     from tidemark import session
 
-    assert session.checkpoint_dir(spark)  # local: a scratch folder is fine
+    calls = []
+    conf = {"spark.master": "spark://host:7077"}
+    fake = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__),
+        sparkContext=SimpleNamespace(master="spark://host:7077", setCheckpointDir=calls.append))
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(fake)
+    conf["spark.checkpoint.dir"] = "hdfs://shared/ckpt"
+    assert session.checkpoint_dir(fake) == "hdfs://shared/ckpt" and calls == ["hdfs://shared/ckpt"]
+
+
+def test_fanout_partitions_follow_the_input(spark):
+    from tidemark.session import fanout_partitions, input_bytes
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = input_bytes(df)
+    assert size > 1_000_000
+    assert fanout_partitions(df, 4, task_bytes=size // 50) in range(200, 206)
+    assert fanout_partitions(df, 4) == int(spark.conf.get("spark.sql.shuffle.partitions"))

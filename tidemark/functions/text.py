@@ -32,19 +32,6 @@ def word_tokens(c) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS}+", -1))
 
 
-def ngram_array(tokens, n: int, sep: str = "\n") -> Column:
-    """All contiguous n-grams joined by ``sep``; empty when fewer than n tokens.
-
-    The size guard matters: ``sequence(1, 0)`` counts downwards.
-    """
-    toks = col_(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(toks) - n + 1),
-        lambda i: F.array_join(F.slice(toks, i, n), sep),
-    )
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
 def ngram_arrays(tokens, max_n: int, sep: str = "\n") -> list[Column]:
     """n-gram arrays for n = 1..max_n, built incrementally: the (n)-grams are the
     (n-1)-grams zipped with the token n-1 places ahead (no per-gram slice arrays)."""

@@ -125,13 +125,3 @@ def align_last_wins(left: DataFrame, right: DataFrame, key: str, order: str, val
     lw = left.groupBy(key).agg(F.max_by(value, order).alias("left"))
     rw = right.groupBy(key).agg(F.max_by(value, order).alias("right"))
     return lw.join(rw, key)
-
-
-def split_tagged(df: DataFrame, lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): rows whose file name yielded a language, and the rest.
-
-    The benchmark raises on the first unknown file name; here the rejects are
-    kept as their own frame so one bad file does not stop the job.
-    """
-    ok = F.col(lang_col).isNotNull()
-    return df.where(ok), df.where(~ok)

@@ -18,7 +18,7 @@ from tidemark.session import checkpoint_dir, fanout_partitions
 from tidemark.plans.flow import SCORED_VARIANTS
 from tidemark.plans.registry import register
 from tidemark.plans.scoring import stats_ctes
-from tidemark.plans.sql_fixtures import NL, WS, strip, with_ctes
+from tidemark.plans.sql_fixtures import NL, with_ctes, words_sql
 from tidemark.plans.sql_flow import _kw, code_structure_src, flow_ctes, structure_ctes
 from tidemark.sources.code_corpus import variant_texts
 
@@ -107,10 +107,6 @@ def pair_id() -> F.Column:
 
 
 # ---------------------------------------------------------------- DuckDB side
-def _words(e: str) -> str:
-    return f"(CASE WHEN {strip(e)} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({strip(e)}, '{WS}+') END)"
-
-
 def weighted_ctes(p: str, src: str, max_n: int = 4) -> dict[str, str]:
     """``{p}_w``: wide weighted recall statistics over ``src(pair_id, lang, hyp, ref)``."""
     gram = "array_to_string({t}[i:i+n-1], ' ')"
@@ -148,7 +144,7 @@ def codebleu_sql_ctes(pairs_sql: str) -> dict[str, str]:
     """CTE ``cb_scores(pair_id, lang, bleu, weighted, syntax, dataflow, codebleu)`` over ``cbp``."""
     ctes = {"cbp": pairs_sql}
     ctes.update(stats_ctes(f"SELECT pair_id, string_split(text2, {NL}) AS hyp, string_split(text1, {NL}) AS ref FROM cbp", 4))
-    ctes.update(weighted_ctes("wt", f"SELECT pair_id, lang, {_words('text1')} AS hyp, {_words('text2')} AS ref FROM cbp"))
+    ctes.update(weighted_ctes("wt", f"SELECT pair_id, lang, {words_sql('text1')} AS hyp, {words_sql('text2')} AS ref FROM cbp"))
     ctes.update(flow_ctes("fr", "SELECT pair_id, text2 AS text, lang FROM cbp", ["pair_id"]))
     ctes.update(flow_ctes("fc", "SELECT pair_id, text1 AS text, lang FROM cbp", ["pair_id"]))
     ctes.update(structure_ctes("sr", code_structure_src("fr_tok", ["pair_id"]), ["pair_id"]))
@@ -194,7 +190,7 @@ def _cb_sql(query: str, pairs_sql: str = CB_PAIRS_SQL) -> str:
     f"SELECT w.pair_id, s.lang, {BF.bleu(1)} AS score FROM wt_w w JOIN wt_src s ON s.pair_id = w.pair_id",
     "code_corpus", "code_variants",
     extra={"cbp": CB_PAIRS_SQL, **weighted_ctes(
-        "wt", f"SELECT pair_id, lang, {_words('text1')} AS hyp, {_words('text2')} AS ref FROM cbp")}))
+        "wt", f"SELECT pair_id, lang, {words_sql('text1')} AS hyp, {words_sql('text2')} AS ref FROM cbp")}))
 def weighted_ngram(spark, sf):
     return weighted_scores(laid_programs(spark, sf), W.keyword_dim(spark)).select(pair_id(), "lang", "score")
 

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import code as C
-from tidemark.functions.text import WS, col_, py_strip, word_tokens
+from tidemark.functions.text import WS, py_strip, word_tokens
 from tidemark.operators import perturb as P
 from tidemark.plans.build import LANG, corpus, with_lang
 from tidemark.plans.registry import register
-from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes
+from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes, words_sql
 from tidemark.sources.code_corpus import variant_texts
 from tidemark.sources.tables import table
 
@@ -115,14 +114,10 @@ def build_summary_prompts(spark, sf):
 BUDGET = 512
 
 
-def _words_sql(e: str) -> str:
-    return f"(CASE WHEN {strip(e)} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({strip(e)}, '{WS}+') END)"
-
-
 @register("prompt_budget", f"""
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) > {BUDGET} AS truncated,
        array_to_string(w[1:{BUDGET}], ' ') AS kept
-FROM (SELECT doc_id, {_words_sql('text')} AS w FROM documents)""")
+FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)""")
 def prompt_budget(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", word_tokens("text").alias("w"))
     return d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), (F.size("w") > BUDGET).alias("truncated"),

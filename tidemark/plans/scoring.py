@@ -10,7 +10,7 @@ from tidemark.functions import bleu_formulas as BF
 from tidemark.functions.text import drop_every_third, line_tokens, word_tokens
 from tidemark.operators import bleu as B
 from tidemark.plans.registry import register
-from tidemark.plans.sql_fixtures import NL, WS, strip, with_ctes
+from tidemark.plans.sql_fixtures import NL, with_ctes, words_sql
 from tidemark.sources.tables import table
 
 
@@ -48,12 +48,8 @@ DOCPAIR_SRC = """
   FROM documents"""
 
 
-def _words(e: str) -> str:
-    return f"(CASE WHEN {strip(e)} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({strip(e)}, '{WS}+') END)"
-
-
 CONVPAIR_SRC = f"""
-  SELECT conv_id * 1000000 + turn AS pair_id, {_words('next_text')} AS hyp, {_words('text')} AS ref
+  SELECT conv_id * 1000000 + turn AS pair_id, {words_sql('next_text')} AS hyp, {words_sql('text')} AS ref
   FROM (SELECT conv_id, turn, role, text,
                lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
                lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn,

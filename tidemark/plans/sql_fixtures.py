@@ -27,6 +27,11 @@ def strip(e: str) -> str:
     return f"regexp_replace({e}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+def words_sql(e: str) -> str:
+    """Whitespace tokens of an expression, [] for blank text."""
+    return f"(CASE WHEN {strip(e)} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({strip(e)}, '{WS}+') END)"
+
+
 def wrap(key: str, body: str) -> str:
     return (
         f"(CASE WHEN {key} % 3 = 0 THEN '\"\"\"order ' || CAST({key} AS VARCHAR) || '\"\"\"' || {NL} || {body} "

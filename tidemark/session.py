@@ -53,12 +53,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def fanout_partitions(df, factor: int) -> int:
+#: Bytes that the rows of one task may come to after an explode; what does not fit in memory spills once.
+TASK_BYTES = 1 << 30
+
+
+def input_bytes(df) -> int:
+    """Bytes of the files and frames that ``df`` reads, from the planner's statistics of its leaves."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+
+
+def fanout_partitions(df, factor: int, task_bytes: int = TASK_BYTES) -> int:
     """Partition count for a shuffle whose rows are exploded ``factor``-fold right after it.
 
     AQE sizes coalesced partitions by the bytes that cross the shuffle (raw
-    text); an explicit count keeps the exploded n-gram / token rows of one task
-    within memory instead of spilling.
+    text), not by what the tasks make of them. The count follows the input:
+    ``factor`` times its bytes at ``task_bytes`` a task, and never fewer than
+    ``spark.sql.shuffle.partitions``.
     """
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, base * factor)
+    return max(1, base, -(-input_bytes(df) * factor // task_bytes))
