@@ -222,9 +222,10 @@ CAP = 1000
          row_number() OVER (PARTITION BY type || '-' || grade ORDER BY id) AS rn
   FROM usable WHERE usable) WHERE rn <= {CAP}""",
     "code_corpus", "actual_outputs", extra=_VERDICT_CTES))
-def cap_per_stratum(spark, sf):
+def cap_per_stratum(spark, sf, cap: int = CAP):
+    """At most ``cap`` usable records of every stratum, by id."""
     u = usable_frame(spark, sf).where("usable").select("id", F.concat("type", F.lit("-"), "grade").alias("stratum"))
-    return K.top_k_per_group(u, ["stratum"], [F.col("id")], CAP, salt_col="id").select("id", "stratum", "rn")
+    return K.top_k_per_group(u, ["stratum"], [F.col("id")], cap, salt_col="id").select("id", "stratum", "rn")
 
 
 @register("sequential_ids", with_ctes(

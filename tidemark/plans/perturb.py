@@ -118,10 +118,11 @@ BUDGET = 512
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) > {BUDGET} AS truncated,
        array_to_string(w[1:{BUDGET}], ' ') AS kept
 FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)""")
-def prompt_budget(spark, sf):
+def prompt_budget(spark, sf, budget: int = BUDGET):
+    """The first ``budget`` words of each text, and whether there were more."""
     d = table(spark, sf, "documents").select("doc_id", word_tokens("text").alias("w"))
-    return d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), (F.size("w") > BUDGET).alias("truncated"),
-                    F.array_join(F.slice("w", 1, BUDGET), " ").alias("kept"))
+    return d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), (F.size("w") > budget).alias("truncated"),
+                    F.array_join(F.slice("w", 1, budget), " ").alias("kept"))
 
 
 @register("segment_map", with_ctes(f"""

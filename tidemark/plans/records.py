@@ -62,10 +62,10 @@ SLICE = (100, 600)
 @register("ordinal_slice", f"""
 SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents)
 WHERE seq >= {SLICE[0]} AND seq < {SLICE[1]}""")
-def ordinal_slice(spark, sf):
-    """Records with ``min <= ordinal < max`` in id order; ordinals from partition offsets."""
+def ordinal_slice(spark, sf, low: int = SLICE[0], high: int = SLICE[1]):
+    """Records with ``low <= ordinal < high`` in id order; ordinals from partition offsets."""
     d = K.sequential_ids(table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return d.where((F.col("seq") >= SLICE[0]) & (F.col("seq") < SLICE[1])).select("doc_id")
+    return d.where((F.col("seq") >= low) & (F.col("seq") < high)).select("doc_id")
 
 
 # ---------------------------------------------------------------- samples
@@ -79,18 +79,18 @@ _KEY = f"md5('{SEED}:' || CAST(doc_id AS VARCHAR))"
 SELECT doc_id, source, lang FROM (
   SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY {_KEY}, doc_id) AS rn
   FROM documents) WHERE rn <= {K_PER_GROUP}""")
-def sample_per_group(spark, sf):
+def sample_per_group(spark, sf, k: int = K_PER_GROUP):
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
     d = d.withColumn("_k", K.sample_key(SEED, "doc_id"))
-    return K.top_k_per_group(d, ["source", "lang"], [F.col("_k"), F.col("doc_id")], K_PER_GROUP, salt_col="doc_id").select(
+    return K.top_k_per_group(d, ["source", "lang"], [F.col("_k"), F.col("doc_id")], k, salt_col="doc_id").select(
         "doc_id", "source", "lang")
 
 
 @register("sample_n", f"SELECT doc_id, source, lang FROM documents ORDER BY {_KEY}, doc_id LIMIT {N_SAMPLE}")
-def sample_n(spark, sf):
+def sample_n(spark, sf, n: int = N_SAMPLE):
     """Uniform sample of n rows: a global top-n by hash (per-partition top-n, then merge)."""
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return d.orderBy(K.sample_key(SEED, "doc_id"), "doc_id").limit(N_SAMPLE)
+    return d.orderBy(K.sample_key(SEED, "doc_id"), "doc_id").limit(n)
 
 
 # ---------------------------------------------------------------- reports on sentence BLEU
