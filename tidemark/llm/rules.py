@@ -41,7 +41,7 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars < 1.5D * n_words OR word_chars > 30D * n_words"),
     Rule("symbols", "10 * n_symbols > word_chars"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("capitals", r"2 * regexp_count(whole, '\\p{Lu}') > regexp_count(whole, '\\p{L}')"),
     Rule("letters", r"2 * regexp_count(array_join(words, ' '), '[^ ]*\\p{L}[^ ]*') < n_words"),
     Rule("broken_lines", r"10 * regexp_count(whole, '(?m)(\\.\\.\\.|…)$') > 9 * n_lines"),
@@ -162,7 +162,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed
          OR word_chars < 1.5e0 * n_words OR word_chars > 30e0 * n_words
          OR 10 * n_symbols > word_chars
-         OR 10 * n_dup_lines > 3 * n_lines
+         OR 2 * n_dup_lines > n_lines
          OR 2 * len(regexp_extract_all(t, '\p{Lu}')) > len(regexp_extract_all(t, '\p{L}'))
          OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < n_words
          OR 10 * len(regexp_extract_all(t, '(?m)(\.\.\.|…)$')) > 9 * n_lines) AS kept
