@@ -175,10 +175,12 @@ def _sample(docs: DataFrame, folds: int, held_out: int, per_language: int, seed:
     """(lang, text): about ``per_language`` training documents a language, by a hash of id and language."""
     known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "")
                        & (fold_bucket(F.col("doc_id"), folds) != held_out)).select("doc_id", "lang", "text")
-    size = known.groupBy("lang").count().withColumnRenamed("lang", "_lang")
+    size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one small row per language
+    if not size:
+        return known.select("lang", "text").limit(0)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(size.items()) for x in (lang, per_language / n)])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.join(size, F.col("lang") == F.col("_lang")).where(draw * F.col("count") < per_language).select(
-        "lang", "text")
+    return known.where(draw < share[F.col("lang")]).select("lang", "text")
 
 
 def fit(docs: DataFrame, path: str, folds: int = FOLDS, held_out: int = HELD_OUT,
