@@ -144,3 +144,13 @@ def test_dataflow_by_hand(spark):
         (1, 1, "var_0", "comesFrom", ""), (1, 6, "var_1", "comesFrom", "var_0"), (1, 8, "var_0", "comesFrom", "var_0")]
     r = D.group_match(norm.select("id", "member", F.concat_ws("|", "var", "rel", "parents").alias("item")), "id", "member", "item").first()
     assert (r.matched, r.total) == (2, 3)
+
+
+def test_loop_targets_are_definitions(spark):
+    progs = spark.createDataFrame([
+        (1, "for x in xs:\n    y = x", "Python"), (2, "for (Item i : items) {\n  f(i);\n}", "Java"), (3, "if x:\n    z = x", "Python")],
+        "id long, text string, lang string")
+    edges = D.edges(D.nodes(D.token_table(progs, ["id"], "text", "lang"), ["id"]), ["id"])
+    got = sorted((r.id, r.var, r.rel, r.parent) for r in edges.where("parent IS NOT NULL").collect())
+    assert got == [(1, "x", "comesFrom", "x"), (1, "x", "computedFrom", "xs"), (1, "y", "computedFrom", "x"),
+                   (2, "i", "comesFrom", "i"), (2, "i", "computedFrom", "items"), (3, "z", "computedFrom", "x")]

@@ -72,3 +72,5 @@ def test_fanout_partitions_follow_the_input(spark):
     assert size > 1_000_000
     assert fanout_partitions(df, 4, task_bytes=size // 50) in range(200, 206)
     assert fanout_partitions(df, 4) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unknown = spark.createDataFrame([(1,)], "id long")
+    assert fanout_partitions(unknown, 4) == int(spark.conf.get("spark.sql.shuffle.partitions"))

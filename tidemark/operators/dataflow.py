@@ -17,6 +17,7 @@ one explode, so nodes are assembled by one aggregation instead of joins.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,37 @@ TYPE_WORDS = ("int", "long", "short", "float", "double", "char", "bool", "boolea
               "String", "unsigned", "signed", "void")
 
 
+# loop targets are definitions: "for x in xs", "for a, b in xs", and "for (Type x : xs)"
+LOOP_OPENERS = ("for", "foreach", ",")
+LOOP_NAME = "^[A-Za-z_][A-Za-z0-9_]*$"
+NOT_TYPES = tuple(dict.fromkeys(w for words in KEYWORDS.values() for w in words if w not in TYPE_WORDS))
+
+
+@dataclass(frozen=True)
+class FlowRules:
+    """What makes a name a definition; one set serves the three languages, another can be passed for a fourth."""
+
+    assign_ops: tuple[str, ...] = ASSIGN_OPS
+    type_words: tuple[str, ...] = TYPE_WORDS
+    loop_openers: tuple[str, ...] = LOOP_OPENERS
+
+    def defines(self) -> Column:
+        prev, nxt = F.col("prev_tok"), F.col("next_tok")
+        declared = prev.rlike(LOOP_NAME) & ~prev.isin(*NOT_TYPES)  # a class name in front
+        loop = ((nxt == "in") & (prev.isin(*self.loop_openers) | declared)) | ((nxt == ":") & declared)
+        return F.coalesce(nxt.isin(*self.assign_ops), F.lit(False)) | F.coalesce(prev.isin(*self.type_words), F.lit(False)) | \
+            F.coalesce(loop, F.lit(False))
+
+    def defines_sql(self) -> str:
+        def words(ws):
+            return ", ".join("'" + w + "'" for w in ws)
+
+        declared = f"(regexp_matches(prev_tok, '{LOOP_NAME}') AND prev_tok NOT IN ({words(NOT_TYPES)}))"
+        return (f"(coalesce(next_tok IN ({words(self.assign_ops)}), false) OR coalesce(prev_tok IN ({words(self.type_words)}), false) "
+                f"OR coalesce((next_tok = 'in' AND (prev_tok IN ({words(self.loop_openers)}) OR {declared})) "
+                f"OR (next_tok = ':' AND {declared}), false))")
+
+
 def _is_keyword(token: Column, lang: Column) -> Column:
     """Set membership per language: one hash probe per token."""
     out = F.lit(False)
@@ -85,14 +117,13 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str, l
     )
 
 
-def nodes(tokens: DataFrame, ids: Sequence[str]) -> DataFrame:
+def nodes(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRules()) -> DataFrame:
     """Data-flow nodes merged by position: ``ids, pos, var, rel, parents array<struct<ppos,name>>, is_parent``."""
     ids = list(ids)
     name = (F.col("kind") == "name") & ~F.col("next_tok").eqNullSafe("(")
-    is_def = name & (F.coalesce(F.col("next_tok").isin(*ASSIGN_OPS), F.lit(False))
-                     | F.coalesce(F.col("prev_tok").isin(*TYPE_WORDS), F.lit(False)))
+    is_def = name & rules.defines()
     is_use = name & ~is_def
-    rel = F.when(F.col("prev_tok").isin(*TYPE_WORDS), "comesFrom").otherwise("computedFrom")
+    rel = F.when(F.col("prev_tok").isin(*rules.type_words), "comesFrom").otherwise("computedFrom")
     t = tokens.select(*ids, "pos", "line", "token", is_def.alias("is_def"), is_use.alias("is_use"), rel.alias("rel")).where(
         F.col("is_def") | F.col("is_use"))
     w_name = Window.partitionBy(*ids, "token").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)

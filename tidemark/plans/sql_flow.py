@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.functions.comments import PY_RUNS
 from tidemark.functions.keywords import KEYWORDS, LANG_CODE
-from tidemark.operators.dataflow import ASSIGN_OPS, TOKEN, TYPE_WORDS
+from tidemark.operators.dataflow import TOKEN, TYPE_WORDS, FlowRules
 from tidemark.plans import sql_code as SC
 from tidemark.plans.sql_fixtures import NL, sq, sql_list
 
@@ -18,7 +18,6 @@ def flow_ctes(p: str, src: str, ids: list[str]) -> dict[str, str]:
     """CTEs ``{p}_tok`` (tokens), ``{p}_nodes``, ``{p}_edges``, ``{p}_norm`` over ``src(ids..., text, lang)``."""
     i = ", ".join(ids)
     part = ", ".join(ids)
-    assign = ", ".join(sq(x) for x in ASSIGN_OPS)
     types = ", ".join(sq(x) for x in TYPE_WORDS)
     return {
         f"{p}_s0": f"SELECT {i}, lang, text, regexp_extract_all(text, {sq(PY_RUNS)}, 0) AS runs FROM ({src})",
@@ -36,10 +35,8 @@ def flow_ctes(p: str, src: str, ids: list[str]) -> dict[str, str]:
   FROM {p}_s1, range(1, len(flat) + 1) r(k)""",
         f"{p}_t1": f"""
   SELECT {i}, pos, line, token,
-         kind = 'name' AND next_tok IS DISTINCT FROM '(' AND (coalesce(next_tok IN ({assign}), false)
-              OR coalesce(prev_tok IN ({types}), false)) AS is_def,
-         kind = 'name' AND next_tok IS DISTINCT FROM '(' AND NOT (coalesce(next_tok IN ({assign}), false)
-              OR coalesce(prev_tok IN ({types}), false)) AS is_use,
+         kind = 'name' AND next_tok IS DISTINCT FROM '(' AND {FlowRules().defines_sql()} AS is_def,
+         kind = 'name' AND next_tok IS DISTINCT FROM '(' AND NOT {FlowRules().defines_sql()} AS is_use,
          CASE WHEN prev_tok IN ({types}) THEN 'comesFrom' ELSE 'computedFrom' END AS rel
   FROM {p}_tok""",
         f"{p}_t2": f"""

@@ -55,12 +55,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 #: Bytes that the rows of one task may come to after an explode; what does not fit in memory spills once.
 TASK_BYTES = 1 << 30
+#: More reducers than this cost the shuffle more than they save.
+MAX_PARTITIONS = 200_000
 
 
 def input_bytes(df) -> int:
-    """Bytes of the files and frames that ``df`` reads, from the planner's statistics of its leaves."""
+    """Bytes of the files and frames that ``df`` reads, from the planner's statistics of its leaves; unknown sizes count 0."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    sizes = (int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)  # Spark gives a frame of unknown size the largest long
 
 
 def fanout_partitions(df, factor: int, task_bytes: int = TASK_BYTES) -> int:
@@ -72,4 +75,4 @@ def fanout_partitions(df, factor: int, task_bytes: int = TASK_BYTES) -> int:
     ``spark.sql.shuffle.partitions``.
     """
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, base, -(-input_bytes(df) * factor // task_bytes))
+    return max(1, base, min(MAX_PARTITIONS, -(-input_bytes(df) * factor // task_bytes)))
