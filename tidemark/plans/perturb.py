@@ -14,7 +14,7 @@ from tidemark.operators import perturb as P
 from tidemark.plans.build import LANG, corpus, with_lang
 from tidemark.plans.registry import register
 from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes, words_sql
-from tidemark.sources.code_corpus import variant_texts
+from tidemark.sources.code_corpus import code_variants, variant_texts
 from tidemark.sources.tables import table
 
 
