@@ -25,13 +25,16 @@ from tidemark.sources.code_corpus import variant_texts
 
 # ---------------------------------------------------------------- Spark side
 def lay(rows: DataFrame) -> DataFrame:
-    """Rows of ``id, lang, grade, texts`` (the original first) laid out once by id, behind a reliable checkpoint.
+    """Rows of ``id, lang, grade, texts`` (the original first) behind a reliable checkpoint, dealt by id.
 
-    This is the only time the texts cross the network: the checkpoint keeps the
-    partitioning, and every scorer below works on keys that begin with ``id``.
+    The exchange above the checkpoint is the only time the texts cross the
+    network: every scorer reads the same columns under the same filter, so the
+    plans reuse it, and all later keys begin with ``id``.
     """
     checkpoint_dir(rows.sparkSession)
-    return rows.repartition(fanout_partitions(rows, B.FANOUT), "id").checkpoint(eager=True)
+    n = fanout_partitions(rows, B.FANOUT)
+    kept = rows.checkpoint(eager=True).where(F.col("id").isNotNull() & F.col("lang").isNotNull())
+    return kept.repartition(n, "id")
 
 
 def laid_programs(spark: SparkSession, sf: str, scored: dict[str, int] = SCORED_VARIANTS) -> DataFrame:
@@ -86,9 +89,9 @@ def codebleu_scores(rows: DataFrame, keywords: DataFrame, params: str = W.DEFAUL
         return df.select(*_KEY, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("grade"), *[
             (value if n == name else none).alias(n) for n in ("bleu", "weighted", "syntax", "dataflow")])
 
-    bleu = B.sentence_bleu(_pairs(rows).select(*_KEY, line_tokens("text2").alias("hyp"), F.array(line_tokens("text1")).alias("refs")),
-                           _KEY, laid=True)
-    known = rows.select("id", "lang", "grade", F.explode(F.sequence(F.lit(1), F.size("texts") - 1)).alias("member")).select(
+    lines = _pairs(rows).select(*_KEY, "lang", line_tokens("text2").alias("hyp"), F.array(line_tokens("text1")).alias("refs"))
+    bleu = B.sentence_bleu(lines, [*_KEY, "lang"], laid=True)
+    known = rows.select("id", "lang", "grade", F.posexplode("texts").alias("member", "text")).where("member > 0").select(
         *_KEY, "lang", "grade", *[none.alias(n) for n in ("bleu", "weighted", "syntax", "dataflow")])
     stacked = known
     for piece in (part(bleu, "bleu", F.col("bleu")), part(weighted_scores(rows, keywords), "weighted", F.col("score")),
