@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import fuse
-from tidemark.llm.common import ASCII_UPPER, carry, materialise
+from tidemark.llm.common import ASCII_UPPER, carry, materialise, slices
 
 #: Distinct digests per filter shard, on average: what one task holds, at any input size.
 SHARD_KEYS = 1 << 14
@@ -42,7 +42,7 @@ def with_digest(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             norm = [_normal(t) for t in b.column(1).to_pylist()]
             sha = pa.array([hashlib.sha256(t).hexdigest() for t in norm], pa.string())
             cols, names = [b.column(0), sha], ["doc_id", "text_sha256"]

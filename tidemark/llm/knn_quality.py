@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_bucket
+from tidemark.llm.common import fold_bucket, slices
 from tidemark.llm.samples import label_share, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -131,7 +131,7 @@ class Lookup:
 def _sample_terms(sample: DataFrame) -> DataFrame:
     """(term, n): in how many documents of the bounded sample every term occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total = Counter(chain.from_iterable(terms(t) for t in b.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                              names=["term", "n"])
@@ -145,7 +145,7 @@ def _document_frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(len(names), np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 n += 1
                 df[lookup.counts(text)[0]] += 1
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
         return space, rest
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [space.raw(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([f[0].tolist() for f in found], pa.list_(pa.int64())),
@@ -252,7 +252,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_o
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             parts = [space.vote(space.latent([space.raw(t) for t in texts[at:at + BLOCK]]), rest)
                      for at in range(0, len(texts), BLOCK)]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from tidemark.llm.common import fold_bucket, materialise
+from tidemark.llm.common import fold_bucket, materialise, slices
 
 FOLDS, HELD_OUT = 5, 0
 #: Most training documents per language.
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, path: str, folds: int = FOLDS, held_out: int = HELD_OUT
         per_language: int = PER_LANGUAGE, rounds: int = ROUNDS, seed: int = 9) -> Model:
     """Piece probabilities per language; what reaches the driver is (language, piece, expected count)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total.update((lang, w) for w in words_of(text) if len(w) <= TRAIN_LETTERS)
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, path: str, folds: int = FOLDS, held_out: int = HEL
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = model.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],

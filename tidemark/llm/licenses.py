@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 THRESHOLD = 0.9
@@ -126,7 +128,7 @@ def template_frequencies(docs: DataFrame, templates: Mapping[str, str] = TEMPLAT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 total.update(filter(vocabulary.__contains__, words_of(t)))
         if total:
@@ -152,7 +154,7 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     phrases = {" ".join(words_of(p)): label for p, label in phrases.items()}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for text in b.column(1).to_pylist():
                 words = words_of(text)

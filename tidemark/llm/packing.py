@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, with_rank
+from tidemark.llm.common import materialise, slices, with_rank
 from tidemark.llm.cutting import whole_patterns
 from tidemark.llm.tokens import Memo, load, usual
 
@@ -37,9 +37,6 @@ END_ID = 2
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _PARTS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
-_memos: dict[str, Memo] = {}
-
-
 def _id_bytes(path: str):
     """bytes of little-endian 32-bit ids per word."""
     def make(words: list[str]) -> list[bytes]:
@@ -59,9 +56,9 @@ def _words(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w]
 
 
-def encode_words(path: str, texts: list[str]) -> list[bytes]:
+def encode_words(path: str, texts: list[str], memo: Memo | None = None) -> list[bytes]:
     """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space."""
-    memo = _memos.setdefault(path, Memo(_id_bytes(path)))
+    memo = memo or Memo(_id_bytes(path))
     out: list[bytes] = []
     for at in range(0, len(texts), 256):
         lists = [_words(t) for t in texts[at:at + 256]]
@@ -70,9 +67,9 @@ def encode_words(path: str, texts: list[str]) -> list[bytes]:
     return out
 
 
-def _encode(path: str, texts: list[str | None], end_id: int) -> list[bytes]:
+def _encode(path: str, texts: list[str | None], end_id: int, memo: Memo) -> list[bytes]:
     end = int(end_id).to_bytes(4, "little")
-    return [ids + end for ids in encode_words(path, [t or "" for t in texts])]
+    return [ids + end for ids in encode_words(path, [t or "" for t in texts], memo)]
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -80,9 +77,10 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        memo = Memo(_id_bytes(path))  # one per task: what a worker keeps does not add up
+        for b in slices(batches):
             row, start, length, crc, tokens, whole = [], [], [], [], [], []
-            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id)):
+            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id, memo)):
                 n, doc_crc = len(ids) // 4, zlib.crc32(ids)
                 for s in range(0, n, capacity):
                     part = ids[4 * s:4 * (s + capacity)]
@@ -121,10 +119,11 @@ def _recut(docs: DataFrame, path: str, wanted: DataFrame, end_id: int) -> DataFr
         "doc_id", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        memo = Memo(_id_bytes(path))
+        for b in slices(batches):
             row, cols = [], ([], [], [], [])
             cuts = b.column(2).to_pylist()
-            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id)):
+            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id, memo)):
                 doc_crc = zlib.crc32(ids)
                 for c in cuts[i]:
                     if c["doc_crc"] == doc_crc:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import carry, materialise
+from tidemark.llm.common import carry, materialise, slices
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -65,7 +65,7 @@ def with_fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle_words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 

@@ -11,7 +11,7 @@ overlap holds no common position (a run of letters longer than the overlap, for
 example) it is doubled, up to the rest of the document.
 
 Shorter documents are encoded whole; a memo of word -> token count, bounded and
-kept per Python worker, saves encoding frequent words again. Texts are taken
+kept per task, saves encoding frequent words again. Texts are taken
 apart for it only where the byte-level splitting pattern ends a word whatever
 stands around it, so the sum is exact.
 
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from tidemark.llm.common import slices
+
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 8
 OVER_LIMIT = 512
@@ -150,9 +152,6 @@ def pieces(text: str) -> list[str]:
     return _PARTS.findall(text) if usual(text) else split_words(text)
 
 
-_memos: dict[str, Memo] = {}
-
-
 def _lengths(path: str):
     def make(words: list[str]) -> list[int]:
         return [len(e) for e in load(path).encode_batch_fast(words, add_special_tokens=False)]
@@ -160,8 +159,9 @@ def _lengths(path: str):
     return make
 
 
-def count_batch(path: str, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    memo = _memos.setdefault(path, Memo(_lengths(path)))
+def count_batch(path: str, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS,
+                memo: Memo | None = None) -> list[int]:
+    memo = memo or Memo(_lengths(path))
     out: list[int] = []
     for at in range(0, len(texts), 256):
         part = texts[at:at + 256]
@@ -181,9 +181,10 @@ def count_tokens(docs: DataFrame, path: str, over: int = OVER_LIMIT, chunk: int
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        memo = Memo(_lengths(path))  # one per task: what a worker keeps does not add up
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n = np.array(count_batch(path, texts, chunk, overlap), np.int64)
+            n = np.array(count_batch(path, texts, chunk, overlap, memo), np.int64)
             size = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > over)],
                                              names=["doc_id", "n_bytes", "n_tokens", "over_limit"])

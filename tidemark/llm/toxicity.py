@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_bucket
+from tidemark.llm.common import fold_bucket, slices
 from tidemark.llm.samples import label_share, labelled_sample
 
 FOLDS, HELD_OUT = 4, 2
@@ -148,7 +148,7 @@ class Model:
 def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     """Terms that mark toxic examples; counts are summed by Spark, the few chosen terms reach the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total: Counter = Counter()
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total.update((t, label) for t in {t for w in words_of(text) for t in terms_of(w)})
@@ -179,7 +179,7 @@ def document_frequencies(docs: DataFrame, lookup: Lookup) -> tuple[int, np.ndarr
     """(documents, document frequency per term) over all documents; one small row per term reaches the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(len(lookup.number), np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 n += 1
                 for t in lookup.counts(text):
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [lookup.counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int64())),
@@ -230,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [model.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _ in found], pa.float64()),
@@ -247,7 +247,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             good = [model.score(t)[0] < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(good, pa.bool_()))
 
