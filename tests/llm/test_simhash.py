@@ -93,3 +93,14 @@ def test_odd_rows_and_empty_table(odd, none_left):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     assert kept.count() == len({r.component_id for r in simhash.near_duplicates(odd).collect()})
+
+
+def test_keep_one_takes_one_row_of_every_component(spark):
+    a = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(None, "null id and a first text of its own"), (None, "another text that has no id either"),
+            (None, "a third one, unlike both of the others"), (None, "a third one, unlike both of the others"),
+            (1, a), (7, a.upper()), (7, "id seven comes again with a text that no other row has"),
+            (None, a), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(str(tuple(r)) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted(str(r) for r in [*rows[:3], rows[4], rows[6], rows[8]])

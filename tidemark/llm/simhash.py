@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import carry, materialise, slices
@@ -60,16 +60,24 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.uint
     return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
 
 
-def with_fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+def with_fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): the 64 bits as a signed long; with ``digest`` the text's digest as ``sha`` too."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    also = [text_digest(F.col("text")).alias("sha")] if digest else []
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = np.array([fingerprint(t, shingle_words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]],
+                                             names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *also).mapInArrow(
+        hashed, f"doc_id {kind}, fp long" + (", sha string" if digest else ""))
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the whole text; the null text has the empty digest, so no row's digest is null."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
 def trie_pairs(group: np.ndarray, bits: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -235,23 +243,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(own: DataFrame, max_bits: int, max_node: int) -> DataFrame:
+    """The rows of ``own``, one per fingerprint ``fp``, with their component's smallest fingerprint ``root`` (never null)."""
+    roots = components(links(own.select("fp"), max_bits, max_node))
+    return own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                     max_node: int = MAX_NODE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     marked = materialise(with_fingerprint(docs, shingle_words))
     own = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(own.select("fp"), max_bits, max_node))
-    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(own, max_bits, max_node)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that represent their component (the smallest id), with all their columns."""
-    found = near_duplicates(docs, shingle_words, max_bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    met = carry(docs, id=F.col("doc_id")).join(keep, F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return met.dropDuplicates(["id"]).select("row.*")
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+             max_node: int = MAX_NODE) -> DataFrame:
+    """One row of ``docs`` per component, with all its columns: the smallest id (null ids last), then text digest.
+
+    Components are told apart by their root fingerprint, so null ids stand alone
+    like any others. The row is fetched by id and text, as one id may have
+    several texts; a text lies in one component only.
+    """
+    marked = with_fingerprint(docs, shingle_words, digest=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha"))
+    own = materialise(marked.groupBy("fp").agg(first.alias("first")))
+    keep = _rooted(own, max_bits, max_node).groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("keep_id"), F.col("first.sha").alias("keep_sha"))
+    met = carry(docs, id=F.col("doc_id"), sha=text_digest(F.col("text"))).join(
+        keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
+    # rows that agree in id and text: one stays; the grouping key holds no more than such repeats
+    return met.dropDuplicates(["id", "sha"]).select("row.*")
