@@ -42,3 +42,36 @@ def test_odd_rows_and_empty_table(odd, none_left, odd_labels):
     assert {r.score for r in toxicity.score_toxicity(odd, odd_labels.where("doc_id < 0")).collect()} == {0.0}
     kept = toxicity.reject_toxic(odd, odd_labels.where("doc_id < 0"))
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(COUNTS, min_size=1, max_size=40), st.lists(COUNTS, min_size=1, max_size=5), st.integers(1, 6),
+       st.integers(1, 8), st.integers(0, 10))
+def test_blocks_and_postings_together_are_exact(examples, queries, k, block, head):
+    weight = np.linspace(0.1, 3.0, 10)
+    vectors = [toxicity.unit(c, weight) for c in examples]
+    index = toxicity.BlockMaxIndex(vectors, [0] * len(vectors), list(range(len(vectors))), 10, block, head, 1)
+    for q, (_, cosine) in zip(queries, index.search([toxicity.unit(q, weight) for q in queries], k), strict=True):
+        q = toxicity.unit(q, weight)
+        want = sorted((sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors), reverse=True)[:k]
+        assert np.allclose([c for c in want if c > 1e-9], cosine[cosine > 1e-9], atol=2e-9)
+
+
+def test_rare_toxic_wording_and_copies_of_labelled_texts_are_found(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+
+    def prose(*more):
+        return " ".join(rng.permutation([*rng.choice(words, 40), *more]).tolist())
+
+    # toxic: 400 texts with a common mark, 8 with a rare one (under 3%), 4 whose words are all plain
+    texts = [prose("qqcommon") for _ in range(400)] + [prose("zzrare") for _ in range(8)] + [prose() for _ in range(4)]
+    clean = [prose() for _ in range(800)]
+    rows = [(i, t, int(i < len(texts))) for i, t in enumerate(texts + clean)]
+    new = [(5000, prose("zzrare")), (5001, texts[-1]), (5002, texts[-1].upper()), (5003, prose())]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + new, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels, folds=2, held_out=9).collect()}
+    assert [out[i].predicted for i in (5000, 5001, 5002, 5003)] == [1, 1, 1, 0]
+    assert out[5001].evidence[0] == len(texts) - 1
+    assert all(out[i].predicted for i in range(len(texts)))

@@ -1,18 +1,22 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
 
-Terms are lower-cased words and their openings of 4 to 6 letters that toxic
-training examples use far more often than clean ones (a share, a lift and a
-z-value, all relative to the sample). Document frequencies are counted over the
-whole corpus. The examples, at most ``PER_CLASS`` of each label, form a block-max
-inverted index: postings per term, cut into blocks of examples, with the
-largest weight of every term in every block. A document adds up its terms'
-block maxima, visits blocks in order of that bound and stops when the bound is
-below its k-th best cosine, so the nearest examples found are exact. Their
+Terms are all lower-cased words of the labelled examples, and the words'
+openings of 4 to 6 letters. No word is left out: every term weighs by its
+document frequency over the whole corpus and by its class, i.e. by how much
+more often toxic examples use it than clean ones, faded out smoothly where the
+counts are too small to tell. A word that tells nothing keeps the weight
+``PLAIN``, an opening that tells nothing has none. The examples, at most
+``PER_CLASS`` of each label, all stand in a block-max inverted index: a document
+adds up the short postings of its rarer terms; the ``HEAD`` commonest terms are
+kept in blocks of examples with the largest weight of every term in the block,
+and a block is visited unless that bound shows that none of its examples can
+reach the k-th best cosine, so the nearest examples found are exact. Their
 labels vote with weights that fall with distance, shrunk towards the base rate;
-the nearest examples' ids are returned as evidence.
+the nearest examples' ids are returned as evidence. Terms are known by their
+64-bit hash.
 
 Defined cases: null and empty text, and texts without any term, score the
-toxic rate of training examples without terms, at most ``NO_EVIDENCE``; without
+toxic rate of training examples without terms, shrunk towards the base rate; without
 training labels every score is 0; texts are read whole; ties in cosine go to the example that comes
 first; repeated rows score alike; an empty table gives an empty result; other
 columns are ignored (kept by ``reject_toxic``).
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +41,17 @@ from tidemark.llm.samples import label_share, labelled_sample
 FOLDS, HELD_OUT = 4, 2
 #: Most training examples per label.
 PER_CLASS = {1: 4000, 0: 8000}
-#: A term is held by this share of toxic examples (and 4 of them), with this balanced precision and z-value.
-MIN_SHARE, MIN_COUNT, MIN_PRECISION, MIN_Z = 0.03, 4, 0.9, 5.0
-MAX_TERMS = 4096
+#: The class weight of a word that tells nothing; telling terms weigh their log ratio, at half height at this z-value.
+PLAIN, HALF_Z = 0.1, 5.0
 OPENINGS = (4, 5, 6)
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
+#: Most terms kept in blocks; a term of fewer examples than LONG has a posting list.
+HEAD, LONG = 256, 64
+#: Documents searched together.
+TOGETHER = 64
 SHRINK = 0.3
 THRESHOLD = 0.3
-#: A text without evidence never scores more than this.
-NO_EVIDENCE = 0.15
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -57,139 +63,192 @@ def words_of(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def term_hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+
+
 class Lookup:
-    """Text -> counts of the chosen terms; remembers words in a bounded memo."""
+    """Text -> counts of the known terms (sorted hashes); remembers words in a bounded memo."""
 
     MEMO = 200_000
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
-        return {"number": self.number, "memo": {}}
+        return {"hashes": self.hashes, "memo": {}}
+
+    def _learn(self, words: list[str]) -> None:
+        terms = [terms_of(w) for w in words]
+        h = np.fromiter((term_hash(t) for ts in terms for t in ts), np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        found = np.where(self.hashes[at] == h, at, -1).tolist() if len(self.hashes) else [-1] * len(h)
+        done = 0
+        for w, ts in zip(words, terms, strict=True):
+            self.memo[w] = tuple(t for t in found[done:done + len(ts)] if t >= 0)
+            done += len(ts)
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         memo = self.memo
         if len(memo) > self.MEMO:
             memo.clear()
-        for w, n in words_of(text).items():
-            hit = memo.get(w)
-            if hit is None:
-                hit = memo[w] = tuple(self.number[t] for t in terms_of(w) if t in self.number)
-            for t in hit:
+        words = words_of(text)
+        new = [w for w in words if w not in memo]
+        if new:
+            self._learn(new)
+        for w, n in words.items():
+            for t in memo[w]:
                 out[t] = out.get(t, 0) + n
         return out
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, range numbers) of all places in the ranges, one range after another."""
+    n = end - start
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) + (start - (np.cumsum(n) - n))[which], which
+
+
 class BlockMaxIndex:
-    """Labelled unit vectors in blocks, with postings per term and block and each block's largest weights."""
+    """Labelled unit vectors: postings of the rarer terms, blocks with largest weights of the commonest.
+
+    A vector is {term: weight} or a pair of arrays (terms, weights).
+    """
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list, n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list, labels: list[int], ids: list, n_terms: int, block: int = BLOCK,
+                 head: int = HEAD, long: int = LONG):
+        pairs = [_pair(v) for v in vectors]
         # examples with the same leading term stand together, so block maxima are tight
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), i))
-        self.block = block
+        lead = [int(t[np.lexsort((t, -w))[0]]) for t, w in pairs]
+        order = sorted(range(len(pairs)), key=lambda i: (lead[i], i))
+        self.block, self.n_blocks = block, -(-len(order) // block)
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.ids = [ids[i] for i in order]
-        n_blocks = -(-len(order) // block)
-        self.top = np.zeros((n_terms, n_blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists.setdefault((t, at // block), []).append((at % block, w))
-                self.top[t, at // block] = max(self.top[t, at // block], w)
-        for key, found in lists.items():
-            self.postings[key] = (np.array([a for a, _ in found]), np.array([w for _, w in found]))
-
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        term = np.concatenate([np.zeros(0, np.int64), *(pairs[i][0] for i in order)])
+        weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])
+        example = np.repeat(np.arange(len(order)), [len(pairs[i][0]) for i in order])
+        held = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:head]
+        common = common[held[common] >= long]
+        self.place = np.full(n_terms, -1, np.int32)  # of the common terms within a block
+        self.place[common] = np.arange(len(common))
+        at = self.place[term]
+        some = at >= 0
+        self.blocks = np.zeros((self.n_blocks, len(common), block))
+        self.blocks[example[some] // block, at[some], example[some] % block] = weight[some]
+        self.top = self.blocks.max(axis=2, initial=0.0).T  # (common terms, blocks)
+        term, example, weight = term[~some], example[~some], weight[~some]
+        by = np.argsort(term, kind="stable")
+        self.example, self.weight = example[by].astype(np.int32), weight[by]
+        self.begin = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int64)
+
+    def nearest(self, vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the k nearest with a cosine above 0, nearest first."""
-        terms = list(vector)
-        bound = np.array(list(vector.values())) @ self.top[terms]
-        at, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(at) == k and bound[b] < cosine[-1] - 1e-9):
-                break
-            scores = np.zeros(self.block)
-            for t, w in vector.items():
-                hit = self.postings.get((t, int(b)))
-                if hit is not None:
-                    scores[hit[0]] += w * hit[1]
-            some = np.flatnonzero(scores > 0)
-            at = np.concatenate([at, some + int(b) * self.block])
-            cosine = np.concatenate([cosine, np.round(scores[some], 9)])
+        return self.search([vector], k)[0]
+
+    def search(self, vectors: list, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What ``nearest`` finds, for several vectors at once."""
+        width = self.n_blocks * self.block
+        scores = np.zeros((len(vectors), width))
+        asked = np.zeros((len(vectors), len(self.top)))
+        for i, vector in enumerate(vectors):
+            terms, weights = _pair(vector)
+            at = self.place[terms]
+            asked[i, at[at >= 0]] = weights[at >= 0]
+            place, which = _ranges(self.begin[terms], self.begin[terms + 1])
+            scores[i] = np.bincount(self.example[place], weights[which] * self.weight[place], width)
+        least = np.partition(scores, -k, axis=1)[:, -k] if width >= k else np.zeros(len(vectors))
+        bound = scores.reshape(len(vectors), self.n_blocks, self.block).max(axis=2, initial=0.0) + asked @ self.top
+        visit = bound >= np.maximum(least - 1e-8, 1e-300)[:, None]
+        for b in range(self.n_blocks):
+            rows = np.flatnonzero(visit[:, b])
+            if len(rows):
+                scores[rows, b * self.block:(b + 1) * self.block] += asked[rows] @ self.blocks[b]
+        out = []
+        for row in scores:
+            if width > k:
+                at = np.flatnonzero(row >= max(np.partition(row, -k)[-k] - 1e-8, 1e-300))
+            else:
+                at = np.flatnonzero(row > 0)
+            cosine = np.round(row[at], 9)
             best = np.lexsort((at, -cosine))[:k]
-            at, cosine = at[best], cosine[best]
-        return at, cosine
+            out.append((at[best], cosine[best]))
+        return out
+
+
+def _pair(vector) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(vector, dict):
+        return np.array(list(vector), np.int64), np.array(list(vector.values()), np.float64)
+    return vector
+
+
+def unit_arrays(terms: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of length 1, terms in order and without those of no weight."""
+    by = np.argsort(terms)
+    terms, n = terms[by], n[by]
+    raw = (1.0 + np.log(n)) * weight[terms]
+    some = raw > 0
+    terms, raw = terms[some], raw[some]
+    return terms, raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
+
 
+def unit(counts: dict[int, int], weight: np.ndarray) -> dict[int, float]:
+    terms, w = unit_arrays(*_counted(counts), weight)
+    return dict(zip(terms.tolist(), w.tolist(), strict=True))
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1.0 + math.log(n)) * idf[t] for t, n in sorted(counts.items())}
-    norm = math.sqrt(sum(w * w for w in raw.values()))
-    return {t: w / norm for t, w in raw.items()} if norm else {}
+
+def _counted(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    n = len(counts)
+    return np.fromiter(counts, np.int64, n), np.fromiter(counts.values(), np.float64, n)
 
 
 class Model:
-    def __init__(self, lookup: Lookup, idf: np.ndarray, index: BlockMaxIndex | None, rate: float, rest: float):
-        self.lookup, self.idf, self.index, self.rate, self.rest = lookup, idf, index, rate, rest
-
-    def score(self, text: str | None) -> tuple[float, list]:
-        """(score, ids of the nearest examples)."""
-        vector = unit(self.lookup.counts(text), self.idf)
-        if not vector or self.index is None:
-            return self.rest, []
-        at, cosine = self.index.nearest(vector)
-        weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))  # by distance; an equal example counts 20 times a far one
-        votes = float(weight @ self.index.labels[at])
-        return (votes + SHRINK * self.rate) / (float(weight.sum()) + SHRINK), [self.index.ids[i] for i in at]
-
-
-def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms that mark toxic examples; counts are summed by Spark, the few chosen terms reach the driver."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            total: Counter = Counter()
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.update((t, label) for t in {t for w in words_of(text) for t in terms_of(w)})
-            if total:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t for t, _ in total]), pa.array([y for _, y in total], pa.int64()),
-                     pa.array(list(total.values()), pa.int64())], names=["term", "label", "n"])
-
-    size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    toxic, clean = float(size.get(1, 0)), float(size.get(0, 0))
-    if not toxic:
-        return []
-    n = toxic + clean
-    per = sample.select("label", "text").mapInArrow(count, "term string, label long, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    both = F.col("a") + F.col("b")
-    spread = F.sqrt(both * toxic * clean * (n - both) / (n * n * max(n - 1, 1)) + F.lit(1e-9))
-    z = (F.col("a") - both * toxic / n) / spread
-    precision = (F.col("a") / toxic) / (F.col("a") / toxic + F.col("b") / max(clean, 1.0))
-    kept = per.where((F.col("a") >= max(MIN_COUNT, MIN_SHARE * toxic)) & (precision >= MIN_PRECISION)).withColumn("z", z)
-    if clean:
-        kept = kept.where(F.col("z") >= MIN_Z)
-    return [r["term"] for r in kept.orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect()]
+    def __init__(self, lookup: Lookup, weight: np.ndarray, index: BlockMaxIndex | None, rate: float, rest: float):
+        self.lookup, self.weight, self.index, self.rate, self.rest = lookup, weight, index, rate, rest
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """(score, ids of the nearest examples) per text."""
+        out: list[tuple[float, list]] = [(self.rest, [])] * len(texts)
+        for at in range(0, len(texts) if self.index else 0, TOGETHER):
+            vectors = [unit_arrays(*_counted(self.lookup.counts(t)), self.weight) for t in texts[at:at + TOGETHER]]
+            some = [i for i, v in enumerate(vectors) if len(v[0])]
+            for i, (near, cosine) in zip(some, self.index.search([vectors[i] for i in some]), strict=True):
+                weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))  # by distance; an equal example counts 20 times a far one
+                votes = float(weight @ self.index.labels[near])
+                out[at + i] = ((votes + SHRINK * self.rate) / (float(weight.sum()) + SHRINK),
+                               [self.index.ids[j] for j in near])
+        return out
+
+
+def class_weights(toxic_df: np.ndarray, clean_df: np.ndarray, toxic: int, clean: int, plain: np.ndarray) -> np.ndarray:
+    """A weight per term: ``plain`` plus the log ratio of its shares in toxic and clean examples, faded by its z-value."""
+    n, both = toxic + clean, toxic_df + clean_df
+    ratio = np.log((toxic_df + 0.5) / (toxic + 0.5)) - np.log((clean_df + 0.5) / (clean + 0.5))
+    spread = np.sqrt(both * toxic * clean * (n - both) / (n * n * max(n - 1, 1)) + 1e-9)
+    z = np.maximum(toxic_df - both * toxic / n, 0.0) / spread if clean else np.zeros(len(both))
+    fade = z ** 4 / (z ** 4 + HALF_Z ** 4)
+    return plain + fade * np.maximum(ratio, 0.0)
 
 
 def document_frequencies(docs: DataFrame, lookup: Lookup) -> tuple[int, np.ndarray]:
     """(documents, document frequency per term) over all documents; one small row per term reaches the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(len(lookup.number), np.int64)
+        n, df = 0, np.zeros(len(lookup.hashes), np.int64)
         for b in slices(batches):
             for text in b.column(0).to_pylist():
                 n += 1
-                for t in lookup.counts(text):
-                    df[t] += 1
+                found = lookup.counts(text)
+                df[np.fromiter(found, np.int64, len(found))] += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, df[some]])], names=["t", "n"])
 
-    sums = {r["t"]: r["n"] for r in docs.select("text").mapInArrow(count, "t long, n long")
-            .groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    return sums.get(-1, 0), np.array([sums.get(t, 0) for t in range(len(lookup.number))], np.float64)
+    sums = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = sums.column("t").to_numpy(), sums.column("n").to_numpy()
+    df = np.zeros(len(lookup.hashes))
+    df[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), df
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT,
@@ -197,30 +256,63 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     """The model from at most ``per_class`` training examples per label and corpus-wide document frequencies."""
     train = fold_bucket(F.col("doc_id"), folds) != held_out
     sample = labelled_sample(docs, labels, "toxic", train, per_class or PER_CLASS, seed)
-    lookup = Lookup(choose_terms(sample))
-    rate = label_share(docs, labels, "toxic", train)
-    if not lookup.number:
-        return Model(lookup, np.zeros(0), None, rate, min(rate, NO_EVIDENCE))
-    n, df = document_frequencies(docs, lookup)
-    idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [lookup.counts(t) for t in b.column(2).to_pylist()]
+            words, n, openings = [], [], []
+            for text in b.column(2).to_pylist():
+                found = words_of(text)
+                some: Counter = Counter()
+                for w, times in found.items():
+                    for t in terms_of(w)[1:]:
+                        some[t] += times
+                words.append([term_hash(w) for w in found] + [term_hash(t) for t in some])
+                n.append([*found.values(), *some.values()])
+                openings.append(len(some))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int64())),
-                 pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], names=["doc_id", "label", "t", "n"])
+                [b.column(0), b.column(1), pa.array([np.array(w, np.uint64).view(np.int64) for w in words], pa.list_(pa.int64())),
+                 pa.array(n, pa.list_(pa.int64())), pa.array(openings, pa.int64())],
+                names=["doc_id", "label", "t", "n", "openings"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(
-        vectors, f"doc_id {kind}, label long, t array<long>, n array<long>").orderBy("doc_id").collect()
-    units = [unit(dict(zip(r["t"], r["n"], strict=True)), idf) for r in rows]
-    with_terms = [i for i, u in enumerate(units) if u]
-    without = [rows[i]["label"] for i, u in enumerate(units) if not u]
-    index = BlockMaxIndex([units[i] for i in with_terms], [rows[i]["label"] for i in with_terms],
-                          [rows[i]["doc_id"] for i in with_terms], len(idf))
-    rest = min(NO_EVIDENCE, rate, sum(without) / len(without)) if without else 0.0
-    return Model(lookup, idf, index, rate, rest)
+        hashed, f"doc_id {kind}, label long, t array<long>, n array<long>, openings long").orderBy("doc_id").toArrow()
+    rate = label_share(docs, labels, "toxic", train)
+    label = rows.column("label").to_numpy()
+    size = np.array(rows.column("t").combine_chunks().value_lengths().to_pylist(), np.int64)
+    flat = rows.column("t").combine_chunks().flatten().to_numpy().view(np.uint64)
+    times = rows.column("n").combine_chunks().flatten().to_numpy()
+    if not len(flat):
+        return Model(Lookup(np.zeros(0, np.uint64)), np.zeros(0), None, rate, rate)
+    ids, openings = rows.column("doc_id").to_pylist(), rows.column("openings").to_numpy()
+    hashes, term = np.unique(flat, return_inverse=True)
+    toxic, clean = int((label == 1).sum()), int((label != 1).sum())
+    is_toxic = np.repeat(label == 1, size)
+    toxic_df = np.bincount(term[is_toxic], minlength=len(hashes)).astype(np.float64)
+    clean_df = np.bincount(term[~is_toxic], minlength=len(hashes)).astype(np.float64)
+    end = np.cumsum(size)
+    place, of = np.arange(len(flat)), np.repeat(np.arange(len(size)), size)
+    plain = np.zeros(len(hashes))
+    plain[term[place < (end - openings)[of]]] = PLAIN  # the words
+    weight = class_weights(toxic_df, clean_df, toxic, clean, plain)
+    # openings of next to no weight would only cost time: a hundredth of a plain word is none
+    weight[weight < PLAIN / 100] = 0.0
+    number = np.cumsum(weight > 0) - 1
+    kept = weight[term] > 0
+    lookup = Lookup(hashes[weight > 0])
+    weight = weight[weight > 0]
+    n, df = document_frequencies(docs, lookup)
+    weight = weight * (np.log((1.0 + n) / (1.0 + df)) + 1.0)
+    units = []
+    for i, last in enumerate(end.tolist()):
+        own = slice(last - int(size[i]), last)
+        own_terms, own_times = number[term[own]][kept[own]], times[own][kept[own]]
+        units.append(unit_arrays(own_terms, own_times.astype(np.float64), weight))
+    with_terms = [i for i, u in enumerate(units) if len(u[0])]
+    without = [int(label[i]) for i, u in enumerate(units) if not len(u[0])]
+    index = BlockMaxIndex([units[i] for i in with_terms], [int(label[i]) for i in with_terms],
+                          [ids[i] for i in with_terms], len(weight))
+    return Model(lookup, weight, index, rate, (sum(without) + SHRINK * rate) / (len(without) + SHRINK))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT,
@@ -231,7 +323,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [model.score(t) for t in b.column(1).to_pylist()]
+            found = model.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _ in found], pa.float64()),
                  pa.array([e for _, e in found], pa.list_(b.column(0).type))], names=["doc_id", "score", "evidence"])
@@ -248,7 +340,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            good = [model.score(t)[0] < threshold for t in b.column(at).to_pylist()]
+            good = [s < threshold for s, _ in model.scores(b.column(at).to_pylist())]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
