@@ -5,15 +5,14 @@ openings of 4 to 6 letters. No word is left out: every term weighs by its
 document frequency over the whole corpus and by its class, i.e. by how much
 more often toxic examples use it than clean ones, faded out smoothly where the
 counts are too small to tell. A word that tells nothing keeps the weight
-``PLAIN``, an opening that tells nothing has none. The examples, at most
+``PLAIN``, an opening that tells less than that has none. The examples, at most
 ``PER_CLASS`` of each label, all stand in a block-max inverted index: a document
 adds up the short postings of its rarer terms; the ``HEAD`` commonest terms are
 kept in blocks of examples with the largest weight of every term in the block,
 and a block is visited unless that bound shows that none of its examples can
 reach the k-th best cosine, so the nearest examples found are exact. Their
 labels vote with weights that fall with distance, shrunk towards the base rate;
-the nearest examples' ids are returned as evidence. Terms are known by their
-64-bit hash.
+the nearest examples' ids are returned as evidence.
 
 Defined cases: null and empty text, and texts without any term, score the
 toxic rate of training examples without terms, shrunk towards the base rate; without
@@ -31,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,44 +61,32 @@ def words_of(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def term_hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
-
-
 class Lookup:
-    """Text -> counts of the known terms (sorted hashes); remembers words in a bounded memo."""
+    """Text -> counts of the known terms: words, and openings that end in a star."""
 
-    MEMO = 200_000
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        self.memo: dict[str, tuple[int, ...]] = {}
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.openings = {t[:-1]: i for t, i in self.number.items() if t[-1] == "*"}
+        self.stems = {t[:OPENINGS[0]] for t in self.openings}
 
     def __getstate__(self):
-        return {"hashes": self.hashes, "memo": {}}
-
-    def _learn(self, words: list[str]) -> None:
-        terms = [terms_of(w) for w in words]
-        h = np.fromiter((term_hash(t) for ts in terms for t in ts), np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        found = np.where(self.hashes[at] == h, at, -1).tolist() if len(self.hashes) else [-1] * len(h)
-        done = 0
-        for w, ts in zip(words, terms, strict=True):
-            self.memo[w] = tuple(t for t in found[done:done + len(ts)] if t >= 0)
-            done += len(ts)
+        return {"terms": self.terms}
+
+    def __setstate__(self, state):
+        self.__init__(state["terms"])
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        memo = self.memo
-        if len(memo) > self.MEMO:
-            memo.clear()
-        words = words_of(text)
-        new = [w for w in words if w not in memo]
-        if new:
-            self._learn(new)
-        for w, n in words.items():
-            for t in memo[w]:
-                out[t] = out.get(t, 0) + n
+        number, openings, stems, first = self.number.get, self.openings.get, self.stems, OPENINGS[0]
+        for w, n in words_of(text).items():
+            t = number(w)
+            if t is not None:
+                out[t] = n  # no other word has this number
+            if w[:first] in stems:
+                for k in OPENINGS:
+                    if len(w) > k and (t := openings(w[:k])) is not None:
+                        out[t] = out.get(t, 0) + n
         return out
 
 
@@ -222,20 +208,47 @@ class Model:
         return out
 
 
-def class_weights(toxic_df: np.ndarray, clean_df: np.ndarray, toxic: int, clean: int, plain: np.ndarray) -> np.ndarray:
-    """A weight per term: ``plain`` plus the log ratio of its shares in toxic and clean examples, faded by its z-value."""
+def class_weights(toxic_df: np.ndarray, clean_df: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Per term the log ratio of its shares in toxic and clean examples, from 0 up, faded by its z-value."""
     n, both = toxic + clean, toxic_df + clean_df
     ratio = np.log((toxic_df + 0.5) / (toxic + 0.5)) - np.log((clean_df + 0.5) / (clean + 0.5))
     spread = np.sqrt(both * toxic * clean * (n - both) / (n * n * max(n - 1, 1)) + 1e-9)
-    z = np.maximum(toxic_df - both * toxic / n, 0.0) / spread if clean else np.zeros(len(both))
-    fade = z ** 4 / (z ** 4 + HALF_Z ** 4)
-    return plain + fade * np.maximum(ratio, 0.0)
+    z = np.maximum(toxic_df - both * toxic / n, 0.0) / spread
+    return z ** 4 / (z ** 4 + HALF_Z ** 4) * np.maximum(ratio, 0.0)
+
+
+def choose_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(terms, class weights): all words of the sample and its telling openings; one row per term reaches the driver."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            total: Counter = Counter()
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.update((t, label) for t in {t for w in words_of(text) for t in terms_of(w)})
+            if total:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t for t, _ in total]), pa.array([y for _, y in total], pa.int64()),
+                     pa.array(list(total.values()), pa.int64())], names=["term", "label", "n"])
+
+    size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    toxic, clean = size.get(1, 0), size.get(0, 0)
+    per = sample.select("label", "text").mapInArrow(count, "term string, label long, n long").groupBy("term").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
+    more = (F.col("a") + 0.5) / (toxic + 0.5) > (F.col("b") + 0.5) / (clean + 0.5)  # the others' log ratio is not above 0
+    found = per.where(~F.col("term").endswith("*") | more).toArrow()
+    terms = found.column("term").to_pylist()
+    word = np.array([t[-1] != "*" for t in terms], bool)
+    a, b = (found.column(c).to_numpy().astype(np.float64) for c in ("a", "b"))
+    weight = class_weights(a, b, toxic, clean) if terms else np.zeros(0)
+    weight = np.where(word, PLAIN + weight, np.where(weight >= PLAIN, weight, 0.0))
+    order = sorted(np.flatnonzero(weight > 0).tolist(), key=terms.__getitem__)
+    return [terms[i] for i in order], weight[order]
 
 
 def document_frequencies(docs: DataFrame, lookup: Lookup) -> tuple[int, np.ndarray]:
     """(documents, document frequency per term) over all documents; one small row per term reaches the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(len(lookup.hashes), np.int64)
+        n, df = 0, np.zeros(len(lookup.terms), np.int64)
         for b in slices(batches):
             for text in b.column(0).to_pylist():
                 n += 1
@@ -246,7 +259,7 @@ def document_frequencies(docs: DataFrame, lookup: Lookup) -> tuple[int, np.ndarr
 
     sums = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     t, n = sums.column("t").to_numpy(), sums.column("n").to_numpy()
-    df = np.zeros(len(lookup.hashes))
+    df = np.zeros(len(lookup.terms))
     df[t[t >= 0]] = n[t >= 0]
     return int(n[t < 0].sum()), df
 
@@ -256,61 +269,30 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     """The model from at most ``per_class`` training examples per label and corpus-wide document frequencies."""
     train = fold_bucket(F.col("doc_id"), folds) != held_out
     sample = labelled_sample(docs, labels, "toxic", train, per_class or PER_CLASS, seed)
+    terms, weight = choose_terms(sample)
+    lookup = Lookup(terms)
+    rate = label_share(docs, labels, "toxic", train)
+    if not terms:
+        return Model(lookup, np.zeros(0), None, rate, rate)
+    n, df = document_frequencies(docs, lookup)
+    weight = weight * (np.log((1.0 + n) / (1.0 + df)) + 1.0)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            words, n, openings = [], [], []
-            for text in b.column(2).to_pylist():
-                found = words_of(text)
-                some: Counter = Counter()
-                for w, times in found.items():
-                    for t in terms_of(w)[1:]:
-                        some[t] += times
-                words.append([term_hash(w) for w in found] + [term_hash(t) for t in some])
-                n.append([*found.values(), *some.values()])
-                openings.append(len(some))
+            found = [lookup.counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([np.array(w, np.uint64).view(np.int64) for w in words], pa.list_(pa.int64())),
-                 pa.array(n, pa.list_(pa.int64())), pa.array(openings, pa.int64())],
-                names=["doc_id", "label", "t", "n", "openings"])
+                [b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())),
+                 pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "t", "n"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(
-        hashed, f"doc_id {kind}, label long, t array<long>, n array<long>, openings long").orderBy("doc_id").toArrow()
-    rate = label_share(docs, labels, "toxic", train)
-    label = rows.column("label").to_numpy()
-    size = np.array(rows.column("t").combine_chunks().value_lengths().to_pylist(), np.int64)
-    flat = rows.column("t").combine_chunks().flatten().to_numpy().view(np.uint64)
-    times = rows.column("n").combine_chunks().flatten().to_numpy()
-    if not len(flat):
-        return Model(Lookup(np.zeros(0, np.uint64)), np.zeros(0), None, rate, rate)
-    ids, openings = rows.column("doc_id").to_pylist(), rows.column("openings").to_numpy()
-    hashes, term = np.unique(flat, return_inverse=True)
-    toxic, clean = int((label == 1).sum()), int((label != 1).sum())
-    is_toxic = np.repeat(label == 1, size)
-    toxic_df = np.bincount(term[is_toxic], minlength=len(hashes)).astype(np.float64)
-    clean_df = np.bincount(term[~is_toxic], minlength=len(hashes)).astype(np.float64)
-    end = np.cumsum(size)
-    place, of = np.arange(len(flat)), np.repeat(np.arange(len(size)), size)
-    plain = np.zeros(len(hashes))
-    plain[term[place < (end - openings)[of]]] = PLAIN  # the words
-    weight = class_weights(toxic_df, clean_df, toxic, clean, plain)
-    # openings of next to no weight would only cost time: a hundredth of a plain word is none
-    weight[weight < PLAIN / 100] = 0.0
-    number = np.cumsum(weight > 0) - 1
-    kept = weight[term] > 0
-    lookup = Lookup(hashes[weight > 0])
-    weight = weight[weight > 0]
-    n, df = document_frequencies(docs, lookup)
-    weight = weight * (np.log((1.0 + n) / (1.0 + df)) + 1.0)
-    units = []
-    for i, last in enumerate(end.tolist()):
-        own = slice(last - int(size[i]), last)
-        own_terms, own_times = number[term[own]][kept[own]], times[own][kept[own]]
-        units.append(unit_arrays(own_terms, own_times.astype(np.float64), weight))
+        vectors, f"doc_id {kind}, label long, t array<int>, n array<int>").orderBy("doc_id").toArrow()
+    ids, label = rows.column("doc_id").to_pylist(), rows.column("label").to_pylist()
+    units = [unit_arrays(t.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.float64), weight)
+             for t, n in zip(rows.column("t"), rows.column("n"), strict=True)]
     with_terms = [i for i, u in enumerate(units) if len(u[0])]
-    without = [int(label[i]) for i, u in enumerate(units) if not len(u[0])]
-    index = BlockMaxIndex([units[i] for i in with_terms], [int(label[i]) for i in with_terms],
+    without = [label[i] for i, u in enumerate(units) if not len(u[0])]
+    index = BlockMaxIndex([units[i] for i in with_terms], [label[i] for i in with_terms],
                           [ids[i] for i in with_terms], len(weight))
     return Model(lookup, weight, index, rate, (sum(without) + SHRINK * rate) / (len(without) + SHRINK))
 
