@@ -29,6 +29,8 @@ PY_RUNS = (
 )
 LINE_START = "\\n[ \\t]*$"
 BLANK = "^[ \\t]*$"
+#: Stands for a line feed inside a string while a text is cut into lines; Unicode reserves it for internal use.
+STRING_NL = "\ufdd0"
 
 
 def _runs(code, pattern: str) -> Column:
@@ -40,14 +42,24 @@ def drop_blank_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: py_strip(x) != ""), "\n")
 
 
-def strip_comments_c(code) -> Column:
-    """C-family: ``//`` and ``/* */`` comments become one space, literals stay, blank lines go."""
+def _one_line(string: Column) -> Column:
+    """A string literal without its blank lines and with ``STRING_NL`` for line feeds."""
+    lines = F.filter(F.split(string, "\n", -1), lambda x: py_strip(x) != "")
+    return F.when(string.contains("\n"), F.array_join(lines, STRING_NL)).otherwise(string)
+
+
+def strip_comments_c(code, one_line: bool = False) -> Column:
+    """C-family: ``//`` and ``/* */`` comments become one space, literals stay, blank lines go.
+
+    With ``one_line`` the line feeds of string literals become ``STRING_NL``.
+    """
     runs = _runs(code, C_RUNS)
-    kept = F.transform(runs, lambda t: F.when(t.startswith("//") | t.startswith("/*"), F.lit(" ")).otherwise(t))
+    kept = F.transform(runs, lambda t: F.when(t.startswith("//") | t.startswith("/*"), F.lit(" ")).otherwise(
+        F.when(t.startswith('"'), _one_line(t)).otherwise(t) if one_line else t))
     return drop_blank_lines(F.array_join(kept, ""))
 
 
-def strip_comments_py(code) -> Column:
+def strip_comments_py(code, one_line: bool = False) -> Column:
     """Python: drop ``#`` comments and strings that start a line (docstrings), then blank lines.
 
     Each run is zipped with its predecessor (and the predecessor's index), so the
@@ -62,14 +74,16 @@ def strip_comments_py(code) -> Column:
     def keep(t, p):
         is_str = t.startswith('"') | t.startswith("'")
         at_line_start = p["t"].isNull() | p["t"].rlike(LINE_START) | ((p["i"] == 0) & p["t"].rlike(BLANK))
-        return F.when(t.startswith("#"), F.lit("")).when(is_str & at_line_start, F.lit("")).otherwise(t)
+        return F.when(t.startswith("#"), F.lit("")).when(is_str & at_line_start, F.lit("")).otherwise(
+            F.when(is_str, _one_line(t)).otherwise(t) if one_line else t)
 
     return drop_blank_lines(F.array_join(F.zip_with(runs, prevs, keep), ""))
 
 
-def strip_comments(code, lang) -> Column:
+def strip_comments(code, lang, one_line: bool = False) -> Column:
     lg = col_(lang)
-    return F.when(lg == "Python", strip_comments_py(code)).when(lg == "Ruby", col_(code)).otherwise(strip_comments_c(code))
+    return F.when(lg == "Python", strip_comments_py(code, one_line)).when(lg == "Ruby", col_(code)).otherwise(
+        strip_comments_c(code, one_line))
 
 
 def _count(s: Column, sub: str) -> Column:

@@ -3,9 +3,11 @@
 Re-aimed from per-language syntax-tree walkers: the program is cut into an
 ordered token table; a name followed by an assignment operator, or preceded
 by a type word, is a definition (``comesFrom`` for declarations,
-``computedFrom`` for assignments); every other name is a use. A use comes from
-the last definition of the same name on an earlier line; the uses to the
-right of a definition on its line are that definition's parents.
+``computedFrom`` for assignments); every other name is a use. In straight code
+a use comes from the last definition of the same name on an earlier line; in
+programs with blocks from all definitions that reach it over branches and loops
+(``reaching``). The uses to the right of a definition on its line are that
+definition's parents.
 
 Plan: programs are hash partitioned by id once. Tokens are exploded inside
 the task; every window and aggregation afterwards is keyed by (id, ...), which
@@ -22,14 +24,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.comments import strip_comments
+from tidemark.functions.comments import STRING_NL, strip_comments
 from tidemark.functions.keywords import KEYWORDS, LANG_CODE
 from tidemark.functions.text import col_
+from tidemark.operators.reaching import BRANCH_PATTERN, DEDENT, INDENT, reaching, with_regions
 from tidemark.session import fanout_partitions
 
 # --- fixed values: token pattern, assignment operators, declaration type words
 TOKEN = (
-    '"[^"\\\\\\n]*(?:\\\\.[^"\\\\\\n]*)*"'
+    '"""[\\s\\S]*?"""' "|'''[\\s\\S]*?'''"
+    '|"[^"\\\\\\n]*(?:\\\\.[^"\\\\\\n]*)*"'
     "|'[^'\\\\\\n]*(?:\\\\.[^'\\\\\\n]*)*'"
     "|[A-Za-z_][A-Za-z0-9_]*"
     "|[0-9]+(?:\\.[0-9]+)?"
@@ -80,22 +84,88 @@ def _is_keyword(token: Column, lang: Column) -> Column:
     return out
 
 
-def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str, laid: bool = False) -> DataFrame:
+def _lines_of_tokens(text, lang) -> Column:
+    """Per line of the text without comments, counted by all its line feeds: the tokens, a string over lines on its first."""
+    code = strip_comments(text, lang, one_line=True)
+    lines = F.split(code, "\n", -1)
+    # a string over lines leaves as many empty lines behind it as it has line feeds
+    spread = F.flatten(F.transform(lines, lambda ln: F.concat(F.array(ln), F.array_repeat(
+        F.lit(""), F.size(F.split(ln, STRING_NL, -1)) - 1))))
+    return F.when(code.contains(STRING_NL), spread).otherwise(lines)
+
+
+def _layout_events(lines: Column, found: Column) -> Column:
+    """Per line ``(line, closes, opens)``: suites that end and begin before it, by an indentation stack; one more for the end.
+
+    Lines inside brackets, after a backslash and without tokens don't count.
+    """
+    kind = "struct<open:array<int>,par:int,wraps:boolean,out:array<struct<closes:int,opens:int>>>"
+    start = F.struct(F.array(F.lit(0)).alias("open"), F.lit(0).alias("par"), F.lit(False).alias("wraps"),
+                     F.array().cast("array<struct<closes:int,opens:int>>").alias("out")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        toks = x["toks"]
+        depth = F.length(F.regexp_replace(F.regexp_extract(x["line"], "^([ \t\f]*)", 1), "\t", "        "))
+        kept = F.filter(acc["open"], lambda d: d <= depth)
+        deeper = F.element_at(kept, -1) < depth
+        counts = (F.size(toks) > 0) & (acc["par"] <= 0) & ~acc["wraps"]
+        par = acc["par"] + F.size(F.filter(toks, lambda t: t.isin("(", "[", "{"))) - F.size(F.filter(toks, lambda t: t.isin(")", "]", "}")))
+        event = F.struct(F.when(counts, F.size(acc["open"]) - F.size(kept)).otherwise(0).alias("closes"),
+                         F.when(counts & deeper, 1).otherwise(0).alias("opens"))
+        stack = F.when(~counts, acc["open"]).when(deeper, F.concat(kept, F.array(depth))).otherwise(kept)
+        wraps = F.when(F.size(toks) == 0, acc["wraps"]).otherwise(F.element_at(toks, -1) == "\\")
+        return F.struct(stack.alias("open"), par.alias("par"), wraps.alias("wraps"), F.concat(acc["out"], F.array(event)).alias("out")).cast(kind)
+
+    def finish(acc: Column) -> Column:
+        return F.concat(acc["out"], F.array(F.struct((F.size(acc["open"]) - 1).alias("closes"), F.lit(0).alias("opens"))))
+
+    rows = F.zip_with(lines, found, lambda ln, toks: F.struct(ln.alias("line"), toks.alias("toks")))
+    return F.aggregate(rows, start, step, finish)
+
+
+def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str, laid: bool = False, layout: bool = False) -> DataFrame:
     """``ids, pos, line, token, kind, prev_tok, next_tok`` with comments removed first.
 
     kind: string, number, keyword, name, op. Positions are 0-based over the
-    whole program; lines are 0-based. ``laid`` tells that the programs are hash
-    partitioned by some of ``ids`` already, so nothing is shuffled.
+    whole program; lines are 0-based and counted by line feeds, those inside
+    strings included; a string over several lines is one token. ``laid`` tells
+    that the programs are hash partitioned by some of ``ids`` already, so nothing
+    is shuffled. With ``layout`` the suites of Python programs stand between
+    tokens ``<indent>`` and ``<dedent>`` of kind layout, and ``lang`` and
+    ``rpos``, the position without them, are added.
     """
     ids = list(ids)
-    lines = F.split(strip_comments(text, lang), "\n", -1)
-    flat = F.flatten(F.transform(lines, lambda ln, i: F.transform(
-        F.regexp_extract_all(ln, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(i.alias("line"), t.alias("tok")))))
+    keyed = programs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))  # same plan in every consumer
+    lines = _lines_of_tokens(text, lang)
+
+    def tokens_of(ln: Column) -> Column:
+        return F.regexp_extract_all(ln, F.lit(TOKEN), F.lit(0))
+
+    def feeds(t: Column) -> Column:
+        return F.size(F.split(t, STRING_NL, -1)) - 1
+
+    def flat_of(found: Column) -> Column:
+        plain = F.flatten(F.transform(found, lambda toks, i: F.transform(toks, lambda t: F.struct(i.alias("line"), t.alias("tok")))))
+        # behind a string over lines stand tokens of its last line
+        behind = F.flatten(F.transform(found, lambda toks, i: F.transform(toks, lambda t, j: F.struct(
+            (i + F.aggregate(F.slice(toks, F.lit(1), j), F.lit(0), lambda n, x: n + feeds(x))).alias("line"), t.alias("tok")))))
+        over = F.exists(found, lambda toks: F.exists(toks, lambda t: t.contains(STRING_NL)))
+        return F.when(over, behind).otherwise(plain)
+
     # tokenize before the shuffle: the exchange then carries token arrays and is
     # reused by every consumer; the array is also a column, so the lambda below
     # does not re-run the tokenizer for every element
-    keyed = programs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))  # same plan in every consumer
-    staged = keyed.select(*ids, lang, flat.alias("_flat"))
+    if layout:
+        cut = keyed.select(*ids, lang, lines.alias("_lines")).select("*", F.transform("_lines", tokens_of).alias("_found"))
+        suites = (F.col(lang) == "Python") & F.exists("_lines", lambda ln: ln.rlike("^[ \t\f]"))
+        cut = cut.select("*", F.when(suites, _layout_events(F.col("_lines"), F.col("_found"))).alias("_events"))
+        marks = F.zip_with(
+            F.concat("_found", F.array(F.array().cast("array<string>"))), "_events", lambda toks, e: F.concat(
+                F.array_repeat(F.lit(DEDENT), e["closes"]), F.array_repeat(F.lit(INDENT), e["opens"]), toks))
+        staged = cut.select(*ids, lang, F.when(F.col("_events").isNull(), F.col("_found")).otherwise(marks).alias("_found")).select(
+            *ids, lang, flat_of(F.col("_found")).alias("_flat"))
+    else:
+        staged = keyed.select(*ids, lang, flat_of(F.transform(lines, tokens_of)).alias("_flat"))
     if not laid:
         staged = staged.repartition(fanout_partitions(staged, 2), *ids)
     f = F.col("_flat")
@@ -111,28 +181,62 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str, l
         .when(tok.rlike("^[A-Za-z_]"), "name")
         .otherwise("op")
     )
-    return exploded.select(
-        *ids, F.col("pos").cast("bigint").alias("pos"), F.col("t.line").cast("bigint").alias("line"),
-        tok.alias("token"), kind.alias("kind"), F.col("t.prev_tok").alias("prev_tok"), F.col("t.next_tok").alias("next_tok"),
+    if layout:
+        kind = F.when(tok.isin(INDENT, DEDENT), "layout").otherwise(kind)
+    out = exploded.select(
+        *ids, *([F.col(lang).alias("lang")] if layout else []), F.col("pos").cast("bigint").alias("pos"),
+        F.col("t.line").cast("bigint").alias("line"),
+        F.when(tok.contains(STRING_NL), F.translate(tok, STRING_NL, "\n")).otherwise(tok).alias("token"), kind.alias("kind"),
+        F.col("t.prev_tok").alias("prev_tok"), F.col("t.next_tok").alias("next_tok"),
     )
+    if layout:
+        so_far = Window.partitionBy(*ids).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("rpos", F.coalesce(F.sum(F.when(F.col("kind") != "layout", 1).otherwise(0)).over(so_far), F.lit(0)).cast("bigint"))
+    return out
 
 
-def nodes(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRules()) -> DataFrame:
-    """Data-flow nodes merged by position: ``ids, pos, var, rel, parents array<struct<ppos,name>>, is_parent``."""
-    ids = list(ids)
+def branches(text) -> Column:
+    """Whether a program text may hold a block that branches or loops; null texts don't."""
+    return F.coalesce(col_(text).rlike(BRANCH_PATTERN), F.lit(False))
+
+
+def _roles(tokens: DataFrame, rules: FlowRules) -> tuple[Column, Column, Column]:
+    """(is_def, is_use, relation) of a token row."""
     name = (F.col("kind") == "name") & ~F.col("next_tok").eqNullSafe("(")
     is_def = name & rules.defines()
-    is_use = name & ~is_def
     rel = F.when(F.col("prev_tok").isin(*rules.type_words), "comesFrom").otherwise("computedFrom")
+    return is_def, name & ~is_def, rel
+
+
+def straight_uses(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRules()) -> DataFrame:
+    """``ids, pos, line, token, is_def, is_use, rel, defs``: the last definition on an earlier line reaches a use."""
+    ids = list(ids)
+    is_def, is_use, rel = _roles(tokens, rules)
     t = tokens.select(*ids, "pos", "line", "token", is_def.alias("is_def"), is_use.alias("is_use"), rel.alias("rel")).where(
         F.col("is_def") | F.col("is_use"))
     w_name = Window.partitionBy(*ids, "token").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("is_def"), F.col("pos"))).over(w_name)
+    return t.select("*", last.alias("def_pos"))
+
+
+def merged_uses(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRules()) -> DataFrame:
+    """The same rows for programs with blocks, from tokens with layout: ``defs`` holds all definitions that reach a use."""
+    ids = list(ids)
+    is_def, is_use, rel = _roles(tokens, rules)
+    t = with_regions(tokens, ids)
+    t = t.withColumn("is_def", F.coalesce(is_def, F.lit(False))).withColumn("is_use", F.coalesce(is_use, F.lit(False))).withColumn("rel", rel)
+    met = reaching(t, ids, "token", ["pos", "rpos", "line", "token", "rel"])
+    return met.select(*ids, F.col("rpos").alias("pos"), "line", "token", "is_def", "is_use", "rel", "defs")
+
+
+def nodes(uses: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Data-flow nodes merged by position: ``ids, pos, var, rel, parents array<struct<ppos,name>>, is_parent``.
+
+    ``uses``: rows of ``straight_uses`` (one reaching definition, ``def_pos``) or ``merged_uses`` (all of them, ``defs``).
+    """
+    ids = list(ids)
     w_line = Window.partitionBy(*ids, "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select(
-        "*",
-        F.max(F.when(F.col("is_def"), F.col("pos"))).over(w_name).alias("def_pos"),
-        F.last(F.when(F.col("is_def"), F.col("pos")), ignorenulls=True).over(w_line).alias("stmt_pos"),
-    )
+    t = uses.withColumn("stmt_pos", F.last(F.when(F.col("is_def"), F.col("pos")), ignorenulls=True).over(w_line))
     rec = "struct<node:bigint,head:boolean,var:string,rel:string,ppos:bigint,pname:string,marker:boolean>"
 
     def r(node, head, var, rel_, ppos, pname, marker):
@@ -142,15 +246,19 @@ def nodes(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRules())
     none_s = F.lit(None).cast("string")
     none_l = F.lit(None).cast("bigint")
     pos, tokc = F.col("pos"), F.col("token")
-    use_recs = F.array(
-        r(pos, True, tokc, F.lit("comesFrom"), F.col("def_pos"), F.when(F.col("def_pos").isNotNull(), tokc), False),
-        F.when(F.col("def_pos").isNotNull(), r(F.col("def_pos"), False, none_s, none_s, none_l, none_s, True)),
+    if "defs" in uses.columns:
+        from_defs = [F.array(r(pos, True, tokc, F.lit("comesFrom"), none_l, none_s, False)),
+                     F.transform("defs", lambda d: r(pos, True, tokc, F.lit("comesFrom"), d, tokc, False)),
+                     F.transform("defs", lambda d: r(d, False, none_s, none_s, none_l, none_s, True))]
+    else:
+        from_defs = [F.array(
+            r(pos, True, tokc, F.lit("comesFrom"), F.col("def_pos"), F.when(F.col("def_pos").isNotNull(), tokc), False),
+            F.when(F.col("def_pos").isNotNull(), r(F.col("def_pos"), False, none_s, none_s, none_l, none_s, True)))]
+    use_recs = F.concat(*[x.cast(f"array<{rec}>") for x in (*from_defs, F.array(
         F.when(F.col("stmt_pos").isNotNull(), r(F.col("stmt_pos"), False, none_s, none_s, pos, tokc, False)),
-        F.when(F.col("stmt_pos").isNotNull(), r(pos, False, none_s, none_s, none_l, none_s, True)),
-    )
+        F.when(F.col("stmt_pos").isNotNull(), r(pos, False, none_s, none_s, none_l, none_s, True))))])
     def_recs = F.array(r(pos, True, tokc, F.col("rel"), none_l, none_s, False))
-    recs = F.filter(F.when(F.col("is_def"), def_recs.cast(f"array<{rec}>")).otherwise(use_recs.cast(f"array<{rec}>")),
-                    lambda x: x.isNotNull())
+    recs = F.filter(F.when(F.col("is_def"), def_recs.cast(f"array<{rec}>")).otherwise(use_recs), lambda x: x.isNotNull())
     e = t.select(*ids, F.explode(recs).alias("x")).select(*ids, "x.*")
     parents = F.array_sort(F.collect_list(F.when(F.col("pname").isNotNull(), F.struct(F.col("ppos"), F.col("pname")))))
     return (
@@ -167,6 +275,14 @@ def nodes(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRules())
     )
 
 
+def program_nodes(programs: DataFrame, ids: Sequence[str], text: str, lang: str) -> DataFrame:
+    """Data-flow nodes of all programs; those with blocks take the way over their regions."""
+    ids = list(ids)
+    straight = straight_uses(token_table(programs.where(~branches(text)), ids, text, lang), ids)
+    merged = merged_uses(token_table(programs.where(branches(text)), ids, text, lang, layout=True), ids)
+    return nodes(straight, ids).unionByName(nodes(merged, ids))
+
+
 def edges(node_df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row per (node, parent); nodes without parents keep one row with NULL parent."""
     ids = list(ids)
@@ -209,14 +325,3 @@ def group_match(items: DataFrame, group: str, member: str, item: str) -> DataFra
     c = c.withColumn("cc", F.coalesce(own, F.lit(0))).where(F.col(member) > 0)
     return c.groupBy(group, member).agg(
         F.sum(F.least("rc", "cc")).cast("bigint").alias("matched"), F.sum("rc").cast("bigint").alias("total"))
-
-
-def multiset_match(ref: DataFrame, cand: DataFrame, key: str, item: str) -> DataFrame:
-    """``key, matched, total``: sum over items of min(ref count, cand count); total = ref count."""
-    r = ref.groupBy(key, item).agg(F.count(F.lit(1)).alias("rc"))
-    c = cand.groupBy(key, item).agg(F.count(F.lit(1)).alias("cc"))
-    j = r.join(c, [key, item], "left")
-    return j.groupBy(key).agg(
-        F.sum(F.least(F.col("rc"), F.coalesce(F.col("cc"), F.lit(0)))).cast("bigint").alias("matched"),
-        F.sum("rc").cast("bigint").alias("total"),
-    )

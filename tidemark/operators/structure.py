@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.bleu_formulas import r6
+from tidemark.operators.reaching import DEDENT, INDENT
 
 # --- fixed values: structural tags that balance on the fixture pages
 PAGE_TAGS = ("nav", "ul", "li", "a", "article", "div", "footer")
@@ -37,14 +38,14 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def code_structure_tokens(tokens: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Brackets become nodes, other tokens leaves (names, numbers and strings abstracted)."""
+    """Brackets and suites (layout tokens) become nodes, other tokens leaves (names, numbers and strings abstracted)."""
     tok = F.col("token")
-    sym = (
+    sym = F.when(F.col("kind") == "layout", "suite").otherwise(
         F.when(tok.isin("(", ")"), "paren").when(tok.isin("[", "]"), "index").when(tok.isin("{", "}"), "block")
         .when(F.col("kind") == "name", "n").when(F.col("kind") == "number", "1").when(F.col("kind") == "string", "s")
         .otherwise(tok)
     )
-    delta = F.when(tok.isin("(", "[", "{"), 1).when(tok.isin(")", "]", "}"), -1).otherwise(0)
+    delta = F.when(tok.isin("(", "[", "{", INDENT), 1).when(tok.isin(")", "]", "}", DEDENT), -1).otherwise(0)
     return tokens.select(*ids, "pos", sym.alias("sym"), delta.alias("delta"))
 
 

@@ -62,15 +62,20 @@ def weighted_scores(rows: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def flow_matches(rows: DataFrame) -> DataFrame:
-    """``id, member, matched, total`` of normalised data-flow items."""
-    tok = D.token_table(_members(rows), _KEY, "text", "lang", laid=True)
-    items = D.normalized(D.nodes(tok, _KEY), _KEY).select(*_KEY, F.concat_ws("|", "var", "rel", "parents").alias("item"))
-    return D.group_match(items, "id", "member", "item")
+    """``id, member, matched, total`` of normalised data-flow items; programs with blocks take the way over their regions."""
+    def matches(uses: DataFrame) -> DataFrame:
+        items = D.normalized(D.nodes(uses, _KEY), _KEY).select(*_KEY, F.concat_ws("|", "var", "rel", "parents").alias("item"))
+        return D.group_match(items, "id", "member", "item")
+
+    blocks = F.exists("texts", D.branches)
+    straight = D.token_table(_members(rows.where(~blocks)), _KEY, "text", "lang", laid=True)
+    merged = D.token_table(_members(rows.where(blocks)), _KEY, "text", "lang", laid=True, layout=True)
+    return matches(D.straight_uses(straight, _KEY)).unionByName(matches(D.merged_uses(merged, _KEY)))
 
 
 def syntax_matches(rows: DataFrame) -> DataFrame:
-    """``id, member, matched, total`` of subtree signatures."""
-    tok = D.token_table(_members(rows), _KEY, "text", "lang", laid=True)
+    """``id, member, matched, total`` of subtree signatures; suites count as nodes."""
+    tok = D.token_table(_members(rows), _KEY, "text", "lang", laid=True, layout=True)
     return S.group_syntax_match(S.subtree_signatures(S.code_structure_tokens(tok, _KEY), _KEY), "id", "member")
 
 

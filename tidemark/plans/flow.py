@@ -9,9 +9,11 @@ from tidemark.functions.bleu_formulas import r6
 from tidemark.operators import dataflow as D
 from tidemark.plans.build import LANG, corpus, with_lang
 from tidemark.plans.registry import register
+from tidemark.plans.sql_blocks import REACHING, STRUCTURE
 from tidemark.plans.sql_fixtures import with_ctes
 from tidemark.plans.sql_flow import flow_ctes, structure_ctes
 from tidemark.operators import structure as S
+from tidemark.sources.block_programs import block_programs
 from tidemark.sources.tables import table
 
 # --- fixed values: the variants scored against the original, and their pair-id digit (the fenced
@@ -37,7 +39,7 @@ def code_tokens(spark, sf):
 
 
 def _nodes(spark, sf):
-    return D.nodes(D.token_table(programs(spark, sf), ["id"], "text", "lang"), ["id"])
+    return D.program_nodes(programs(spark, sf), ["id"], "text", "lang")
 
 
 @register("def_use_edges", with_ctes("SELECT id, pos, var, rel, parent, parent_pos FROM k_edges", "code_corpus",
@@ -120,3 +122,37 @@ def syntax_match(spark, sf):
     ids = pages.select("page_id")
     pairs = ids.join(ids.select((F.col("page_id") - 1).alias("page_id")), "page_id").select(F.col("page_id").alias("pair_id"))
     return S.syntax_match(ref, cand, pairs)
+
+
+# ---------------------------------------------------------------- programs with blocks (E11 suites, E12 strings, E13 merging)
+B_SRC = "SELECT id, text, lang FROM block_programs"
+_B_FLOW = flow_ctes("b", B_SRC, ["id"])
+
+
+def _block_tokens(spark, sf, layout: bool) -> DataFrame:
+    return D.token_table(block_programs(spark, sf), ["id"], "text", "lang", layout=layout)
+
+
+@register("block_tokens", with_ctes("SELECT id, pos, line, token, kind FROM b_tok", "block_programs", extra=_B_FLOW))
+def block_tokens(spark, sf):
+    """Tokens of programs whose strings go over lines: one token each, lines counted by all line feeds."""
+    return _block_tokens(spark, sf, False).select("id", "pos", "line", "token", "kind")
+
+
+@register("reaching_definitions", with_ctes(
+    f"SELECT id, CAST(use_line AS BIGINT) AS use_line, var, CAST(def_line AS BIGINT) AS def_line FROM ({REACHING})", "block_at"))
+def reaching_definitions(spark, sf):
+    """Every definition that reaches a use over branches and loops, by lines."""
+    rows = D.merged_uses(_block_tokens(spark, sf, True), ["id"])
+    uses = rows.where("is_use").select("id", F.col("line").alias("use_line"), F.col("token").alias("var"), F.explode("defs").alias("pos"))
+    lines = rows.where("is_def").select("id", "pos", F.col("line").alias("def_line"))
+    return uses.join(lines, ["id", "pos"]).select("id", "use_line", "var", "def_line")
+
+
+@register("block_signatures", with_ctes(
+    "SELECT id, signature, count(*) AS cnt FROM bs_sig GROUP BY id, signature", "block_programs",
+    extra={**_B_FLOW, **structure_ctes("bs", STRUCTURE, ["id"])}))
+def block_signatures(spark, sf):
+    """Subtree signatures of programs with blocks; suites of Python programs are nodes."""
+    sig = S.subtree_signatures(S.code_structure_tokens(_block_tokens(spark, sf, True), ["id"]), ["id"])
+    return sig.groupBy("id", "signature").agg(F.count(F.lit(1)).alias("cnt"))

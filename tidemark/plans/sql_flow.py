@@ -21,18 +21,23 @@ def flow_ctes(p: str, src: str, ids: list[str]) -> dict[str, str]:
     types = ", ".join(sq(x) for x in TYPE_WORDS)
     return {
         f"{p}_s0": f"SELECT {i}, lang, text, regexp_extract_all(text, {sq(PY_RUNS)}, 0) AS runs FROM ({src})",
+        # the whole text at once: lines are counted by the line feeds before a token, those inside strings included
         f"{p}_s1": f"""
-  SELECT {i}, lang, flatten(list_transform(string_split({SC.strip_comments('text', 'lang', 'runs')}, {NL}),
-           lambda ln, li: list_transform(regexp_extract_all(ln, {sq(TOKEN)}, 0), lambda t: {{'line': li - 1, 'tok': t}}))) AS flat
-  FROM {p}_s0""",
+  SELECT {i}, lang, k, flat[k] AS tok
+  FROM (SELECT {i}, lang, regexp_extract_all({SC.strip_comments('text', 'lang', 'runs')}, {sq(TOKEN + '|' + chr(10))}, 0) AS flat
+        FROM {p}_s0), range(1, len(flat) + 1) r(k)""",
+        f"{p}_s2": f"""
+  SELECT {i}, lang, k, tok, coalesce(sum(len(tok) - len(replace(tok, {NL}, ''))) OVER (
+           PARTITION BY {part} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+  FROM {p}_s1""",
         f"{p}_tok": f"""
-  SELECT {i}, CAST(k - 1 AS BIGINT) AS pos, CAST(flat[k].line AS BIGINT) AS line, flat[k].tok AS token,
-         CASE WHEN starts_with(flat[k].tok, '"') OR starts_with(flat[k].tok, '''') THEN 'string'
-              WHEN regexp_matches(flat[k].tok, '^[0-9]') THEN 'number'
-              WHEN list_contains({_kw('lang')}, flat[k].tok) THEN 'keyword'
-              WHEN regexp_matches(flat[k].tok, '^[A-Za-z_]') THEN 'name' ELSE 'op' END AS kind,
-         flat[k - 1].tok AS prev_tok, flat[k + 1].tok AS next_tok
-  FROM {p}_s1, range(1, len(flat) + 1) r(k)""",
+  SELECT {i}, CAST(row_number() OVER w - 1 AS BIGINT) AS pos, CAST(line AS BIGINT) AS line, tok AS token,
+         CASE WHEN starts_with(tok, '"') OR starts_with(tok, '''') THEN 'string'
+              WHEN regexp_matches(tok, '^[0-9]') THEN 'number'
+              WHEN list_contains({_kw('lang')}, tok) THEN 'keyword'
+              WHEN regexp_matches(tok, '^[A-Za-z_]') THEN 'name' ELSE 'op' END AS kind,
+         lag(tok) OVER w AS prev_tok, lead(tok) OVER w AS next_tok
+  FROM {p}_s2 WHERE tok <> {NL} WINDOW w AS (PARTITION BY {part} ORDER BY k)""",
         f"{p}_t1": f"""
   SELECT {i}, pos, line, token,
          kind = 'name' AND next_tok IS DISTINCT FROM '(' AND {FlowRules().defines_sql()} AS is_def,
