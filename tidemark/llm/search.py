@@ -174,7 +174,7 @@ class Queries:
         worth = np.zeros((len(self.weight), docs))
         active, level = np.arange(len(self.weight)), 0
         marked = np.full((len(active), rows.shape[1]), 0xFF, np.uint8)
-        while len(active):
+        while len(active) and 1 << level <= lengths.max(initial=0):  # no term occurs more often than the longest text has terms
             at = positions(entry_hash(self.hashes[active], level), len(rows))
             marked = np.bitwise_and.reduce(rows[at], axis=1) & marked
             some = marked.any(axis=1)
