@@ -1,3 +1,4 @@
+import pytest
 import zlib
 from collections import defaultdict
 
@@ -7,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import cutting, packing
 from tidemark.llm.common import documents
 
@@ -85,6 +88,35 @@ def test_whole_fixture_with_little_padding(spark):
 
 
 def test_odd_rows_and_empty_table(odd, none_left):
-    check(odd, packing.pack(odd, PATH, capacity=64, width=4), 64, 0.2)
+    check(odd, packing.pack(odd, PATH, capacity=64, exact=16), 64, 0.2)
     check(odd.unionByName(odd), packing.pack(odd.unionByName(odd), PATH, capacity=4096), 4096, 0.05)
     assert packing.pack(none_left, PATH).count() == 0
+
+
+@pytest.mark.parametrize("words,most", [(2, 0.05), (8, 0.05), (16, 0.05), (300, 0.05)])
+def test_little_padding_for_texts_of_one_length(spark, words, most):
+    docs = spark.range(6000 if words < 100 else 2000).select(F.col("id").alias("doc_id"), F.lit(" ".join(["the"] * words)).alias("text"))
+    rows = packing.pack(docs, PATH).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    used, padded = sum(r["n"] for r in rows), sum(4096 for r in rows if r["n"] & (r["n"] - 1))
+    full = sum(r["n"] for r in rows if not r["n"] & (r["n"] - 1))
+    assert used == docs.count() * (words + 1)
+    assert (padded + full - used) / used < most
+
+
+def test_length_classes(spark):
+    rows = spark.range(1, 4097).select("id", packing.length_class(F.col("id"), 4096).alias("c")).collect()
+    assert all(r["c"] == r["id"] for r in rows if r["id"] <= 128)
+    assert all(r["id"] <= r["c"] <= r["id"] * (1 + 1 / 64) + 1 for r in rows)
+    assert len({r["c"] for r in rows}) == 128 + 5 * 64
+
+
+def test_knapsack_prices_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        size = np.unique(rng.integers(1, 12, 5))
+        value = np.round(rng.random(len(size)), 3)
+        best = [0.0] * 31
+        for c in range(1, 31):
+            best[c] = max([best[c - 1]] + [best[c - s] + v for s, v in zip(size.tolist(), value.tolist(), strict=True) if s <= c])
+        got, pattern = cutting.price(value, size, 30)
+        assert abs(got - best[30]) < 1e-9 and pattern @ size <= 30 and abs(pattern @ value - got) < 1e-9

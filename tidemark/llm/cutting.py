@@ -12,29 +12,48 @@ import numpy as np
 
 
 def price(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The pattern of largest summed value within ``capacity``: (value, pieces per class)."""
+    """The pattern of largest summed value within ``capacity``: (value, pieces per class).
+
+    Classes are added one after another; 1, 2, 4, ... pieces of a class at a time reach any number of them.
+    """
     best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    order = np.argsort(size, kind="stable")
-    size_o, value_o = size[order], value[order]
-    upto = np.searchsorted(size_o, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        k = upto[c]
-        if k:
-            got = best[c - size_o[:k]] + value_o[:k]
-            i = int(np.argmax(got))
-            if got[i] > best[c] + 1e-12:
-                best[c], last[c] = got[i], i
+    density = value / size
+    order = [j for j in np.argsort(-density, kind="stable").tolist() if value[j] > 1e-12]
+    for j in order:
+        s, v = int(size[j]), float(value[j])
+        while s <= capacity:
+            np.maximum(best[s:], best[:-s] + v, out=best[s:])
+            s, v = 2 * s, 2 * v
     pattern, c = np.zeros(len(size), np.int64), capacity
-    while c > 0:
-        if last[c] < 0:
+    worth = [j for j in order if size[j] <= capacity]
+    sizes, values = size[worth], value[worth]
+    while c > 0 and len(worth) and best[c] > 1e-12:
+        can = np.flatnonzero(sizes <= c)
+        got = best[c - sizes[can]] + values[can]
+        if not len(can) or got.max() < best[c] - 1e-9:  # the last places of the capacity stay empty
             c -= 1
-        else:
-            i = order[last[c]]
-            pattern[i] += 1
-            c -= int(size[i])
-    return float(best[capacity]), pattern
+            continue
+        j = can[int(np.argmax(got))]
+        most = 1
+        while c - (most + 1) * sizes[j] >= 0 and best[c - (most + 1) * sizes[j]] + (most + 1) * values[j] >= best[c] - 1e-9:
+            most += 1
+        pattern[worth[j]] += most
+        c -= most * int(sizes[j])
+    return float(pattern @ value), pattern
+
+
+def greedy(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Patterns of first-fit decreasing over the histogram; each is used as often as its pieces last."""
+    left, out = demand.astype(np.int64).copy(), []
+    while left.any():
+        pattern, room = np.zeros(len(size), np.int64), capacity
+        for j in range(len(size) - 1, -1, -1):
+            n = min(room // int(size[j]), int(left[j]))
+            pattern[j], room = n, room - n * int(size[j])
+        used = pattern > 0
+        left -= pattern * int((left[used] // pattern[used]).min())
+        out.append(pattern)
+    return out
 
 
 def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3,
@@ -42,18 +61,33 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3
     """(patterns, amounts): a basis of the relaxed problem within ``gap`` of its optimum.
 
     Every pattern fits the capacity and amounts meet the demand exactly, also
-    if ``max_columns`` ends the search before the gap is reached. The bound is
-    Farley's: objective / value of the best column.
+    if ``max_columns`` ends the search before the gap is reached. Bounds of the
+    optimum: Farley's (objective / value of the best column) and the pieces'
+    total size. Columns are first taken from a greedy filling; prices are then mixed
+    with the sizes, as far as the column found still improves, which asks for well-filled patterns.
     """
     size, demand = np.asarray(size, np.int64), np.asarray(demand, np.float64)
-    m = len(size)
+    m, least = len(size), float(np.asarray(size) @ np.asarray(demand)) / capacity
     patterns = np.diag(capacity // size)
     inverse = np.diag(1.0 / np.diag(patterns))
     amount = inverse @ demand
+    waiting = greedy(size, demand, capacity)
+    mix = 0.9
     for step in range(max_columns):
+        if amount.sum() <= (1.0 + gap) * least:
+            break
         dual = inverse.sum(axis=0)
-        value, column = price(np.maximum(dual, 0.0), size, capacity)
-        if value <= 1.0 + gap:
+        column = None
+        while waiting and column is None:
+            column = waiting.pop(0)
+            column = column if dual @ column > 1.0 + gap else None
+        while column is None:
+            value, column = price(mix * size / capacity + (1.0 - mix) * np.maximum(dual, 0.0), size, capacity)
+            if dual @ column <= 1.0 + gap:
+                if mix == 0.0:
+                    break
+                mix, column = (mix - 0.3 if mix > 0.35 else 0.0), None
+        if dual @ column <= 1.0 + gap:
             break
         move = inverse @ column
         can = np.flatnonzero(move > 1e-9)

@@ -1,9 +1,10 @@
 """Packing token pieces into sequences by cutting-stock column generation.
 
 A document's ids (with the closing id) are cut into full sequences and one
-remainder. Pieces fall into classes of ``width`` lengths, which bounds the
-histogram, the linear program and the pattern table, whatever the input's size;
-a piece counts with its class's upper length there. The patterns, rounded down,
+remainder. Short pieces count with their exact length, longer ones fall into
+classes of graded width, 64 for each doubling, and count with their class's
+upper length; that bounds the histogram, the linear program and the pattern
+table, whatever the input's size. The patterns, rounded down,
 are assigned to the pieces ranked by length within their class: rank r of a
 class goes to the pattern, copy and place that hold the class's r-th slot. What
 rounding leaves over is at most one sequence per pattern; it is laid end to end
@@ -24,25 +25,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, slices, with_rank
 from tidemark.llm.cutting import whole_patterns
-from tidemark.llm.tokens import Memo, load, usual
+from tidemark.llm.tokens import load, usual
 
 CAPACITY = 4096
-CLASS_WIDTH = 8
 END_ID = 2
+#: Pieces up to so many tokens count with their exact length, longer ones in steps of up to one part in 64 of it.
+EXACT = 128
+#: Words per generation of the memo; at most two generations are held.
+MEMO_WORDS = 200_000
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _PARTS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
-def _id_bytes(path: str):
-    """bytes of little-endian 32-bit ids per word."""
-    def make(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in load(path).encode_batch_fast(words, add_special_tokens=False)]
+def _byte_letters() -> dict[int, str]:
+    """The byte-level vocabulary's letter for every byte: printable Latin-1 characters stand for themselves, others for 256 and up."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
-    return make
+
+class WordIds(dict):
+    """word -> bytes of its little-endian 32-bit ids, in two generations: a full young one becomes the old one.
+
+    A lower-case word of letters only is one word for the tokenizer, so its model is asked
+    directly; other words go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, words: int = MEMO_WORDS):
+        super().__init__()
+        self.tokenizer, self.words, self.old = load(path), words, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word.isalpha() and usual(word) and word == word.lower():
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(spelt)]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = np.array(ids, "<u4").tobytes()
+        self[word] = found
+        return found
+
+    def make_room(self) -> None:
+        if len(self) > self.words:
+            self.old = dict(self)
+            self.clear()
 
 
 def _words(text: str) -> list[str]:
@@ -56,18 +88,17 @@ def _words(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w]
 
 
-def encode_words(path: str, texts: list[str], memo: Memo | None = None) -> list[bytes]:
+def encode_words(path: str, texts: list[str], memo: WordIds | None = None) -> list[bytes]:
     """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space."""
-    memo = memo or Memo(_id_bytes(path))
+    memo = WordIds(path) if memo is None else memo
     out: list[bytes] = []
-    for at in range(0, len(texts), 256):
-        lists = [_words(t) for t in texts[at:at + 256]]
-        known = memo.cover(lists)
-        out += [b"".join(map(known.__getitem__, ws)) for ws in lists]
+    for text in texts:
+        memo.make_room()
+        out.append(b"".join(map(memo.__getitem__, _words(text))))
     return out
 
 
-def _encode(path: str, texts: list[str | None], end_id: int, memo: Memo) -> list[bytes]:
+def _encode(path: str, texts: list[str | None], end_id: int, memo: WordIds) -> list[bytes]:
     end = int(end_id).to_bytes(4, "little")
     return [ids + end for ids in encode_words(path, [t or "" for t in texts], memo)]
 
@@ -77,7 +108,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(_id_bytes(path))  # one per task: what a worker keeps does not add up
+        memo = WordIds(path)  # one per task: what a worker keeps does not add up
         for b in slices(batches):
             row, start, length, crc, tokens, whole = [], [], [], [], [], []
             for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id, memo)):
@@ -119,7 +150,7 @@ def _recut(docs: DataFrame, path: str, wanted: DataFrame, end_id: int) -> DataFr
         "doc_id", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(_id_bytes(path))
+        memo = WordIds(path)
         for b in slices(batches):
             row, cols = [], ([], [], [], [])
             cuts = b.column(2).to_pylist()
@@ -138,22 +169,27 @@ def _recut(docs: DataFrame, path: str, wanted: DataFrame, end_id: int) -> DataFr
     return met.mapInArrow(cut, f"doc_id {kind}, doc_crc long, start long, length long, ids_crc32 long").distinct()
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, width: int = CLASS_WIDTH,
-         end_id: int = END_ID) -> DataFrame:
+def length_class(length: Column, capacity: int, exact: int = EXACT) -> Column:
+    """The length that a piece counts with: its own up to ``exact``, else rounded up by a step that doubles with the length."""
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.greatest(length - 1, F.lit(exact)))) - F.length(F.bin(F.lit(exact // 2))))
+    rounded = F.least(F.ceil(length / step) * step, F.lit(capacity))
+    return F.when(length <= exact, length).otherwise(rounded).cast("int")
+
+
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, exact: int = EXACT, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The driver sees the histogram of classes (at most capacity / width rows)
+    The driver sees the histogram of classes (``exact`` rows and 64 for each doubling beyond)
     and makes the pattern table from it; documents never leave the executors.
     """
     spark = docs.sparkSession
-    units = capacity // width
     pieces = cut_documents(docs, path, capacity, end_id).withColumn(
-        "cls", F.ceil(F.col("length") / F.lit(float(width))).cast("int"))
+        "cls", length_class(F.col("length"), capacity, exact))
     ranked = materialise(with_rank(pieces, ["cls"], ["length", "doc_id", "start", "doc_crc"], rank="nth"))
     histogram = {r["cls"]: r["count"] for r in ranked.groupBy("cls").count().collect()}
     sizes = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[s] for s in sizes.tolist()], np.int64)
-    patterns, times = whole_patterns(sizes, demand, units)
+    patterns, times = whole_patterns(sizes, demand, capacity)
     base = np.concatenate([[0], np.cumsum(times)])
     slots = []
     for j, s in enumerate(sizes.tolist()):
