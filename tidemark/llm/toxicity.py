@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
 
 Terms are all lower-cased words of the labelled examples, and the words'
-openings of 4 to 6 letters. No word is left out: every term weighs by its
-document frequency over the whole corpus and by its class, i.e. by how much
-more often toxic examples use it than clean ones, faded out smoothly where the
-counts are too small to tell. A word that tells nothing keeps the weight
+openings of 4 to 6 letters, known by 64-bit hashes. No word is left out: every
+term weighs by its document frequency over the whole corpus and by its class,
+i.e. by how much more often toxic examples use it than clean ones, faded out
+smoothly where the counts are too small to tell. A word that tells nothing keeps the weight
 ``PLAIN``, an opening that tells less than that has none. The examples, at most
 ``PER_CLASS`` of each label, all stand in a block-max inverted index: a document
 adds up the short postings of its rarer terms; the ``HEAD`` commonest terms are
@@ -25,11 +25,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,44 +51,81 @@ HEAD, LONG = 256, 64
 TOGETHER = 64
 SHRINK = 0.3
 THRESHOLD = 0.3
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters whose words are looked up together.
+PORTION = 4_000_000
+#: Words whose terms a worker remembers.
+MEMO_WORDS = 300_000
+_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+_SIGNS = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80-\x8f][\x80-\xbf]")
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in OPENINGS if len(word) > k)]
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased runs of letters in UTF-8: ASCII letters and all characters beyond ASCII but signs and punctuation."""
+    low = (text or "").lower().encode("utf-8", "surrogatepass")
+    if not low.isascii() and (b"\xc2" in low or b"\xe2" in low):
+        low = _SIGNS.sub(b" ", low)
+    return low.translate(_LETTERS).split()
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def portions(texts: list[str | None]) -> Iterator[slice]:
+    """The texts in slices of about ``PORTION`` characters, one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= PORTION or i + 1 == len(texts):
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+
+
+def term_hashes(word: bytes) -> list[int]:
+    """64-bit hashes of a word and of its openings, which end in a star, as signed numbers."""
+    text = word.decode("utf-8", "surrogatepass")
+    terms = [word, *(text[:k].encode("utf-8", "surrogatepass") + b"*" for k in OPENINGS if len(text) > k)]
+    return [h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh64_intdigest, terms)]
+
+
+class _Codes(dict):
+    """word -> code; the terms of the word with code c are terms[starts[c]:starts[c + 1]]. New words are looked up once."""
+
+    def __init__(self, number: dict[int, int]):
+        super().__init__()
+        self.number, self.starts, self.terms = number, [0], []
+
+    def __missing__(self, word: bytes) -> int:
+        known = self.number.get
+        self.terms += [t for h in term_hashes(word) if (t := known(h)) is not None]
+        self.starts.append(len(self.terms))
+        code = self[word] = len(self.starts) - 2
+        return code
 
 
 class Lookup:
-    """Text -> counts of the known terms: words, and openings that end in a star."""
+    """Texts -> counts of the known terms, given by their hashes in ascending order."""
 
-    def __init__(self, terms: list[str]):
-        self.terms = terms
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.openings = {t[:-1]: i for t, i in self.number.items() if t[-1] == "*"}
-        self.stems = {t[:OPENINGS[0]] for t in self.openings}
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self._codes, self._number = hashes, None, None
 
     def __getstate__(self):
-        return {"terms": self.terms}
+        return {"hashes": self.hashes}
 
     def __setstate__(self, state):
-        self.__init__(state["terms"])
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        number, openings, stems, first = self.number.get, self.openings.get, self.stems, OPENINGS[0]
-        for w, n in words_of(text).items():
-            t = number(w)
-            if t is not None:
-                out[t] = n  # no other word has this number
-            if w[:first] in stems:
-                for k in OPENINGS:
-                    if len(w) > k and (t := openings(w[:k])) is not None:
-                        out[t] = out.get(t, 0) + n
-        return out
+        self.__init__(state["hashes"])
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, term, count), in order of text and term."""
+        if self._number is None:
+            self._number = dict(zip(self.hashes.tolist(), range(len(self.hashes)), strict=True))
+        if self._codes is None or len(self._codes) > MEMO_WORDS:
+            self._codes = _Codes(self._number)
+        codes = self._codes
+        lists = [words_of(t) for t in texts]
+        sizes = np.array([len(ws) for ws in lists], np.int64)
+        code = np.fromiter((codes[w] for ws in lists for w in ws), np.int64, int(sizes.sum()))
+        starts, terms = np.array(codes.starts, np.int64), np.array(codes.terms, np.int64)
+        place, which = _ranges(starts[code], starts[code + 1])
+        text = np.repeat(np.arange(len(lists)), sizes)[which]
+        key, n = np.unique(text * max(len(self.hashes), 1) + terms[place], return_counts=True)
+        return key // max(len(self.hashes), 1), key % max(len(self.hashes), 1), n
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +219,9 @@ def unit_arrays(terms: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[n
 
 
 def unit(counts: dict[int, int], weight: np.ndarray) -> dict[int, float]:
-    terms, w = unit_arrays(*_counted(counts), weight)
-    return dict(zip(terms.tolist(), w.tolist(), strict=True))
-
-
-def _counted(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     n = len(counts)
-    return np.fromiter(counts, np.int64, n), np.fromiter(counts.values(), np.float64, n)
+    terms, w = unit_arrays(np.fromiter(counts, np.int64, n), np.fromiter(counts.values(), np.float64, n), weight)
+    return dict(zip(terms.tolist(), w.tolist(), strict=True))
 
 
 class Model:
@@ -197,14 +231,18 @@ class Model:
     def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
         """(score, ids of the nearest examples) per text."""
         out: list[tuple[float, list]] = [(self.rest, [])] * len(texts)
-        for at in range(0, len(texts) if self.index else 0, TOGETHER):
-            vectors = [unit_arrays(*_counted(self.lookup.counts(t)), self.weight) for t in texts[at:at + TOGETHER]]
-            some = [i for i, v in enumerate(vectors) if len(v[0])]
-            for i, (near, cosine) in zip(some, self.index.search([vectors[i] for i in some]), strict=True):
-                weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))  # by distance; an equal example counts 20 times a far one
-                votes = float(weight @ self.index.labels[near])
-                out[at + i] = ((votes + SHRINK * self.rate) / (float(weight.sum()) + SHRINK),
-                               [self.index.ids[j] for j in near])
+        for some in portions(texts) if self.index else ():
+            text, term, n = self.lookup.counts(texts[some])
+            cut = np.searchsorted(text, np.arange(some.stop - some.start + 1))
+            vectors = [unit_arrays(term[a:b], n[a:b], self.weight) for a, b in pairwise(cut)]
+            told = [i for i, v in enumerate(vectors) if len(v[0])]
+            for at in range(0, len(told), TOGETHER):
+                part = told[at:at + TOGETHER]
+                for i, (near, cosine) in zip(part, self.index.search([vectors[i] for i in part]), strict=True):
+                    weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))  # by distance; an equal example counts 20 times a far one
+                    votes = float(weight @ self.index.labels[near])
+                    out[some.start + i] = ((votes + SHRINK * self.rate) / (float(weight.sum()) + SHRINK),
+                                           [self.index.ids[j] for j in near])
         return out
 
 
@@ -217,49 +255,62 @@ def class_weights(toxic_df: np.ndarray, clean_df: np.ndarray, toxic: int, clean:
     return z ** 4 / (z ** 4 + HALF_Z ** 4) * np.maximum(ratio, 0.0)
 
 
-def choose_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(terms, class weights): all words of the sample and its telling openings; one row per term reaches the driver."""
+def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(term hashes, class weights): all words of the sample and its telling openings.
+
+    One row of numbers per term reaches the driver; the sample's bound is theirs too.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            total: Counter = Counter()
+            total: dict[int, list[int]] = {}
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.update((t, label) for t in {t for w in words_of(text) for t in terms_of(w)})
+                own: dict[int, bool] = {}
+                for w in set(words_of(text)):
+                    whole, *openings = term_hashes(w)
+                    own[whole] = True
+                    for h in openings:
+                        own.setdefault(h, False)
+                for h, word in own.items():
+                    total.setdefault(h, [0, 0, 0])[label] += 1
+                    total[h][2] |= word
             if total:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([t for t, _ in total]), pa.array([y for _, y in total], pa.int64()),
-                     pa.array(list(total.values()), pa.int64())], names=["term", "label", "n"])
+                    [pa.array(list(total), pa.int64()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(3))],
+                    names=["term", "clean", "toxic", "word"])
 
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
-    per = sample.select("label", "text").mapInArrow(count, "term string, label long, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
+    per = sample.where("label in (0, 1)").select(F.col("label").cast("long"), "text").mapInArrow(
+        count, "term long, clean long, toxic long, word long").groupBy("term").agg(
+        F.sum("toxic").alias("a"), F.sum("clean").alias("b"), F.max("word").alias("word"))
     more = (F.col("a") + 0.5) / (toxic + 0.5) > (F.col("b") + 0.5) / (clean + 0.5)  # the others' log ratio is not above 0
-    found = per.where(~F.col("term").endswith("*") | more).toArrow()
-    terms = found.column("term").to_pylist()
-    word = np.array([t[-1] != "*" for t in terms], bool)
+    found = per.where((F.col("word") == 1) | more).toArrow()
+    terms = found.column("term").to_numpy()
+    word = found.column("word").to_numpy() == 1
     a, b = (found.column(c).to_numpy().astype(np.float64) for c in ("a", "b"))
-    weight = class_weights(a, b, toxic, clean) if terms else np.zeros(0)
+    weight = class_weights(a, b, toxic, clean) if len(terms) else np.zeros(0)
     weight = np.where(word, PLAIN + weight, np.where(weight >= PLAIN, weight, 0.0))
-    order = sorted(np.flatnonzero(weight > 0).tolist(), key=terms.__getitem__)
-    return [terms[i] for i in order], weight[order]
+    some = weight > 0
+    terms, weight = terms[some], weight[some]
+    order = np.argsort(terms)
+    return terms[order], weight[order]
 
 
 def document_frequencies(docs: DataFrame, lookup: Lookup) -> tuple[int, np.ndarray]:
     """(documents, document frequency per term) over all documents; one small row per term reaches the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(len(lookup.terms), np.int64)
+        n, df = 0, np.zeros(len(lookup.hashes), np.int64)
         for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                n += 1
-                found = lookup.counts(text)
-                df[np.fromiter(found, np.int64, len(found))] += 1
+            texts = b.column(0).to_pylist()
+            n += len(texts)
+            for some in portions(texts):
+                df += np.bincount(lookup.counts(texts[some])[1], minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, df[some]])], names=["t", "n"])
 
     sums = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     t, n = sums.column("t").to_numpy(), sums.column("n").to_numpy()
-    df = np.zeros(len(lookup.terms))
+    df = np.zeros(len(lookup.hashes))
     df[t[t >= 0]] = n[t >= 0]
     return int(n[t < 0].sum()), df
 
@@ -272,24 +323,28 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     terms, weight = choose_terms(sample)
     lookup = Lookup(terms)
     rate = label_share(docs, labels, "toxic", train)
-    if not terms:
+    if not len(terms):
         return Model(lookup, np.zeros(0), None, rate, rate)
     n, df = document_frequencies(docs, lookup)
     weight = weight * (np.log((1.0 + n) / (1.0 + df)) + 1.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [lookup.counts(t) for t in b.column(2).to_pylist()]
+        for b in slices(batches, TOGETHER):
+            text, term, count = lookup.counts(b.column(2).to_pylist())
+            cut = np.searchsorted(text, np.arange(b.num_rows + 1))
+            units = [unit_arrays(term[i:j], count[i:j], weight) for i, j in pairwise(cut)]
+            begin = pa.array(np.cumsum([0, *(len(t) for t, _ in units)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())),
-                 pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "t", "n"])
+                [b.column(0), b.column(1),
+                 pa.ListArray.from_arrays(begin, pa.array(np.concatenate([t for t, _ in units]), pa.int32())),
+                 pa.ListArray.from_arrays(begin, pa.array(np.concatenate([w for _, w in units]), pa.float64()))],
+                names=["doc_id", "label", "t", "w"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(
-        vectors, f"doc_id {kind}, label long, t array<int>, n array<int>").orderBy("doc_id").toArrow()
+        vectors, f"doc_id {kind}, label long, t array<int>, w array<double>").orderBy("doc_id").toArrow().combine_chunks()
     ids, label = rows.column("doc_id").to_pylist(), rows.column("label").to_pylist()
-    units = [unit_arrays(t.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.float64), weight)
-             for t, n in zip(rows.column("t"), rows.column("n"), strict=True)]
+    units = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(rows.column("t"), rows.column("w"), strict=True)]
     with_terms = [i for i, u in enumerate(units) if len(u[0])]
     without = [label[i] for i, u in enumerate(units) if not len(u[0])]
     index = BlockMaxIndex([units[i] for i in with_terms], [label[i] for i in with_terms],
