@@ -141,8 +141,8 @@ def test_straight_code_is_the_same_on_both_ways(spark):
     rng = random.Random(3)
     programs = [("Java", "\n".join(f"{rng.choice(NAMES)} = {rng.choice(NAMES)} + {rng.choice(NAMES)};" for _ in range(30))) for _ in range(5)]
     df = spark.createDataFrame([(k, lang, text) for k, (lang, text) in enumerate(programs)], "id long, lang string, text string")
-    a = D.nodes(D.straight_uses(D.token_table(df, ["id"], "text", "lang"), ["id"]), ["id"])
-    b = D.nodes(D.merged_uses(D.token_table(df, ["id"], "text", "lang", layout=True), ["id"]), ["id"])
+    a = D.merged_nodes(D.straight_uses(D.token_table(df, ["id"], "text", "lang"), ["id"]), ["id"])
+    b = D.merged_nodes(D.merged_uses(D.token_table(df, ["id"], "text", "lang", layout=True), ["id"]), ["id"])
     assert sorted(a.collect()) == sorted(b.collect())
 
 

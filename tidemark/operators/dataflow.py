@@ -84,9 +84,8 @@ def _is_keyword(token: Column, lang: Column) -> Column:
     return out
 
 
-def _lines_of_tokens(text, lang) -> Column:
-    """Per line of the text without comments, counted by all its line feeds: the tokens, a string over lines on its first."""
-    code = strip_comments(text, lang, one_line=True)
+def _lines(code: Column) -> Column:
+    """The lines of a text without comments, counted by all its line feeds: a string over lines stands on its first."""
     lines = F.split(code, "\n", -1)
     # a string over lines leaves as many empty lines behind it as it has line feeds
     spread = F.flatten(F.transform(lines, lambda ln: F.concat(F.array(ln), F.array_repeat(
@@ -136,7 +135,9 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str, l
     """
     ids = list(ids)
     keyed = programs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))  # same plan in every consumer
-    lines = _lines_of_tokens(text, lang)
+    # a column of its own: the expressions below use it more than once
+    keyed = keyed.select(*ids, lang, strip_comments(text, lang, one_line=True).alias("_code"))
+    lines = _lines(F.col("_code"))
 
     def tokens_of(ln: Column) -> Column:
         return F.regexp_extract_all(ln, F.lit(TOKEN), F.lit(0))
@@ -165,7 +166,8 @@ def token_table(programs: DataFrame, ids: Sequence[str], text: str, lang: str, l
         staged = cut.select(*ids, lang, F.when(F.col("_events").isNull(), F.col("_found")).otherwise(marks).alias("_found")).select(
             *ids, lang, flat_of(F.col("_found")).alias("_flat"))
     else:
-        staged = keyed.select(*ids, lang, flat_of(F.transform(lines, tokens_of)).alias("_flat"))
+        staged = keyed.select(*ids, lang, F.transform(lines, tokens_of).alias("_found")).select(
+            *ids, lang, flat_of(F.col("_found")).alias("_flat"))
     if not laid:
         staged = staged.repartition(fanout_partitions(staged, 2), *ids)
     f = F.col("_flat")
@@ -229,7 +231,12 @@ def merged_uses(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRu
     return met.select(*ids, F.col("rpos").alias("pos"), "line", "token", "is_def", "is_use", "rel", "defs")
 
 
-def nodes(uses: DataFrame, ids: Sequence[str]) -> DataFrame:
+def nodes(tokens: DataFrame, ids: Sequence[str], rules: FlowRules = FlowRules()) -> DataFrame:
+    """Data-flow nodes of straight code from its token table."""
+    return merged_nodes(straight_uses(tokens, ids, rules), ids)
+
+
+def merged_nodes(uses: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Data-flow nodes merged by position: ``ids, pos, var, rel, parents array<struct<ppos,name>>, is_parent``.
 
     ``uses``: rows of ``straight_uses`` (one reaching definition, ``def_pos``) or ``merged_uses`` (all of them, ``defs``).
@@ -280,7 +287,7 @@ def program_nodes(programs: DataFrame, ids: Sequence[str], text: str, lang: str)
     ids = list(ids)
     straight = straight_uses(token_table(programs.where(~branches(text)), ids, text, lang), ids)
     merged = merged_uses(token_table(programs.where(branches(text)), ids, text, lang, layout=True), ids)
-    return nodes(straight, ids).unionByName(nodes(merged, ids))
+    return merged_nodes(straight, ids).unionByName(merged_nodes(merged, ids))
 
 
 def edges(node_df: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -64,7 +64,7 @@ def weighted_scores(rows: DataFrame, keywords: DataFrame) -> DataFrame:
 def flow_matches(rows: DataFrame) -> DataFrame:
     """``id, member, matched, total`` of normalised data-flow items; programs with blocks take the way over their regions."""
     def matches(uses: DataFrame) -> DataFrame:
-        items = D.normalized(D.nodes(uses, _KEY), _KEY).select(*_KEY, F.concat_ws("|", "var", "rel", "parents").alias("item"))
+        items = D.normalized(D.merged_nodes(uses, _KEY), _KEY).select(*_KEY, F.concat_ws("|", "var", "rel", "parents").alias("item"))
         return D.group_match(items, "id", "member", "item")
 
     blocks = F.exists("texts", D.branches)

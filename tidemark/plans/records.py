@@ -137,7 +137,7 @@ def io_pairs(spark, sf):
 
 
 def _sample_block(concat, page, url, back) -> list[str]:
-    """Sample sections in four shapes, by page: as text with the page's own address as test data.
+    """Sample sections in six shapes, by page: as text with the page's own address as test data.
 
     ``concat`` joins literals and expressions, so one rule serves both engines.
     """
@@ -146,6 +146,10 @@ def _sample_block(concat, page, url, back) -> list[str]:
         concat("<h2>Sample Input</h2><p>", url, "</p><pre>", page, "</pre><h2>Sample Output</h2><pre>", back, "</pre>"),
         concat("<h2>Input</h2><h3>入力例 1</h3><pre>", page, "</pre><h2>Output</h2><h3>出力例 1</h3><pre>", back,
                "</pre><h3>入力例 2</h3><pre>", url, "</pre><h3>出力例 2</h3><pre>", page, "</pre>"),
+        concat("<section><h2>Sample Input 1</h2><div><pre>not a sibling</pre></div><p>see<br><pre>1 &lt; 2 &#38; <b>", url,
+               "</b>&#x41;</pre><h2>Sample <i>Output</i> 1</h2><pre>two texts</pre><h2><span>Sample Output 1</span></h2><pre>", back, "</pre></section>"),
+        concat("<div><h3>Sample Input 1</h3></div><pre>in another element</pre><div><h3>Sample Input 2</h3><!-- <pre>no</pre> --><pre>", url,
+               "</pre></div><div><h3>Sample Output 2</h3><ul><li><pre>deeper</pre></ul><pre>&quot;", page, "&unknown;</pre></div>"),
         concat("<H2>Output for the Sample Input</H2><PRE>", back, "</PRE><H2>Sample Input</H2><PRE class=\"x\"> ", url, "</PRE>"),
     ]
 
@@ -159,7 +163,7 @@ def sample_pages(spark: SparkSession, sf: str) -> DataFrame:
     shapes = _sample_block(concat, page, url, F.reverse(url))
     block = shapes[-1]
     for k, shape in enumerate(shapes[:-1]):
-        block = F.when(F.col("page_id") % 4 == k, shape).otherwise(block)
+        block = F.when(F.col("page_id") % len(shapes) == k, shape).otherwise(block)
     return table(spark, sf, "pages").select("page_id", F.concat("html", block).alias("html"))
 
 
@@ -171,7 +175,7 @@ def _sample_pages_sql() -> str:
         return " || ".join(p if isinstance(p, Raw) else sq(p).replace("\n", f"' || {NL} || '") for p in parts)
 
     shapes = _sample_block(concat, Raw("CAST(page_id AS VARCHAR)"), Raw("url"), Raw("reverse(url)"))
-    whens = " ".join(f"WHEN page_id % 4 = {k} THEN {shape}" for k, shape in enumerate(shapes[:-1]))
+    whens = " ".join(f"WHEN page_id % {len(shapes)} = {k} THEN {shape}" for k, shape in enumerate(shapes[:-1]))
     return f"(SELECT page_id, html || CASE {whens} ELSE {shapes[-1]} END AS html FROM pages)"
 
 
