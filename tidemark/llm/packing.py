@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ END_ID = 2
 #: Pieces up to so many tokens count with their exact length, longer ones in steps of up to one part in 64 of it.
 EXACT = 128
 #: Words per generation of the memo; at most two generations are held.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _PARTS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
@@ -50,24 +51,25 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """word -> bytes of its little-endian 32-bit ids, in two generations: a full young one becomes the old one.
 
-    A lower-case word of letters only is one word for the tokenizer, so its model is asked
-    directly; other words go through the whole tokenizer.
+    ``plain`` words are parts of usual, lower-cased texts: those of letters only are one
+    word for the tokenizer, so its model is asked directly. Other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, words: int = MEMO_WORDS):
+    def __init__(self, path: str, plain: bool, words: int = MEMO_WORDS):
         super().__init__()
-        self.tokenizer, self.words, self.old = load(path), words, {}
+        self.tokenizer, self.plain, self.words, self.old = load(path), plain, words, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            if word.isalpha() and usual(word) and word == word.lower():
+            spell = self.id_bytes
+            if self.plain and word.isalpha():
                 spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in self.model.tokenize(spelt)]
+                found = b"".join([spell[t.id] for t in self.model.tokenize(spelt)])
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            found = np.array(ids, "<u4").tobytes()
+                found = b"".join([spell[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
         self[word] = found
         return found
 
@@ -77,30 +79,35 @@ class WordIds(dict):
             self.clear()
 
 
-def _words(text: str) -> list[str]:
-    """Parts of the text whose ids, one after another, are the text's.
+@lru_cache(maxsize=2)
+def memos(path: str) -> tuple[WordIds, WordIds]:
+    """(for plain words, for others): a worker keeps them from task to task, at most four generations in all."""
+    return WordIds(path, True), WordIds(path, False, MEMO_WORDS // 10)
 
-    The tokenizer lower-cases, drops white space, and splits letters from marks;
-    for usual texts those parts are known, others are split at white space only.
-    """
-    if usual(text):
-        return _PARTS.findall(text.lower())
-    return [w for w in _SPACE.split(text) if w]
 
+def encode_words(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space.
 
-def encode_words(path: str, texts: list[str], memo: WordIds | None = None) -> list[bytes]:
-    """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space."""
-    memo = WordIds(path) if memo is None else memo
+    A text is taken apart where the parts' ids, one after another, are the
+    text's. The tokenizer lower-cases, drops white space, and splits letters from
+    marks; for usual texts those parts are known, others are split at white space only.
+    """
+    plain, other = memos(path)
+    part, rest = plain.__getitem__, other.__getitem__
     out: list[bytes] = []
     for text in texts:
-        memo.make_room()
-        out.append(b"".join(map(memo.__getitem__, _words(text))))
+        if usual(text):
+            out.append(b"".join(map(part, _PARTS.findall(text.lower()))))
+            plain.make_room()
+        else:
+            out.append(b"".join(map(rest, [w for w in _SPACE.split(text) if w])))
+            other.make_room()
     return out
 
 
-def _encode(path: str, texts: list[str | None], end_id: int, memo: WordIds) -> list[bytes]:
+def _encode(path: str, texts: list[str | None], end_id: int) -> list[bytes]:
     end = int(end_id).to_bytes(4, "little")
-    return [ids + end for ids in encode_words(path, [t or "" for t in texts], memo)]
+    return [ids + end for ids in encode_words(path, [t or "" for t in texts])]
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -108,10 +115,9 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordIds(path)  # one per task: what a worker keeps does not add up
         for b in slices(batches):
             row, start, length, crc, tokens, whole = [], [], [], [], [], []
-            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id, memo)):
+            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id)):
                 n, doc_crc = len(ids) // 4, zlib.crc32(ids)
                 for s in range(0, n, capacity):
                     part = ids[4 * s:4 * (s + capacity)]
@@ -150,11 +156,10 @@ def _recut(docs: DataFrame, path: str, wanted: DataFrame, end_id: int) -> DataFr
         "doc_id", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordIds(path)
         for b in slices(batches):
             row, cols = [], ([], [], [], [])
             cuts = b.column(2).to_pylist()
-            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id, memo)):
+            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id)):
                 doc_crc = zlib.crc32(ids)
                 for c in cuts[i]:
                     if c["doc_crc"] == doc_crc:
