@@ -45,8 +45,8 @@ PLAIN, HALF_Z = 0.1, 5.0
 OPENINGS = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 256
-#: Most terms kept in blocks; a term of fewer examples than LONG has a posting list.
-HEAD, LONG = 256, 64
+#: Most terms kept in blocks; a term of fewer examples than LONG has its posting list only.
+HEAD, LONG = 1024, 64
 #: Documents searched together.
 TOGETHER = 64
 SHRINK = 0.3
@@ -77,46 +77,54 @@ def portions(texts: list[str | None]) -> Iterator[slice]:
             at, size = i + 1, 0
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def term_hashes(word: bytes) -> list[int]:
     """64-bit hashes of a word and of its openings, which end in a star, as signed numbers."""
     text = word.decode("utf-8", "surrogatepass")
     terms = [word, *(text[:k].encode("utf-8", "surrogatepass") + b"*" for k in OPENINGS if len(text) > k)]
-    return [h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh64_intdigest, terms)]
+    return [_signed(h) for h in map(xxhash.xxh64_intdigest, terms)]
 
 
 class _Codes(dict):
     """word -> code; the terms of the word with code c are terms[starts[c]:starts[c + 1]]. New words are looked up once."""
 
-    def __init__(self, number: dict[int, int]):
+    def __init__(self, number: dict[int, int], stems: set[bytes]):
         super().__init__()
-        self.number, self.starts, self.terms = number, [0], []
+        self.number, self.stems, self.starts, self.terms = number, stems, [0], []
 
     def __missing__(self, word: bytes) -> int:
         known = self.number.get
-        self.terms += [t for h in term_hashes(word) if (t := known(h)) is not None]
+        hashes = term_hashes(word) if word[:OPENINGS[0]] in self.stems else (_signed(xxhash.xxh64_intdigest(word)),)
+        self.terms += [t for h in hashes if (t := known(h)) is not None]
         self.starts.append(len(self.terms))
         code = self[word] = len(self.starts) - 2
         return code
 
 
 class Lookup:
-    """Texts -> counts of the known terms, given by their hashes in ascending order."""
+    """Texts -> counts of the known terms, given by their hashes in ascending order.
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes, self._codes, self._number = hashes, None, None
+    ``stems`` are the first bytes of the words that have known openings; other words are looked up whole only.
+    """
+
+    def __init__(self, hashes: np.ndarray, stems: set[bytes]):
+        self.hashes, self.stems, self._codes, self._number = hashes, stems, None, None
 
     def __getstate__(self):
-        return {"hashes": self.hashes}
+        return {"hashes": self.hashes, "stems": self.stems}
 
     def __setstate__(self, state):
-        self.__init__(state["hashes"])
+        self.__init__(**state)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, term, count), in order of text and term."""
         if self._number is None:
             self._number = dict(zip(self.hashes.tolist(), range(len(self.hashes)), strict=True))
         if self._codes is None or len(self._codes) > MEMO_WORDS:
-            self._codes = _Codes(self._number)
+            self._codes = _Codes(self._number, self.stems)
         codes = self._codes
         lists = [words_of(t) for t in texts]
         sizes = np.array([len(ws) for ws in lists], np.int64)
@@ -136,9 +144,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class BlockMaxIndex:
-    """Labelled unit vectors: postings of the rarer terms, blocks with largest weights of the commonest.
+    """Labelled unit vectors: postings of all terms; those of the commonest also in blocks with largest weights.
 
-    A vector is {term: weight} or a pair of arrays (terms, weights).
+    A vector is {term: weight} or a pair of arrays (terms, weights). The blocks
+    are made from the postings where they are used, so they are never sent.
     """
 
     def __init__(self, vectors: list, labels: list[int], ids: list, n_terms: int, block: int = BLOCK,
@@ -150,23 +159,37 @@ class BlockMaxIndex:
         self.block, self.n_blocks = block, -(-len(order) // block)
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.ids = [ids[i] for i in order]
-        term = np.concatenate([np.zeros(0, np.int64), *(pairs[i][0] for i in order)])
-        weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])
-        example = np.repeat(np.arange(len(order)), [len(pairs[i][0]) for i in order])
-        held = np.bincount(term, minlength=n_terms)
+        term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0].astype(np.int32, copy=False) for i in order)])
+        by = np.argsort(term, kind="stable")
+        self.begin = np.searchsorted(term, np.arange(n_terms + 1), sorter=by).astype(np.int64)
+        del term
+        self.example = np.repeat(np.arange(len(order), dtype=np.int32), [len(pairs[i][0]) for i in order])[by]
+        self.weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])[by]
+        held = np.diff(self.begin)
         common = np.argsort(-held, kind="stable")[:head]
-        common = common[held[common] >= long]
-        self.place = np.full(n_terms, -1, np.int32)  # of the common terms within a block
-        self.place[common] = np.arange(len(common))
-        at = self.place[term]
-        some = at >= 0
-        self.blocks = np.zeros((self.n_blocks, len(common), block))
-        self.blocks[example[some] // block, at[some], example[some] % block] = weight[some]
+        self.common = common[held[common] >= long]
+        self.blocks = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"blocks": None, "top": None, "place": None}
+
+    def _make_blocks(self) -> None:
+        self.place = np.full(len(self.begin) - 1, -1, np.int32)  # of the common terms within a block
+        self.place[self.common] = np.arange(len(self.common))
+        self.blocks = np.zeros((self.n_blocks, len(self.common), self.block))
+        for k, t in enumerate(self.common.tolist()):
+            e, w = (x[self.begin[t]:self.begin[t + 1]] for x in (self.example, self.weight))
+            self.blocks[e // self.block, k, e % self.block] = w
         self.top = self.blocks.max(axis=2, initial=0.0).T  # (common terms, blocks)
-        term, example, weight = term[~some], example[~some], weight[~some]
-        by = np.argsort(term, kind="stable")
-        self.example, self.weight = example[by].astype(np.int32), weight[by]
-        self.begin = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int64)
+
+    def _rarer(self, terms: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+        """Scores from the postings of these terms."""
+        begin, end = self.begin[terms], self.begin[terms + 1]
+        ranges = list(zip(begin.tolist(), end.tolist(), strict=True))
+        if not ranges:
+            return np.zeros(width)
+        return np.bincount(np.concatenate([self.example[a:b] for a, b in ranges]),
+                           np.repeat(weights, end - begin) * np.concatenate([self.weight[a:b] for a, b in ranges]), width)
 
     def nearest(self, vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the k nearest with a cosine above 0, nearest first."""
@@ -174,6 +197,8 @@ class BlockMaxIndex:
 
     def search(self, vectors: list, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         """What ``nearest`` finds, for several vectors at once."""
+        if self.blocks is None:
+            self._make_blocks()
         width = self.n_blocks * self.block
         scores = np.zeros((len(vectors), width))
         asked = np.zeros((len(vectors), len(self.top)))
@@ -181,8 +206,7 @@ class BlockMaxIndex:
             terms, weights = _pair(vector)
             at = self.place[terms]
             asked[i, at[at >= 0]] = weights[at >= 0]
-            place, which = _ranges(self.begin[terms], self.begin[terms + 1])
-            scores[i] = np.bincount(self.example[place], weights[which] * self.weight[place], width)
+            scores[i] = self._rarer(terms[at < 0], weights[at < 0], width)
         least = np.partition(scores, -k, axis=1)[:, -k] if width >= k else np.zeros(len(vectors))
         bound = scores.reshape(len(vectors), self.n_blocks, self.block).max(axis=2, initial=0.0) + asked @ self.top
         visit = bound >= np.maximum(least - 1e-8, 1e-300)[:, None]
@@ -255,45 +279,47 @@ def class_weights(toxic_df: np.ndarray, clean_df: np.ndarray, toxic: int, clean:
     return z ** 4 / (z ** 4 + HALF_Z ** 4) * np.maximum(ratio, 0.0)
 
 
-def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(term hashes, class weights): all words of the sample and its telling openings.
+def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, set[bytes]]:
+    """(term hashes, class weights, stems): all words of the sample and its telling openings.
 
-    One row of numbers per term reaches the driver; the sample's bound is theirs too.
+    One row of numbers per term reaches the driver, with the stem of an opening; the sample's bound is theirs too.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            total: dict[int, list[int]] = {}
+            total: dict[int, list] = {}
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own: dict[int, bool] = {}
+                own: dict[int, bytes | None] = {}
                 for w in set(words_of(text)):
                     whole, *openings = term_hashes(w)
-                    own[whole] = True
+                    own[whole] = None
                     for h in openings:
-                        own.setdefault(h, False)
-                for h, word in own.items():
-                    total.setdefault(h, [0, 0, 0])[label] += 1
-                    total[h][2] |= word
+                        own.setdefault(h, w[:OPENINGS[0]])
+                for h, stem in own.items():
+                    if h not in total:
+                        total[h] = [0, 0, stem]
+                    total[h][label] += 1
             if total:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(total), pa.int64()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(3))],
-                    names=["term", "clean", "toxic", "word"])
+                    [pa.array(list(total), pa.int64()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(2)),
+                     pa.array([v[2] for v in total.values()], pa.binary())], names=["term", "clean", "toxic", "stem"])
 
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     per = sample.where("label in (0, 1)").select(F.col("label").cast("long"), "text").mapInArrow(
-        count, "term long, clean long, toxic long, word long").groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum("clean").alias("b"), F.max("word").alias("word"))
+        count, "term long, clean long, toxic long, stem binary").groupBy("term").agg(
+        F.sum("toxic").alias("a"), F.sum("clean").alias("b"), F.max("stem").alias("stem"))
     more = (F.col("a") + 0.5) / (toxic + 0.5) > (F.col("b") + 0.5) / (clean + 0.5)  # the others' log ratio is not above 0
-    found = per.where((F.col("word") == 1) | more).toArrow()
+    found = per.where(F.col("stem").isNull() | more).toArrow()
     terms = found.column("term").to_numpy()
-    word = found.column("word").to_numpy() == 1
+    word = found.column("stem").is_null().to_numpy()
     a, b = (found.column(c).to_numpy().astype(np.float64) for c in ("a", "b"))
     weight = class_weights(a, b, toxic, clean) if len(terms) else np.zeros(0)
     weight = np.where(word, PLAIN + weight, np.where(weight >= PLAIN, weight, 0.0))
     some = weight > 0
+    stems = set(found.column("stem").filter(pa.array(some & ~word)).to_pylist())
     terms, weight = terms[some], weight[some]
     order = np.argsort(terms)
-    return terms[order], weight[order]
+    return terms[order], weight[order], stems
 
 
 def document_frequencies(docs: DataFrame, lookup: Lookup) -> tuple[int, np.ndarray]:
@@ -320,8 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     """The model from at most ``per_class`` training examples per label and corpus-wide document frequencies."""
     train = fold_bucket(F.col("doc_id"), folds) != held_out
     sample = labelled_sample(docs, labels, "toxic", train, per_class or PER_CLASS, seed)
-    terms, weight = choose_terms(sample)
-    lookup = Lookup(terms)
+    terms, weight, stems = choose_terms(sample)
+    lookup = Lookup(terms, stems)
     rate = label_share(docs, labels, "toxic", train)
     if not len(terms):
         return Model(lookup, np.zeros(0), None, rate, rate)
@@ -345,6 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
         vectors, f"doc_id {kind}, label long, t array<int>, w array<double>").orderBy("doc_id").toArrow().combine_chunks()
     ids, label = rows.column("doc_id").to_pylist(), rows.column("label").to_pylist()
     units = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(rows.column("t"), rows.column("w"), strict=True)]
+    del rows
     with_terms = [i for i, u in enumerate(units) if len(u[0])]
     without = [label[i] for i, u in enumerate(units) if not len(u[0])]
     index = BlockMaxIndex([units[i] for i in with_terms], [label[i] for i in with_terms],
