@@ -53,6 +53,8 @@ def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n:
     order's gram array, then the grams themselves, so no struct is built per gram.
     ``carry`` columns ride along as values (not keys). ``laid`` tells that the
     pairs are hash partitioned by some of ``ids`` already, so nothing is shuffled.
+    The first of ``ids`` names the pair: rows without it are no pairs and give
+    nothing; the other keys (languages, groups) may be null and keep their rows.
     """
     h = F.col(hyp)
     r = F.col(refs)
@@ -65,7 +67,7 @@ def gram_rows(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n:
     groups = F.concat(F.array(*hyp_groups).cast(f"array<{_GROUP}>"), ref_groups.cast(f"array<{_GROUP}>"),
                       F.array(*sentinels).cast(f"array<{_GROUP}>"))
     keep = list(ids) + list(carry)
-    rows = pairs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ids)))
+    rows = pairs.where(F.col(ids[0]).isNotNull())
     rows = rows if laid else rows.repartition(fanout_partitions(pairs, FANOUT), *ids)
     return (
         rows.select(*keep, F.explode(groups).alias("g"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import col_, py_strip
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, fanout_partitions
 
 DEFAULT_SALTS = 32
 
@@ -54,27 +54,68 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     return pre.withColumn(rank_col, F.row_number().over(w2).cast("bigint")).where(F.col(rank_col) <= k)
 
 
-def sequential_ids(df: DataFrame, order_col: str, seq_col: str = "seq") -> DataFrame:
-    """``df`` with the 0-based position of every row in ``order_col`` order (unique), without a single-task window.
+#: Bytes of one range partition when rows are numbered.
+RANGE_BYTES = 128 << 20
 
-    Only the keys are numbered: they are range partitioned, and checkpointed
-    together with their partition number, so the partition counts and the
-    positions read the very same rows whatever the plan around them does. A
-    count per partition gives the offsets. The numbers are joined back to all
-    rows by the key; a row that finds no number fails the job, none is dropped.
+
+def sequential_ids(df: DataFrame, order_col: str, seq_col: str = "seq", ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the 0-based position of every row in ``order_col`` order, without a single-task window.
+
+    Whole rows are range partitioned and checkpointed together with their
+    partition number: that one layout gives the counts per partition (the
+    offsets, one small row each) and the positions within, so nothing is joined
+    back by key. Null keys come first. Rows with equal keys are numbered one
+    after another, in the order of ``ties`` as far as that tells them apart.
     """
     checkpoint_dir(df.sparkSession)
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    keys = df.select(F.col(order_col).alias("_key")).repartitionByRange(n, "_key").withColumn("_part", F.spark_partition_id())
-    keys = keys.checkpoint(eager=True)
+    once = df.checkpoint(eager=True)  # the bounds of the ranges are drawn from a first reading
+    n = fanout_partitions(df, 1, RANGE_BYTES)
+    laid = once.repartitionByRange(n, order_col, *ties).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt")).select(
+    offsets = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt")).select(
         "_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1
-    numbered = keys.withColumn("_local", local).join(F.broadcast(offsets), "_part", "left").select(
-        "_key", (F.col("_off") + F.col("_local")).cast("bigint").alias("_seq"))
-    found = F.coalesce(F.col("_seq"), F.raise_error(F.lit("a row has no position")).cast("bigint"))
-    return df.join(numbered, F.col(order_col).eqNullSafe(F.col("_key")), "left").withColumn(seq_col, found).drop("_key", "_seq")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(order_col, *ties)) - 1
+    numbered = laid.withColumn("_local", local).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(seq_col, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_part", "_local", "_off")
+
+
+#: Bits of the sample key that one reading of the keys refines, and its bits in all.
+REFINE_BITS, KEY_BITS = 12, 60
+
+
+def uniform_sample(df: DataFrame, n: int, seed: str, id_col: str) -> DataFrame:
+    """The ``n`` rows first in the order of md5(seed:id), then id: a uniform sample that depends on the ids only.
+
+    No task holds the sample: a histogram of the keys' leading bits finds the
+    bucket in which the n-th key lies, a further one refines that bucket, and so
+    on until it is exhausted or holds just the rows still wanted. Keys below the bucket are taken by a
+    filter; of the rows within it (they differ in the last bits at most) the first
+    are taken by number. Rows with equal ids are taken in any order; null ids count as an id of their own.
+    """
+    text = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    key = F.conv(F.substring(text, 1, KEY_BITS // 4), 16, 10).cast("long")
+    low, bits, wanted = 0, 0, n
+    keys = df.select(key.alias("_key"))
+    if n <= 0:
+        return df.where(F.lit(False))
+    while bits < KEY_BITS:
+        width = KEY_BITS - bits
+        inside = keys if bits == 0 else keys.where(F.col("_key").between(low, low + (1 << width) - 1))
+        step = width - REFINE_BITS
+        counts = inside.groupBy(F.expr(f"shiftright(_key - {low}L, {step})").alias("b")).count().orderBy("b").collect()
+        bits += REFINE_BITS
+        for r in counts:
+            if r["count"] > wanted or (r["count"] == wanted and r is not counts[-1]):
+                low += r["b"] << step
+                bucket = r["count"]
+                break
+            wanted -= r["count"]
+        else:  # fewer rows than wanted: all of them, or all of this bucket
+            return df if bits == REFINE_BITS else df.where(key < low + (1 << width))
+        if bucket == wanted:
+            return df.where(key < low + (1 << step))
+    edge = sequential_ids(df.where(key == low).withColumn("_md5", text), "_md5", "_nth", [id_col])
+    return df.where(key < low).unionByName(edge.where(F.col("_nth") < wanted).drop("_md5", "_nth"))
 
 
 def verdict_join(corpus: DataFrame, actual: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ def fenced_blocks(text) -> Column:
     return F.filter(picked, lambda x: x != "")
 
 
+def first_block(text) -> Column:
+    """The first fenced block, or the whole text without one."""
+    return F.coalesce(F.get(fenced_blocks(text), 0), col_(text))
+
+
 def response_after_marker(text, marker: str = RESPONSE_MARKER) -> Column:
     """Text between the first and second marker, stripped; the whole text (stripped) without a marker."""
     t = col_(text)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bleu_formulas as BF
@@ -88,6 +88,53 @@ def weighted_ngram(pairs: DataFrame, ids: Sequence[str], lang: str, hyp: str, re
     return wide.select(*ids, lang, F.expr(BF.bleu(1)).alias("score"))
 
 
+def recall_counts(pairs: DataFrame, ids: Sequence[str], lang: str, hyp: str, refs: str, keywords: DataFrame,
+                  max_n: int = 4, sep: str = " ", laid: bool = False) -> DataFrame:
+    """Weighted recall counts against several references: ``ids, lang, n, num5, den5, hyp_len, ref_len``, in exact fifths.
+
+    References add up: the numerator is the sum over references of their matched
+    grams, the denominator the sum of their grams, each at least 1 (five fifths),
+    so a reference shorter than the order counts 1.
+    """
+    keys = [*ids, lang, "n_refs"]
+    p = pairs.select(*ids, lang, F.size(refs).alias("n_refs"), _lang_id(lang).alias("lang_id"), F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs"))
+    g = B.gram_rows(p, list(ids), "_hyp", "_refs", max_n, sep, carry=[lang, "n_refs", "lang_id"], laid=laid)
+    per = g.groupBy(*keys, "n", "gram", "side", "ref").agg(
+        F.count(F.lit(1)).alias("c"), F.max("lang_id").alias("lang_id"), F.max("hl").alias("hl"), F.max("rl").alias("rl"))
+    own = F.max(F.when(F.col("side") == 0, F.col("c"))).over(Window.partitionBy(*keys, "n", "gram"))
+    per = per.withColumn("h", F.coalesce(own, F.lit(0)))
+    kw = F.broadcast(keywords.select("kw_lang", "keyword", F.lit(True).alias("is_kw")))
+    j = per.join(kw, (per["lang_id"] == kw["kw_lang"]) & (per["gram"] == kw["keyword"]) & (per["n"] == 1), "left")
+    w5 = F.when(F.col("n") == 1, F.when(F.col("is_kw"), W_KEYWORD).otherwise(W_OTHER)).otherwise(W_SCALE)
+    in_ref = F.col("side") == 1
+    one = j.groupBy(*keys, "n", F.when(in_ref, F.col("ref")).alias("ref")).agg(
+        F.sum(F.when(in_ref, F.least("h", "c") * w5)).alias("num5"), F.sum(F.when(in_ref, F.col("c") * w5)).alias("den5"),
+        F.max("hl").alias("hyp_len"), F.max("rl").alias("ref_len"))
+    missing = F.col("n_refs") - F.count("ref")
+    return one.groupBy(*keys, "n").agg(
+        F.coalesce(F.sum("num5"), F.lit(0)).alias("num5"),
+        (F.coalesce(F.sum(F.when(F.col("ref").isNotNull(), F.greatest(F.lit(W_SCALE), "den5"))), F.lit(0)) + W_SCALE * missing).alias("den5"),
+        F.max("hyp_len").alias("hyp_len"), F.max("ref_len").alias("ref_len")).drop("n_refs")
+
+
+def weighted_corpus(pairs: DataFrame, group_cols: Sequence[str], ids: Sequence[str], lang: str, hyp: str, refs: str,
+                    keywords: DataFrame, max_n: int = 4, sep: str = " ") -> DataFrame:
+    """``group_cols, n_pairs, hyp_len, ref_len, score``: recall counts and lengths summed over a group before dividing.
+
+    ``group_cols`` may be any of ``ids`` and ``lang``; sums are exact integers. A null group is a group; pairs need a non-null first id.
+    """
+    counts = recall_counts(pairs, ids, lang, hyp, refs, keywords, max_n, sep)
+    sums = []
+    for k in range(1, max_n + 1):
+        sums.append((F.sum(F.when(F.col("n") == k, F.col("num5"))) / float(W_SCALE)).alias(f"num_{k}"))
+        sums.append((F.sum(F.when(F.col("n") == k, F.col("den5"))) / float(W_SCALE)).alias(f"den_{k}"))
+    first = F.col("n") == 1
+    out = counts.groupBy(*group_cols).agg(
+        *sums, F.count(F.when(first, 1)).alias("n_pairs"), F.sum(F.when(first, F.col("hyp_len"))).alias("hyp_len"),
+        F.sum(F.when(first, F.col("ref_len"))).alias("ref_len"))
+    return out.select(*group_cols, "n_pairs", "hyp_len", "ref_len", F.expr(BF.bleu(1)).alias("score"))
+
+
 # --- fixed values: default CodeBLEU weights alpha, beta, gamma, theta
 DEFAULT_PARAMS = "0.25,0.25,0.25,0.25"
 

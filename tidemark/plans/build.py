@@ -190,11 +190,11 @@ def verdict_join(spark, sf):
     return K.verdict_join(corpus(spark, sf), actual_outputs(spark, sf))
 
 
-def usable_frame(spark: SparkSession, sf: str) -> DataFrame:
+def usable_frame(spark: SparkSession, sf: str, carry: tuple[str, ...] = ()) -> DataFrame:
     k = with_lang(corpus(spark, sf))
     v = K.verdict_join(k, actual_outputs(spark, sf))
     return with_gate(k, "code").join(v, "id").select(
-        "id", F.col("lang").alias("type"), "grade",
+        "id", F.col("lang").alias("type"), "grade", *carry,
         F.when(F.col("grade") == "fine", F.col("passed")).otherwise(F.col("ok")).alias("usable"),
     )
 
@@ -234,7 +234,7 @@ def cap_per_stratum(spark, sf, cap: int = CAP):
     "code_corpus", "actual_outputs", extra=_VERDICT_CTES))
 def sequential_ids(spark, sf):
     """Whole usable records, numbered."""
-    u = usable_frame(spark, sf).where("usable").select("id", "type", "grade").join(corpus(spark, sf).select("id", "code"), "id")
+    u = usable_frame(spark, sf, ("code",)).where("usable").select("id", "type", "grade", "code")
     return K.sequential_ids(u, "id").select("id", "seq", "type", "grade", "code")
 
 

@@ -227,6 +227,46 @@ def codebleu_report(spark, sf):
     )
 
 
+def _weighted_corpus_sql() -> str:
+    """Recall counts of every reference on its own, then summed per language."""
+    src = f"""
+  SELECT c.id, {LANG} AS lang, {words_sql('code')} AS hyp,
+         [{', '.join(words_sql(x) for x in ('r.text', 'd.text', 'm.text'))}] AS refs
+  FROM code_corpus c JOIN code_variants r ON r.id = c.id AND r.variant = 'rename'
+  JOIN code_variants d ON d.id = c.id AND d.variant = 'drop' JOIN code_variants m ON m.id = c.id AND m.variant = 'comment'"""
+    weight = f"(CASE WHEN n = 1 AND list_contains({_kw('lang')}, gram) THEN {W.W_KEYWORD} WHEN n = 1 THEN {W.W_OTHER} ELSE {W.W_SCALE} END)"
+    gram = "array_to_string({t}[i:i+n-1], ' ')"
+    sums = ", ".join(f"sum(CASE WHEN n = {k} THEN num END) / {W.W_SCALE}e0 AS num_{k}, sum(CASE WHEN n = {k} THEN den END) / {W.W_SCALE}e0 AS den_{k}"
+                     for k in range(1, 5))
+    return with_ctes(f"""
+SELECT lang, n_pairs, CAST(hyp_len AS BIGINT) AS hyp_len, CAST(ref_len AS BIGINT) AS ref_len, {BF.bleu(1)} AS score
+FROM wc_sums JOIN wc_len USING (lang)""", "code_corpus", "code_variants", extra={
+        "wc_src": src,
+        "wc_h": f"SELECT id, n, {gram.format(t='hyp')} AS gram, count(*) AS h FROM wc_src, range(1, 5) q(n), range(1, len(hyp) - n + 2) s(i) GROUP BY ALL",
+        "wc_r": f"""
+  SELECT id, lang, j, n, {gram.format(t='ref')} AS gram, count(*) AS r
+  FROM (SELECT id, lang, j, refs[j] AS ref FROM wc_src, range(1, len(refs) + 1) t(j)), range(1, 5) q(n), range(1, len(ref) - n + 2) s(i) GROUP BY ALL""",
+        "wc_one": f"""
+  SELECT lang, id, j, n, sum(least(r, coalesce(h, 0)) * {weight}) AS num, greatest({W.W_SCALE}, sum(r * {weight})) AS den
+  FROM wc_r LEFT JOIN wc_h USING (id, n, gram) GROUP BY ALL""",
+        "wc_all": f"""
+  SELECT s.lang, s.id, t.j, q.n, coalesce(o.num, 0) AS num, coalesce(o.den, {W.W_SCALE}) AS den
+  FROM wc_src s CROSS JOIN range(1, 4) t(j) CROSS JOIN range(1, 5) q(n) LEFT JOIN wc_one o ON o.id = s.id AND o.j = t.j AND o.n = q.n""",
+        "wc_sums": f"SELECT lang, {sums} FROM wc_all GROUP BY lang",
+        "wc_len": """
+  SELECT lang, count(*) AS n_pairs, sum(len(hyp)) AS hyp_len,
+         sum(list_min(list_transform(refs, lambda x: {'d': abs(len(x) - len(hyp)), 'l': len(x)})).l) AS ref_len
+  FROM wc_src GROUP BY lang"""})
+
+
+@register("weighted_corpus", _weighted_corpus_sql())
+def weighted_corpus(spark, sf):
+    """Weighted recall per language: every program against its three variants as references, summed before dividing."""
+    rows = laid_programs(spark, sf).select("id", "lang", word_tokens(F.element_at("texts", 1)).alias("hyp"),
+                                           F.transform(F.slice("texts", 2, F.size("texts")), word_tokens).alias("refs"))
+    return W.weighted_corpus(rows, ["lang"], ["id"], "lang", "hyp", "refs", W.keyword_dim(spark))
+
+
 # two K-shaped files: the original corpus, and a second file holding two records per id
 # (drop first, rename last); the last record per id wins, languages must agree.
 DUAL_PAIRS_SQL = f"""

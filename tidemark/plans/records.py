@@ -10,13 +10,16 @@ from tidemark.functions.text import py_strip
 from tidemark.operators import bleu as B
 from tidemark.operators import corpus as K
 from tidemark.operators import pages as PG
+from tidemark.operators.attempts import attempt_rounds
+from tidemark.operators.perturb import first_block
 from tidemark.operators.report import score_histogram as histogram
 from tidemark.operators.report import score_report as report
 from tidemark.operators.report import micro_units_sql, tenth_bucket_sql
-from tidemark.plans.build import corpus
+from tidemark.plans.build import _VERDICT_CTES, LANG, _gate_sql, _lint_sql, corpus, with_gate, with_lang
 from tidemark.plans.registry import register
 from tidemark.plans.scoring import DOCPAIR_SRC, docpairs, stats_ctes
 from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes
+from tidemark.sources.code_corpus import actual_outputs
 from tidemark.sources.tables import table
 
 
@@ -88,9 +91,18 @@ def sample_per_group(spark, sf, k: int = K_PER_GROUP):
 
 @register("sample_n", f"SELECT doc_id, source, lang FROM documents ORDER BY {_KEY}, doc_id LIMIT {N_SAMPLE}")
 def sample_n(spark, sf, n: int = N_SAMPLE):
-    """Uniform sample of n rows: a global top-n by hash (per-partition top-n, then merge)."""
+    """Uniform sample of n rows by a hash threshold."""
+    return K.uniform_sample(table(spark, sf, "documents").select("doc_id", "source", "lang"), n, SEED, "doc_id")
+
+
+HALF_SQL = "(SELECT count(*) // 2 FROM documents)"
+
+
+@register("sample_half", f"SELECT doc_id, source, lang FROM documents ORDER BY {_KEY}, doc_id LIMIT {HALF_SQL}")
+def sample_half(spark, sf):
+    """A sample as large as half the table: it grows with the input and never meets in one task."""
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return d.orderBy(K.sample_key(SEED, "doc_id"), "doc_id").limit(n)
+    return K.uniform_sample(d, d.count() // 2, SEED, "doc_id")
 
 
 # ---------------------------------------------------------------- reports on sentence BLEU
@@ -130,6 +142,59 @@ def first_usable_attempt(spark, sf):
     return best.select("conv_id", "b.turn", "b.text")
 
 
+ROUNDS = 4
+# what round k writes: some texts are cut short, the others stand in a fenced block; and what its runs print
+_CUT = "(id + {k}) % 3 <> 0"
+_ATTEMPT_SQL = f"""
+  SELECT c.id, {{k}} AS attempt_no, c.grade, {LANG} AS lang,
+         CASE WHEN {_CUT} THEN code || ' (' ELSE code END AS text
+  FROM code_corpus c WHERE (id + {{k}}) % 7 <> 0"""
+
+
+def _rounds_sql() -> dict[str, str]:
+    tries = " UNION ALL ".join(_ATTEMPT_SQL.format(k=k) for k in range(1, ROUNDS + 1))
+    return {
+        **_VERDICT_CTES,
+        "tries": tries,
+        "tried": f"""
+  SELECT t.id, t.attempt_no, t.text,
+         CASE WHEN t.grade = 'fine' THEN v.passed AND (t.id + t.attempt_no) % 2 = 0
+              ELSE ({_gate_sql(_lint_sql('t.text', 't.lang'), 't.lang')}) = 'ok' END AS usable
+  FROM tries t JOIN verdict v ON v.id = t.id"""}
+
+
+_FENCED = "'Sure:' || chr(10) || '```' || chr(10) || text || chr(10) || '```'"
+
+
+@register("attempts_by_rounds", with_ctes(f"""
+SELECT id, CAST(coalesce(min(CASE WHEN usable THEN attempt_no END), max(attempt_no)) AS INT) AS attempt_no,
+       md5(coalesce(arg_min({_FENCED}, CASE WHEN usable THEN attempt_no END), arg_max({_FENCED}, attempt_no))) AS text_md5,
+       bool_or(usable) AS resolved
+FROM tried GROUP BY id""", "code_corpus", "actual_outputs", extra=_rounds_sql()))
+def attempts_by_rounds(spark, sf):
+    """Up to four rounds of attempts: fine records must pass their sample tests, coarse ones the syntax gate."""
+    k = with_lang(corpus(spark, sf)).select("id", "type", "lang", "grade", "code", "test_case")
+
+    def attempt(open_: DataFrame, no: int) -> DataFrame:
+        text = F.when((F.col("id") + no) % 3 != 0, F.concat("code", F.lit(" ("))).otherwise(F.col("code"))
+        return open_.where((F.col("id") + no) % 7 != 0).select(
+            "id", "type", "lang", "grade", "test_case", F.lit(no).alias("no"),
+            F.concat(F.lit("Sure:\n```\n"), text, F.lit("\n```")).alias("text"))
+
+    def passes(tried: DataFrame) -> DataFrame:
+        # the round's recorded runs: odd sums of id and round print something else
+        runs = actual_outputs(spark, sf).join(tried.select("id", "no"), "id").select(
+            "id", "test_no", F.when((F.col("id") + F.col("no")) % 2 == 0, F.col("stdout")).otherwise("?").alias("stdout"), "status")
+        verdict = K.verdict_join(tried.where("grade = 'fine'").select("id", "type", "test_case"), runs)
+        gated = with_gate(tried.withColumn("block", first_block(F.col("text"))), "block")
+        return gated.join(verdict, "id", "left").withColumn(
+            "usable", F.when(F.col("grade") == "fine", F.col("passed")).otherwise(F.col("ok")))
+
+    resolved, left = attempt_rounds(k, attempt, passes, ROUNDS)
+    both = resolved.withColumn("resolved", F.lit(True)).unionByName(left.withColumn("resolved", F.lit(False)))
+    return both.select("id", "attempt_no", F.md5("text").alias("text_md5"), "resolved")
+
+
 # ---------------------------------------------------------------- pages: sample pairs and the corpus join
 @register("io_pairs", PG.IO_PAIRS_SQL)
 def io_pairs(spark, sf):
