@@ -12,6 +12,7 @@ from tidemark.operators import corpus as K
 from tidemark.plans import sql_code as SC
 from tidemark.plans.registry import register
 from tidemark.plans.sql_fixtures import NL, sq, strip, with_ctes
+from tidemark.sources import files as FS
 from tidemark.sources.code_corpus import actual_outputs, code_corpus, variant_texts
 
 LANG = "coalesce(nullif(type, ''), 'Java')"
@@ -239,7 +240,7 @@ def sequential_ids(spark, sf):
 
 
 # ---------------------------------------------------------------- records: tags, unions, targets
-TAG_RE = "^(java|python)_(train|test|valid)_[0-9]+\\.jsonl$"
+TAG_RE = FS.TAG_RE
 
 
 @register("tag_language", with_ctes(f"""
@@ -248,9 +249,7 @@ FROM (SELECT id, regexp_extract(filename, {sq(TAG_RE)}, 1) AS g1, regexp_extract
       FROM code_corpus)""", "code_corpus"))
 def tag_language(spark, sf):
     k = corpus(spark, sf)
-    g1 = F.regexp_extract("filename", TAG_RE, 1)
-    g2 = F.regexp_extract("filename", TAG_RE, 2)
-    lang = F.initcap(g1)  # the pattern admits one lower-case word
+    lang, g2 = FS.language_tag()
     return k.select("id", F.nullif(lang, F.lit("")).alias("lang"), F.nullif(g2, F.lit("")).alias("split"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.operators.corpus import default_type
@@ -9,6 +10,8 @@ from tidemark.plans.build import LANG, corpus
 from tidemark.plans.registry import register
 from tidemark.plans.sql_fixtures import NL, with_ctes
 from tidemark.sources import files as FS
+from tidemark.sources.tables import table
+from tidemark.streaming import append as A
 from tidemark.streaming import resume as R
 
 
@@ -62,3 +65,57 @@ def resume_stream(spark, sf):
     for _ in range(2):
         R.run_available(spark, sf, R.EVENT_SCHEMA, R.tag_events, sink, ckpt, glob="events.parquet")
     return spark.read.parquet(sink)
+
+
+# every seventh line is cut short, some records have no code or a name without a language
+_RAW = "'{\"id\": ' || CAST(id AS VARCHAR) || ', \"filename\": \"' || name || '\", \"code\": '"
+_REJECT_SRC = f"""
+  SELECT id, name, code, CASE WHEN id % 7 = 3 THEN 'malformed' WHEN id % 5 = 2 THEN 'no_code'
+                              WHEN name NOT SIMILAR TO '(java|python)_(train|test|valid)_[0-9]+.jsonl' THEN 'no_language' END AS reason
+  FROM (SELECT id, CASE WHEN id % 4 = 1 THEN 'notes ' || CAST(id AS VARCHAR) || '.txt' ELSE filename END AS name, code FROM code_corpus)"""
+
+
+@register("corpus_rejects", with_ctes(f"""
+SELECT CASE WHEN reason = 'malformed' THEN NULL ELSE id END AS id, CASE WHEN reason = 'malformed' THEN NULL ELSE name END AS filename, reason,
+       CASE WHEN reason IS NULL THEN upper(name[1]) || split_part(name, '_', 1)[2:] END AS lang,
+       CASE WHEN reason IS NULL THEN split_part(name, '_', 2) END AS split,
+       CASE WHEN reason = 'malformed' THEN {_RAW} END AS raw,
+       CASE WHEN reason = 'malformed' OR reason = 'no_code' THEN NULL ELSE md5(code) END AS code_md5
+FROM ({_REJECT_SRC})""", "code_corpus"))
+def corpus_rejects(spark, sf):
+    """A JSONL corpus with malformed lines, missing code and untaggable file names, split into two sinks in one pass."""
+    lines, root = FS.scratch_path(spark, "mixed-jsonl"), FS.scratch_path(spark, "split")
+    k = corpus(spark, sf).select("id", "code", F.when(F.col("id") % 4 == 1, F.concat(
+        F.lit("notes "), F.col("id").cast("string"), F.lit(".txt"))).otherwise(F.col("filename")).alias("filename"))
+    whole = F.to_json(F.struct("id", "filename", F.when(F.col("id") % 5 != 2, F.col("code")).alias("code")))
+    cut = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "filename": "'), "filename", F.lit('", "code": '))
+    k.select(F.when(F.col("id") % 7 == 3, cut).otherwise(whole).alias("value")).write.text(lines)
+    accepted, rejected = f"{root}/accepted", f"{root}/rejected"
+    FS.split_corpus(spark, lines, accepted, rejected)
+    out = FS.read_sink(spark, accepted).unionByName(FS.read_sink(spark, rejected))
+    return out.select("id", "filename", "reason", "lang", "split", "raw", F.md5("code").alias("code_md5"))
+
+
+ARRIVALS = 3
+
+
+@register("append_once", f"""
+SELECT event_id, user_id, event_type, floor(value * 1e2 + 5e-1) / 1e2 AS value, CAST(ts AS DATE) AS day, event_id % {ARRIVALS} AS batch
+FROM events""")
+def append_once(spark, sf):
+    """Events arrive in three files; the second run fails after writing its rows, the third replays it and goes on."""
+    inbox, sink = FS.scratch_path(spark, "inbox"), FS.scratch_path(spark, "appended")
+    events = table(spark, sf, "events")
+
+    def lost(batch_id: int) -> None:
+        raise RuntimeError("the run ended here")
+
+    for k in range(ARRIVALS):
+        events.where(F.col("event_id") % ARRIVALS == k).coalesce(1).write.mode("append").parquet(inbox)
+        if k == 1:
+            try:
+                A.append_available(spark, inbox, R.EVENT_SCHEMA, R.tag_events, sink, after_write=lost)
+            except StreamingQueryException:
+                pass
+        A.append_available(spark, inbox, R.EVENT_SCHEMA, R.tag_events, sink)
+    return A.committed(spark, sink).withColumn("batch", F.col("batch").cast("long"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir
@@ -32,6 +32,43 @@ def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA) ->
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
+# --- fixed values: corpus file names that name a language and a split
+TAG_RE = "^(java|python)_(train|test|valid)_[0-9]+\\.jsonl$"
+
+
+def language_tag(name: str = "filename") -> tuple[Column, Column]:
+    """(language, split) of a corpus file name, empty where it names none."""
+    return F.initcap(F.regexp_extract(name, TAG_RE, 1)), F.regexp_extract(name, TAG_RE, 2)
+
+
+def split_corpus(spark: SparkSession, path: str, accepted: str, rejected: str, schema: str = CORPUS_SCHEMA) -> None:
+    """Read a JSONL corpus once and append its records to two sinks: tagged records, and rejects with a reason.
+
+    Reasons, the first that holds: ``malformed`` (the line is no JSON record; it is
+    kept in ``raw``), ``no_code`` (code missing or blank), ``no_language`` (the file
+    name names no language). One job reads, decides and writes both; the rows
+    are told apart by folders below ``accepted``'s parent, which is then read by ``read_sink``.
+    """
+    rows = read_corpus(spark, path, schema)
+    lang, split = language_tag()
+    reason = (F.when(F.col("_corrupt_record").isNotNull(), "malformed")
+              .when(F.coalesce(F.trim("code"), F.lit("")) == "", "no_code")
+              .when(F.coalesce(lang, F.lit("")) == "", "no_language"))
+    out = rows.withColumn("reason", reason).withColumn("lang", F.when(reason.isNull(), lang)).withColumn(
+        "split", F.when(reason.isNull(), split)).withColumnRenamed("_corrupt_record", "raw")
+    sink = F.when(F.col("reason").isNull(), accepted).otherwise(rejected)
+    root = accepted.rsplit("/", 1)[0]
+    if rejected.rsplit("/", 1)[0] != root:
+        raise ValueError("both sinks must lie in one folder")
+    out.withColumn("sink", F.regexp_extract(sink, "([^/]+)$", 1)).write.mode("append").partitionBy("sink").parquet(root)
+
+
+def read_sink(spark: SparkSession, sink: str) -> DataFrame:
+    """The records of one of the sinks that ``split_corpus`` writes."""
+    root, name = sink.rsplit("/", 1)
+    return spark.read.parquet(f"{root}/sink={name}")
+
+
 def write_corpus(df: DataFrame, path: str, mode: str = "append", fmt: str = "json") -> None:
     """Append (resumable runs) or overwrite (fresh runs) a corpus."""
     df.write.mode(mode).format(fmt).save(path)
