@@ -62,3 +62,20 @@ def test_odd_rows_and_empty_table(odd, none_left):
         assert (by[i].lang_pred, by[i].score) == ("und", 0.0)
     assert by[6].lang_pred in ("en", "fr", "de")
     assert langid.identify(none_left, PATH).count() == 0
+
+
+def test_a_language_without_spaces_is_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        syllables = ("ka", "to", "mi", "ru") if i % 2 else ("sch", "ein", "und", "lich")
+        rows.append((i, "".join(rng.choice(syllables, 200)), "xx" if i % 2 else "yy"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert all(r["lang_pred"] == ("xx" if r["doc_id"] % 2 else "yy") for r in out)
+
+
+def test_training_spans_hold_every_letter():
+    words = ["▁" + "a" * n for n in (1, 63, 64, 65, 200)]
+    spans = list(langid.training_spans(words))
+    assert "".join(spans) == "".join(words) and max(map(len, spans)) == langid.TRAIN_LETTERS

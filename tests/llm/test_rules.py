@@ -1,6 +1,9 @@
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +63,31 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = rules.apply_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_rules_are_ordered_by_what_is_left():
+    # rule 0 rejects most, rule 1 hardly anything that rule 0 leaves, rule 2 little but cheaply
+    outcomes = {(True, True, False): 50, (True, False, False): 10, (False, True, False): 1, (False, False, True): 5, (False, False, False): 100}
+    assert rules.greedy_order([1.0, 1.0, 1.0], outcomes) == [0, 2, 1]
+    assert rules.greedy_order([1.0, 1.0, 0.01], outcomes) == [2, 0, 1]
+    assert rules.greedy_order([2.0, 1.0, 1.0], {}) == [1, 2, 0]
+    assert rules.greedy_order([], {}) == []
+
+
+def test_letterless_megabyte_token_is_linear(spark):
+    text = "word " * 30 + "-" * 1_000_000
+    df = rules.with_base(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    rule = next(r for r in rules.RULES if r.name == "letters")
+    assert df.select(F.expr(rule.rejects).alias("r")).first()["r"] is False
+    began = time.perf_counter()
+    df.select(F.expr(rule.rejects).alias("r")).first()
+    assert time.perf_counter() - began < 5
+
+
+def test_repeated_lines_fail_long_texts_only(spark):
+    words = [f"w{i}" for i in range(60)]
+    lines = [" ".join(words[i:i + 5]) for i in range(0, 60, 5)]
+    twice = [x for k in range(0, 6) for x in (lines[k], "a b c")]  # short lines repeat, no window of 8 words does
+    docs = [(1, "\n".join(lines + ["a b c", lines[0], "a b c"])), (2, "\n".join(twice)), (3, "\n".join(lines + lines[:1]))]
+    out = {r["doc_id"]: r["rejected_by"] for r in rules.apply_rules(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: None, 2: "duplicate_lines", 3: None}

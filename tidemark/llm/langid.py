@@ -37,7 +37,7 @@ FOLDS, HELD_OUT = 5, 0
 #: Most training documents per language.
 PER_LANGUAGE = 600
 ROUNDS = 3
-#: Longer words teach nothing (they are scored all the same).
+#: Longer words teach in spans of so many letters, one after another (they are scored whole).
 TRAIN_LETTERS = 64
 MAX_PIECE = 16
 SMOOTHING = 0.05
@@ -63,6 +63,13 @@ def words_of(text: str | None) -> list[str]:
     return [_START + w for w in _WORD.findall((text or "").lower())]
 
 
+def training_spans(words: list[str]) -> Iterator[str]:
+    """The words, long ones cut into spans of ``TRAIN_LETTERS``, so that every letter of a text teaches."""
+    for w in words:
+        for at in range(0, len(w), TRAIN_LETTERS):
+            yield w[at:at + TRAIN_LETTERS]
+
+
 def _grid(words: list[str], vocab: dict[str, int]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(end, length, piece numbers) for every span of words of one length; -1 where the span is no piece."""
     n = len(words[0])
@@ -190,7 +197,7 @@ def fit(docs: DataFrame, path: str, folds: int = FOLDS, held_out: int = HELD_OUT
         for b in slices(batches):
             total: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.update((lang, w) for w in words_of(text) if len(w) <= TRAIN_LETTERS)
+                total.update((lang, w) for w in training_spans(words_of(text)))
             if total:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for x, _ in total]), pa.array([w for _, w in total]), pa.array(list(total.values()))],

@@ -114,9 +114,10 @@ def phrase_places(words: list[str], phrases: Mapping[str, str]) -> tuple[list[in
     line = " " + " ".join(words) + " "
     places, found = [], set()
     for phrase, label in phrases.items():
-        at = line.find(f" {phrase} ")
+        at, place, before = line.find(f" {phrase} "), 0, 0
         while at >= 0:
-            places.append(line.count(" ", 0, at))
+            place, before = place + line.count(" ", before, at), at  # counted on from the last place
+            places.append(place)
             found.add(label)
             at = line.find(f" {phrase} ", at + 1)
     return places, found
