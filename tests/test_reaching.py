@@ -173,3 +173,13 @@ def test_null_empty_and_unclosed_programs(spark):
     out = D.program_nodes(df, ["id"], "text", "lang")
     assert {r["id"] for r in out.collect()} == {3, 5, 6, 7}
     assert D.program_nodes(df.where("id > 99"), ["id"], "text", "lang").count() == 0
+
+
+def test_definitions_that_merge_are_one_parent_name(spark):
+    text = "x = 1\nif c:\n    x = 2\ny = x * x"
+    df = spark.createDataFrame([(1, "Python", text)], "id long, lang string, text string")
+    nodes = D.program_nodes(df, ["id"], "text", "lang")
+    by_pos = {r["pos"]: [(p["ppos"], p["pname"]) for p in r["parents"]] for r in nodes.collect()}
+    assert by_pos[11] == [(0, "x"), (6, "x")] and by_pos[9] == [(11, "x"), (13, "x")]
+    norm = {r["pos"]: (r["var"], r["parents"]) for r in D.normalized(nodes, ["id"]).collect()}
+    assert norm[11] == ("var_0", "var_0") and norm[9] == ("var_1", "var_0,var_0")

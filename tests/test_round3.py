@@ -174,3 +174,10 @@ def test_a_replayed_batch_adds_nothing(spark, tmp_path):
     A.append_available(spark, inbox, "id long", keep, sink)
     assert sorted(r["id"] for r in A.committed(spark, sink).collect()) == list(range(15))
     assert {(r["batch_id"], r["n_rows"]) for r in A.manifest(spark, sink).collect()} == {(0, 10), (1, 5)} and failures == [1, 1]
+
+
+def test_histogram_keys_are_sorted(spark):
+    rows = [(g, x / 10) for g in ("b", None, "a") for x in (9, 1, 5, 1)]
+    df = spark.createDataFrame(rows, "g string, bleu double").repartition(5)
+    got = [(r["g"], r["bucket"]) for r in score_histogram(df, ["g"]).collect()]
+    assert got == [(g, b) for g in (None, "a", "b") for b in (0.1, 0.5, 0.9)]

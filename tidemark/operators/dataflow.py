@@ -299,9 +299,15 @@ def edges(node_df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 def normalized(node_df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Kept nodes (with parents, or a parent of another node) with names renamed ``var_i``
-    by first appearance (parents before the node's own name): ``ids, pos, var, rel, parents``."""
+    by first appearance (parents before the node's own name): ``ids, pos, var, rel, parents``.
+
+    Definitions of one name that reach a use together are one parent name; an
+    operand that a statement repeats is repeated.
+    """
     ids = list(ids)
     kept = node_df.where((F.size("parents") > 0) | F.col("is_parent"))
+    own = (F.col("rel") == "comesFrom") & F.forall("parents", lambda p: p["pname"] == F.col("var"))
+    kept = kept.withColumn("parents", F.when(own, F.slice("parents", 1, 1)).otherwise(F.col("parents")))
     seq = F.concat(
         F.transform("parents", lambda p, i: F.struct(i.alias("sub"), p["pname"].alias("name"))),
         F.array(F.struct(F.size("parents").alias("sub"), F.col("var").alias("name"))),

@@ -29,12 +29,13 @@ def micro_units_sql(score: str) -> str:
 
 
 def score_histogram(scores: DataFrame, group_cols: Sequence[str], score: str = "bleu") -> DataFrame:
-    """``group_cols, bucket, n``: count of scores per one-decimal bucket (half-even)."""
+    """``group_cols, bucket, n``: count of scores per one-decimal bucket (half-even), sorted by group and bucket, nulls first."""
     return (
         scores.where(F.col(score).isNotNull())
         .select(*group_cols, F.expr(tenth_bucket_sql(score)).alias("bucket"))
         .groupBy(*group_cols, "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(*group_cols, "bucket")
     )
 
 
