@@ -38,7 +38,7 @@ END_ID = 2
 #: Pieces up to so many tokens count with their exact length, longer ones in steps of up to one part in 64 of it.
 EXACT = 128
 #: Words per generation of the memo; at most two generations are held.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _PARTS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
@@ -51,8 +51,9 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """word -> bytes of its little-endian 32-bit ids, in two generations: a full young one becomes the old one.
 
-    ``plain`` words are parts of usual, lower-cased texts: those of letters only are one
-    word for the tokenizer, so its model is asked directly. Other words go through the whole tokenizer.
+    ``plain`` words come from usual, lower-cased texts: those of letters only are one
+    word for the tokenizer, so its model is asked directly, and others fall into parts that are
+    looked up in turn. What is left goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, plain: bool, words: int = MEMO_WORDS):
@@ -68,6 +69,8 @@ class WordIds(dict):
             if self.plain and word.isalpha():
                 spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
                 found = b"".join([spell[t.id] for t in self.model.tokenize(spelt)])
+            elif self.plain and len(parts := _PARTS.findall(word)) > 1:
+                found = b"".join([self[p] for p in parts])
             else:
                 found = b"".join([spell[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
         self[word] = found
@@ -89,15 +92,15 @@ def encode_words(path: str, texts: list[str]) -> list[bytes]:
     """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space.
 
     A text is taken apart where the parts' ids, one after another, are the
-    text's. The tokenizer lower-cases, drops white space, and splits letters from
-    marks; for usual texts those parts are known, others are split at white space only.
+    text's. The tokenizer lower-cases and drops white space, so that is between
+    words; for usual texts it also splits letters from marks.
     """
     plain, other = memos(path)
     part, rest = plain.__getitem__, other.__getitem__
     out: list[bytes] = []
     for text in texts:
         if usual(text):
-            out.append(b"".join(map(part, _PARTS.findall(text.lower()))))
+            out.append(b"".join(map(part, text.lower().split())))
             plain.make_room()
         else:
             out.append(b"".join(map(rest, [w for w in _SPACE.split(text) if w])))
