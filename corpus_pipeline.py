@@ -20,27 +20,48 @@ from tidemark.session import checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go."""
+    """Documents that the toxicity operator rejects go.
+
+    Null and empty texts score the toxic rate of labelled texts without words and stay
+    below the threshold in a corpus that is mostly clean; equal texts are judged alike;
+    repeated rows and null ids stay or go each on its own; without labels everything stays.
+    """
     return toxicity.reject_toxic(docs, labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest id stays."""
+    """Of equal texts the largest id stays.
+
+    Null counts as the empty text; a null id counts as the smallest; of repeated rows one stays; an
+    empty table gives none.
+    """
     return dedup_fuse.apply_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the smallest id stays."""
+    """Of each SimHash component the smallest id stays.
+
+    Texts without a word share fingerprint zero, so one of them stays; null ids come last, ties go by the text's digest;
+    of repeated rows one stays; an empty table gives none.
+    """
     return simhash.keep_one(docs, shingle_words=3, max_bits=2)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Texts without words have size 0 and are copied at their source's rate; a null source is a source of its own, last in order;
+    repeated rows are taken each; an empty table gives none.
+    """
     return mixing.apply_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of 4096 tokens; the columns of the packing query."""
+    """Pieces in sequences of 4096 tokens; the columns of the packing query.
+
+    A null or empty text is one closing id; null ids and repeated rows are packed each on their own; ties in
+    length are broken in any order; an empty table gives none.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -64,3 +64,10 @@ def test_stages_take_odd_rows(spark, odd, odd_labels, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == odd.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
+def test_run_on_empty_tables(spark, odd, odd_labels, tmp_path):
+    odd_labels.where("doc_id < -5").write.parquet(str(tmp_path / "labels.parquet"))
+    odd.where("doc_id < -5").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, fanout_partitions
 from tidemark.sources.tables import table
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of one range partition when rows are ranked.
+RANGE_BYTES = 128 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -66,7 +70,7 @@ def with_rank(df: DataFrame, group: list[str], order: list[str], rank: str = "ra
     are numbered in any order.
     """
     part = "_range_part"
-    n = partitions(df.sparkSession)
+    n = fanout_partitions(df, 1, RANGE_BYTES)
     df = materialise(df)  # range partitioning reads its input twice: once to choose the bounds
     laid = materialise(df.repartitionByRange(n, *[F.col(c) for c in group + order])
                        .withColumn(part, F.spark_partition_id()))
