@@ -61,6 +61,8 @@ MAX_PARTITIONS = 200_000
 
 def input_bytes(df) -> int:
     """Bytes of the files and frames that ``df`` reads, from the planner's statistics of its leaves; unknown sizes count 0."""
+    if not hasattr(df, "_jdf"):  # Spark Connect keeps the plan on the server
+        return 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = (int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
     return sum(n for n in sizes if n < 1 << 60)  # Spark gives a frame of unknown size the largest long
