@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,20 +81,19 @@ class WordIds(dict):
             self.clear()
 
 
-@lru_cache(maxsize=2)
 def memos(path: str) -> tuple[WordIds, WordIds]:
-    """(for plain words, for others): a worker keeps them from task to task, at most four generations in all."""
+    """(for plain words, for others): one pair a task, so what a worker keeps does not add up."""
     return WordIds(path, True), WordIds(path, False, MEMO_WORDS // 10)
 
 
-def encode_words(path: str, texts: list[str]) -> list[bytes]:
+def encode_words(path: str, texts: list[str], memo: tuple[WordIds, WordIds] | None = None) -> list[bytes]:
     """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer that drops white space.
 
     A text is taken apart where the parts' ids, one after another, are the
     text's. The tokenizer lower-cases and drops white space, so that is between
     words; for usual texts it also splits letters from marks.
     """
-    plain, other = memos(path)
+    plain, other = memo or memos(path)
     part, rest = plain.__getitem__, other.__getitem__
     out: list[bytes] = []
     for text in texts:
@@ -108,9 +106,9 @@ def encode_words(path: str, texts: list[str]) -> list[bytes]:
     return out
 
 
-def _encode(path: str, texts: list[str | None], end_id: int) -> list[bytes]:
+def _encode(path: str, texts: list[str | None], end_id: int, memo: tuple[WordIds, WordIds]) -> list[bytes]:
     end = int(end_id).to_bytes(4, "little")
-    return [ids + end for ids in encode_words(path, [t or "" for t in texts])]
+    return [ids + end for ids in encode_words(path, [t or "" for t in texts], memo)]
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -118,9 +116,10 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = memos(path)
         for b in slices(batches):
             row, start, length, crc, tokens, whole = [], [], [], [], [], []
-            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id)):
+            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id, memo)):
                 n, doc_crc = len(ids) // 4, zlib.crc32(ids)
                 for s in range(0, n, capacity):
                     part = ids[4 * s:4 * (s + capacity)]
@@ -159,10 +158,11 @@ def _recut(docs: DataFrame, path: str, wanted: DataFrame, end_id: int) -> DataFr
         "doc_id", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = memos(path)
         for b in slices(batches):
             row, cols = [], ([], [], [], [])
             cuts = b.column(2).to_pylist()
-            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id)):
+            for i, ids in enumerate(_encode(path, b.column(1).to_pylist(), end_id, memo)):
                 doc_crc = zlib.crc32(ids)
                 for c in cuts[i]:
                     if c["doc_crc"] == doc_crc:

@@ -46,7 +46,7 @@ OPENINGS = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 256
 #: Most terms kept in blocks; a term of fewer examples than LONG has its posting list only.
-HEAD, LONG = 1024, 64
+HEAD, LONG = 512, 64
 #: Documents searched together.
 TOGETHER = 64
 SHRINK = 0.3
@@ -54,7 +54,7 @@ THRESHOLD = 0.3
 #: Characters whose words are looked up together.
 PORTION = 4_000_000
 #: Words whose terms a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _SIGNS = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80-\x8f][\x80-\xbf]")
 
