@@ -67,9 +67,11 @@ def flow_matches(rows: DataFrame) -> DataFrame:
         items = D.normalized(D.merged_nodes(uses, _KEY), _KEY).select(*_KEY, F.concat_ws("|", "var", "rel", "parents").alias("item"))
         return D.group_match(items, "id", "member", "item")
 
-    blocks = F.exists("texts", D.branches)
-    straight = D.token_table(_members(rows.where(~blocks)), _KEY, "text", "lang", laid=True)
-    merged = D.token_table(_members(rows.where(blocks)), _KEY, "text", "lang", laid=True, layout=True)
+    # told apart behind an explode of one element: a filter on the texts would go below the exchange, which could not be reused then
+    marked = F.explode(F.array(F.struct("texts", F.exists("texts", D.branches).alias("blocks"))))
+    told = rows.where(F.size("texts") > 0).select("id", "lang", marked.alias("r")).select("id", "lang", "r.*")
+    straight = D.token_table(_members(told.where("not blocks")), _KEY, "text", "lang", laid=True)
+    merged = D.token_table(_members(told.where("blocks")), _KEY, "text", "lang", laid=True, layout=True)
     return matches(D.straight_uses(straight, _KEY)).unionByName(matches(D.merged_uses(merged, _KEY)))
 
 
