@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +128,7 @@ class Lookup:
         codes = self._codes
         lists = [words_of(t) for t in texts]
         sizes = np.array([len(ws) for ws in lists], np.int64)
-        code = np.fromiter((codes[w] for ws in lists for w in ws), np.int64, int(sizes.sum()))
+        code = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
         starts, terms = np.array(codes.starts, np.int64), np.array(codes.terms, np.int64)
         place, which = _ranges(starts[code], starts[code + 1])
         text = np.repeat(np.arange(len(lists)), sizes)[which]
