@@ -120,3 +120,14 @@ def test_knapsack_prices_equal_brute_force():
             best[c] = max([best[c - 1]] + [best[c - s] + v for s, v in zip(size.tolist(), value.tolist(), strict=True) if s <= c])
         got, pattern = cutting.price(value, size, 30)
         assert abs(got - best[30]) < 1e-9 and pattern @ size <= 30 and abs(pattern @ value - got) < 1e-9
+
+
+def test_small_and_odd_histograms_are_solved():
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        size = np.unique(rng.integers(1, 4097, int(rng.integers(1, 250))))
+        demand = rng.integers(1, int(rng.choice([2, 5, 2000])), len(size))
+        patterns, times = cutting.whole_patterns(size, demand, 4096)
+        assert (patterns @ size <= 4096).all() and ((patterns * times[:, None]).sum(axis=0) <= demand).all()
+        left = demand - (patterns * times[:, None]).sum(axis=0) if len(patterns) else demand
+        assert left @ size <= 4096 * (len(size) + 1)

@@ -90,9 +90,12 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3
         if dual @ column <= 1.0 + gap:
             break
         move = inverse @ column
-        can = np.flatnonzero(move > 1e-9)
+        can = np.flatnonzero(move > 1e-7)
+        if not len(can):
+            break
         ratio = amount[can] / move[can]
-        out = int(can[np.argmin(ratio)])
+        tied = can[ratio <= ratio.min() + 1e-9 * (1.0 + ratio.min())]
+        out = int(tied[np.argmax(move[tied])])  # of the ties the largest pivot, which keeps the basis regular
         pivot = inverse[out] / move[out]
         theta = amount[out] / move[out]
         amount = np.maximum(amount - theta * move, 0.0)
@@ -101,7 +104,10 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3
         amount[out] = theta
         patterns[:, out] = column
         if step % 200 == 199:  # start afresh from the patterns, against rounding
-            inverse = np.linalg.inv(patterns.astype(np.float64))
+            try:
+                inverse = np.linalg.inv(patterns.astype(np.float64))
+            except np.linalg.LinAlgError:  # what is found so far is feasible; its rest is packed like any other
+                break
             amount = np.maximum(inverse @ demand, 0.0)
     return patterns.T.copy(), amount
 
