@@ -45,7 +45,7 @@ RULES = (
     Rule("symbols", "10 * n_symbols > word_chars"),
     Rule("duplicate_lines", f"n_dup_lines >= {MIN_DUP_LINES} AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("capitals", r"2 * regexp_count(whole, '\\p{Lu}') > regexp_count(whole, '\\p{L}')"),
-    Rule("letters", r"2 * regexp_count(array_join(words, ' '), '[^ ]*\\p{L}[^ ]*') < n_words"),
+    Rule("letters", r"2 * size(filter(words, w -> regexp_like(w, '\\p{L}'))) < n_words"),
     Rule("broken_lines", r"10 * regexp_count(whole, '(?m)(\\.\\.\\.|…)$') > 9 * n_lines"),
 )
 
