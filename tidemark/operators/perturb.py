@@ -48,11 +48,14 @@ def pivot_of(lang) -> Column:
 
 
 def fenced_blocks(text) -> Column:
-    """All fenced blocks (group 1, else group 2), stripped, blanks dropped."""
-    g1 = F.regexp_extract_all(col_(text), F.lit(FENCED), F.lit(1))
-    g2 = F.regexp_extract_all(col_(text), F.lit(FENCED), F.lit(2))
-    picked = F.zip_with(g1, g2, lambda a, b: py_strip(F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(F.coalesce(b, F.lit("")))))
-    return F.filter(picked, lambda x: x != "")
+    """All fenced blocks (group 1, else group 2), stripped, blanks dropped.
+
+    The pieces between fences are what ``FENCED`` matches: a block ends at the first fence
+    after the one that opens it. Cutting at the fences costs a fraction of the pattern's lazy groups.
+    """
+    parts = F.split(col_(text), "```", -1)
+    closed = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: i % 2 == 1)
+    return F.filter(F.transform(closed, lambda x: py_strip(F.regexp_replace(x, "^[a-z]*\\n", ""))), lambda x: x != "")
 
 
 def first_block(text) -> Column:
@@ -84,12 +87,11 @@ def roundtrip_resolve(df: DataFrame, forward: str, back: str) -> DataFrame:
     The fallback keeps the forward answer even though it is in the pivot
     language (as the benchmark does); ``fallback`` marks those rows.
     """
-    a1 = response_after_marker(forward)
-    b2 = fenced_blocks(response_after_marker(back))
-    return df.select(
-        "*",
-        F.when(F.size(b2) > 0, F.get(b2, 0)).otherwise(a1).alias("final"),
-        (F.size(b2) == 0).alias("fallback"),
+    staged = df.withColumn("_answer", response_after_marker(back)).withColumn("_blocks", fenced_blocks("_answer"))
+    return staged.select(
+        *df.columns,
+        F.when(F.size("_blocks") > 0, F.get("_blocks", 0)).otherwise(response_after_marker(forward)).alias("final"),
+        (F.size("_blocks") == 0).alias("fallback"),
     )
 
 
