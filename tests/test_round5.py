@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.code import WORD_RUNS, with_renamed
 from tidemark.functions.text import py_strip
 from tidemark.operators import perturb as P
+from tidemark.plans import records
 from tidemark.plans.perturb import roundtrip_resolve
 
 SF001 = "/root/testdata/sf0.001"
@@ -52,3 +53,18 @@ def test_renamed_texts_keep_gaps_at_both_ends(spark):
     assert got["\n=="] == "\n==" and got[""] == "" and got[None] is None
     assert re.fullmatch(r" [a-p]{5}=1 ", got[" x=1 "]) and re.fullmatch(r"[a-p]{5}=1", got["x=1"])
     assert re.fullmatch(r"é ([a-p]{5}) = \1\x00é", got["é x = x\x00é"])
+
+
+def test_rounds_read_the_recorded_runs_once(spark, monkeypatch):
+    calls = []
+    made = records.actual_outputs
+    monkeypatch.setattr(records, "actual_outputs", lambda *a: calls.append(a) or made(*a))
+    gated = []
+    gate = records.with_gate
+    monkeypatch.setattr(records, "with_gate", lambda df, col: gated.append((df, col)) or gate(df, col))
+    out = records.attempts_by_rounds(spark, SF001)
+    assert len(calls) == 1 and out.select("id").distinct().count() == out.count() > 0
+    assert len(gated) == records.ROUNDS
+    for df, col in gated:  # records with tests pass by their tests, so the gate sees nothing of them
+        assert df.where(F.col("grade") == "fine").where(F.col(col).isNotNull()).isEmpty()
+        assert not df.where(F.col("grade") != "fine").where(F.col(col).isNotNull()).isEmpty()
