@@ -75,3 +75,15 @@ def test_rare_toxic_wording_and_copies_of_labelled_texts_are_found(spark):
     assert [out[i].predicted for i in (5000, 5001, 5002, 5003)] == [1, 1, 1, 0]
     assert out[5001].evidence[0] == len(texts) - 1
     assert all(out[i].predicted for i in range(len(texts)))
+
+
+def test_openings_that_words_share_are_looked_up_once(monkeypatch):
+    digest, asked = toxicity.xxhash.xxh64_intdigest, []
+    words = [b"running", b"runner", b"runnable", "rünning".encode(), "rünner".encode(), b"run", b"other"]
+    hashes = sorted({h for w in words[:-1] for h in toxicity.term_hashes(w)})
+    lookup = toxicity.Lookup(np.array(hashes), {w[:4] for w in words})
+    want = [sorted(hashes.index(h) for h in toxicity.term_hashes(w) if h in hashes) for w in words]
+    monkeypatch.setattr(toxicity.xxhash, "xxh64_intdigest", lambda b: asked.append(b) or digest(b))
+    text, term, n = lookup.counts([w.decode() for w in words])
+    assert [term[text == i].tolist() for i in range(len(words))] == want and set(n.tolist()) == {1}
+    assert len(asked) == len(set(asked))

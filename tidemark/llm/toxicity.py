@@ -81,24 +81,46 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def term_hashes(word: bytes) -> list[int]:
-    """64-bit hashes of a word and of its openings, which end in a star, as signed numbers."""
+def openings(word: bytes) -> list[bytes]:
+    """The openings of a word, which end in a star."""
+    if word.isascii():
+        return [word[:k] + b"*" for k in OPENINGS if len(word) > k]
     text = word.decode("utf-8", "surrogatepass")
-    terms = [word, *(text[:k].encode("utf-8", "surrogatepass") + b"*" for k in OPENINGS if len(text) > k)]
-    return [_signed(h) for h in map(xxhash.xxh64_intdigest, terms)]
+    return [text[:k].encode("utf-8", "surrogatepass") + b"*" for k in OPENINGS if len(text) > k]
+
+
+def term_hashes(word: bytes) -> list[int]:
+    """64-bit hashes of a word and of its openings as signed numbers."""
+    return [_signed(h) for h in map(xxhash.xxh64_intdigest, (word, *openings(word)))]
 
 
 class _Codes(dict):
-    """word -> code; the terms of the word with code c are terms[starts[c]:starts[c + 1]]. New words are looked up once."""
+    """word -> code; the terms of the word with code c are terms[starts[c]:starts[c + 1]]. New words are looked up once.
+
+    ``number`` has the terms by their unsigned hashes. Openings shared by many words are looked up once too. Words
+    without a term have code 0.
+    """
 
     def __init__(self, number: dict[int, int], stems: set[bytes]):
         super().__init__()
-        self.number, self.stems, self.starts, self.terms = number, stems, [0], []
+        self.number, self.stems, self.starts, self.terms, self.opened = number, stems, [0, 0], [], {}
 
     def __missing__(self, word: bytes) -> int:
-        known = self.number.get
-        hashes = term_hashes(word) if word[:OPENINGS[0]] in self.stems else (_signed(xxhash.xxh64_intdigest(word)),)
-        self.terms += [t for h in hashes if (t := known(h)) is not None]
+        t = self.number.get(xxhash.xxh64_intdigest(word))
+        terms = [] if t is None else [t]
+        if word[:OPENINGS[0]] in self.stems:
+            opened = self.opened
+            for o in openings(word):
+                if o in opened:
+                    t = opened[o]
+                else:
+                    t = opened[o] = self.number.get(xxhash.xxh64_intdigest(o))
+                if t is not None:
+                    terms.append(t)
+        if not terms:
+            self[word] = 0
+            return 0
+        self.terms += terms
         self.starts.append(len(self.terms))
         code = self[word] = len(self.starts) - 2
         return code
@@ -122,7 +144,7 @@ class Lookup:
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, term, count), in order of text and term."""
         if self._number is None:
-            self._number = dict(zip(self.hashes.tolist(), range(len(self.hashes)), strict=True))
+            self._number = dict(zip(self.hashes.view(np.uint64).tolist(), range(len(self.hashes)), strict=True))
         if self._codes is None or len(self._codes) > MEMO_WORDS:
             self._codes = _Codes(self._number, self.stems)
         codes = self._codes
@@ -181,15 +203,23 @@ class BlockMaxIndex:
             e, w = (x[self.begin[t]:self.begin[t + 1]] for x in (self.example, self.weight))
             self.blocks[e // self.block, k, e % self.block] = w
         self.top = self.blocks.max(axis=2, initial=0.0).T  # (common terms, blocks)
+        self.example = self.example.astype(np.intp)  # as bincount takes them
 
     def _rarer(self, terms: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
         """Scores from the postings of these terms."""
-        begin, end = self.begin[terms], self.begin[terms + 1]
-        ranges = list(zip(begin.tolist(), end.tolist(), strict=True))
-        if not ranges:
+        if not len(terms):
             return np.zeros(width)
-        return np.bincount(np.concatenate([self.example[a:b] for a, b in ranges]),
-                           np.repeat(weights, end - begin) * np.concatenate([self.weight[a:b] for a, b in ranges]), width)
+        begin, end = self.begin[terms], self.begin[terms + 1]
+        n = end - begin
+        place = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+        return np.bincount(self.example[place], np.repeat(weights, n) * self.weight[place], width)
+
+    def _least(self, scores: np.ndarray, k: int) -> np.ndarray:
+        """Per row a score that k examples reach at least: the k-th of the maxima over the examples at one place of all blocks."""
+        if self.block < k:
+            return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.zeros(len(scores))
+        most = scores.reshape(len(scores), self.n_blocks, self.block).max(axis=1, initial=0.0)
+        return np.partition(most, -k, axis=1)[:, -k]
 
     def nearest(self, vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the k nearest with a cosine above 0, nearest first."""
@@ -207,19 +237,18 @@ class BlockMaxIndex:
             at = self.place[terms]
             asked[i, at[at >= 0]] = weights[at >= 0]
             scores[i] = self._rarer(terms[at < 0], weights[at < 0], width)
-        least = np.partition(scores, -k, axis=1)[:, -k] if width >= k else np.zeros(len(vectors))
+        least = self._least(scores, k)
         bound = scores.reshape(len(vectors), self.n_blocks, self.block).max(axis=2, initial=0.0) + asked @ self.top
         visit = bound >= np.maximum(least - 1e-8, 1e-300)[:, None]
         for b in range(self.n_blocks):
             rows = np.flatnonzero(visit[:, b])
-            if len(rows):
+            if 2 * len(rows) > len(vectors):  # no copies of most rows
+                scores[:, b * self.block:(b + 1) * self.block] += asked @ self.blocks[b]
+            elif len(rows):
                 scores[rows, b * self.block:(b + 1) * self.block] += asked[rows] @ self.blocks[b]
         out = []
-        for row in scores:
-            if width > k:
-                at = np.flatnonzero(row >= max(np.partition(row, -k)[-k] - 1e-8, 1e-300))
-            else:
-                at = np.flatnonzero(row > 0)
+        for row, low in zip(scores, self._least(scores, k), strict=True):
+            at = np.flatnonzero(row >= max(low - 1e-8, 1e-300))
             cosine = np.round(row[at], 9)
             best = np.lexsort((at, -cosine))[:k]
             out.append((at[best], cosine[best]))
@@ -290,9 +319,9 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, set[bytes]]
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own: dict[int, bytes | None] = {}
                 for w in set(words_of(text)):
-                    whole, *openings = term_hashes(w)
+                    whole, *opened = term_hashes(w)
                     own[whole] = None
-                    for h in openings:
+                    for h in opened:
                         own.setdefault(h, w[:OPENINGS[0]])
                 for h, stem in own.items():
                     if h not in total:
