@@ -1,3 +1,6 @@
+import pickle
+import tracemalloc
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +90,39 @@ def test_openings_that_words_share_are_looked_up_once(monkeypatch):
     text, term, n = lookup.counts([w.decode() for w in words])
     assert [term[text == i].tolist() for i in range(len(words))] == want and set(n.tolist()) == {1}
     assert len(asked) == len(set(asked))
+
+
+def test_lookup_keeps_no_words_between_calls():
+    words = [f"{a}{b}word" for a in map(chr, range(97, 123)) for b in ("ab", "cd", "ef", "gh")]
+    words = [a + b for a in words for b in words]
+    lookup = toxicity.Lookup(np.array(sorted(h for w in words[:5000] for h in toxicity.term_hashes(w.encode())[:1])), set())
+    lookup.counts(words[:10])
+    tracemalloc.start()
+    try:
+        n = sum(len(lookup.counts(words[at:at + 500])[0]) for at in range(0, len(words), 500))
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert n == 5000 and kept < 100_000 and most < 1_000_000
+
+
+def test_postings_stay_small_after_blocks_are_made():
+    rng = np.random.default_rng(1)
+    vectors = [(t, np.full(len(t), 0.2)) for t in (np.unique(rng.integers(0, 2000, 50)) for _ in range(1500))]
+    index = toxicity.BlockMaxIndex(vectors, [0] * len(vectors), list(range(len(vectors))), 2000)
+    sent = pickle.loads(pickle.dumps(index))
+    assert [c.tolist() for _, c in sent.search(vectors[:70])] == [c.tolist() for _, c in index.search(vectors[:70])]
+    assert sent.example.itemsize == 2
+
+
+def test_scores_do_not_depend_on_how_texts_are_portioned(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{chr(97 + (i * k) % 26)}{'xy'[i % 2]}abc" for k in range(1, 30))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, ""), (62, "12 34")], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marked, 2, 9)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    whole = model.scores(texts)
+    monkeypatch.setattr(toxicity, "PORTION", 200)
+    assert model.scores(texts) == whole
+    out = toxicity.score_toxicity(docs, marked, 2, 9).orderBy("doc_id").collect()
+    assert [(r.score, r.evidence) for r in out] == whole

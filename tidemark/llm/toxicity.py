@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from itertools import chain, pairwise
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_bucket, slices
+from tidemark.llm.common import fold_bucket, in_tasks, slices
 from tidemark.llm.samples import label_share, labelled_sample
 
 FOLDS, HELD_OUT = 4, 2
@@ -52,9 +54,7 @@ TOGETHER = 64
 SHRINK = 0.3
 THRESHOLD = 0.3
 #: Characters whose words are looked up together.
-PORTION = 4_000_000
-#: Words whose terms a worker remembers.
-MEMO_WORDS = 150_000
+PORTION = 1_000_000
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _SIGNS = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80-\x8f][\x80-\xbf]")
 
@@ -94,68 +94,57 @@ def term_hashes(word: bytes) -> list[int]:
     return [_signed(h) for h in map(xxhash.xxh64_intdigest, (word, *openings(word)))]
 
 
-class _Codes(dict):
-    """word -> code; the terms of the word with code c are terms[starts[c]:starts[c + 1]]. New words are looked up once.
-
-    ``number`` has the terms by their unsigned hashes. Openings shared by many words are looked up once too. Words
-    without a term have code 0.
-    """
-
-    def __init__(self, number: dict[int, int], stems: set[bytes]):
-        super().__init__()
-        self.number, self.stems, self.starts, self.terms, self.opened = number, stems, [0, 0], [], {}
-
-    def __missing__(self, word: bytes) -> int:
-        t = self.number.get(xxhash.xxh64_intdigest(word))
-        terms = [] if t is None else [t]
-        if word[:OPENINGS[0]] in self.stems:
-            opened = self.opened
-            for o in openings(word):
-                if o in opened:
-                    t = opened[o]
-                else:
-                    t = opened[o] = self.number.get(xxhash.xxh64_intdigest(o))
-                if t is not None:
-                    terms.append(t)
-        if not terms:
-            self[word] = 0
-            return 0
-        self.terms += terms
-        self.starts.append(len(self.terms))
-        code = self[word] = len(self.starts) - 2
-        return code
-
-
 class Lookup:
     """Texts -> counts of the known terms, given by their hashes in ascending order.
 
     ``stems`` are the first bytes of the words that have known openings; other words are looked up whole only.
+    Nothing is kept from one call to the next but the hashes, so a worker's memory is bounded by the texts of a call.
     """
 
     def __init__(self, hashes: np.ndarray, stems: set[bytes]):
-        self.hashes, self.stems, self._codes, self._number = hashes, stems, None, None
-
-    def __getstate__(self):
-        return {"hashes": self.hashes, "stems": self.stems}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
+        self.hashes, self.stems = hashes, stems
+
+    def _find(self, names: Iterable[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the names are terms, the terms' numbers)."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, n).view(np.int64)
+        at = np.searchsorted(self.hashes, h)
+        known = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == h)
+        return known, at[known]
+
+    def _terms(self, words: Iterable[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, terms) of distinct words: those of the word i are terms[starts[i]:starts[i + 1]].
+
+        Openings that words share are looked up once.
+        """
+        opened: defaultdict[bytes, int] = defaultdict(count().__next__)
+        owner, which = array("q"), array("q")
+        for i, w in enumerate(words):
+            if w[:OPENINGS[0]] in self.stems:
+                for o in openings(w):
+                    owner.append(i)
+                    which.append(opened[o])
+        whole, terms = self._find(words, n)
+        some, found = self._find(opened, len(opened))
+        number = np.full(len(opened), -1)
+        number[some] = found
+        number = number[np.array(which, np.int64)]
+        owners = np.r_[whole, np.array(owner, np.int64)[number >= 0]]
+        by = np.argsort(owners, kind="stable")
+        return np.searchsorted(owners, np.arange(n + 1), sorter=by), np.r_[terms, number[number >= 0]][by]
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, term, count), in order of text and term."""
-        if self._number is None:
-            self._number = dict(zip(self.hashes.view(np.uint64).tolist(), range(len(self.hashes)), strict=True))
-        if self._codes is None or len(self._codes) > MEMO_WORDS:
-            self._codes = _Codes(self._number, self.stems)
-        codes = self._codes
-        lists = [words_of(t) for t in texts]
-        sizes = np.array([len(ws) for ws in lists], np.int64)
-        code = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-        starts, terms = np.array(codes.starts, np.int64), np.array(codes.terms, np.int64)
+        if not len(self.hashes):
+            return (np.zeros(0, np.int64),) * 3
+        codes: defaultdict[bytes, int] = defaultdict(count().__next__)
+        coded = [np.array([codes[w] for w in words_of(t)], np.int32) for t in texts]
+        starts, terms = self._terms(codes, len(codes))
+        sizes = [len(c) for c in coded]
+        code = np.concatenate([np.zeros(0, np.int32), *coded])
         place, which = _ranges(starts[code], starts[code + 1])
-        text = np.repeat(np.arange(len(lists)), sizes)[which]
-        key, n = np.unique(text * max(len(self.hashes), 1) + terms[place], return_counts=True)
-        return key // max(len(self.hashes), 1), key % max(len(self.hashes), 1), n
+        text = np.repeat(np.arange(len(coded)), sizes)[which]
+        key, n = np.unique(text * len(self.hashes) + terms[place], return_counts=True)
+        return key // len(self.hashes), key % len(self.hashes), n
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +174,8 @@ class BlockMaxIndex:
         by = np.argsort(term, kind="stable")
         self.begin = np.searchsorted(term, np.arange(n_terms + 1), sorter=by).astype(np.int64)
         del term
-        self.example = np.repeat(np.arange(len(order), dtype=np.int32), [len(pairs[i][0]) for i in order])[by]
+        small = np.min_scalar_type(max(len(order), block))  # two bytes an entry instead of eight
+        self.example = np.repeat(np.arange(len(order), dtype=small), [len(pairs[i][0]) for i in order])[by]
         self.weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])[by]
         held = np.diff(self.begin)
         common = np.argsort(-held, kind="stable")[:head]
@@ -203,7 +193,6 @@ class BlockMaxIndex:
             e, w = (x[self.begin[t]:self.begin[t + 1]] for x in (self.example, self.weight))
             self.blocks[e // self.block, k, e % self.block] = w
         self.top = self.blocks.max(axis=2, initial=0.0).T  # (common terms, blocks)
-        self.example = self.example.astype(np.intp)  # as bincount takes them
 
     def _rarer(self, terms: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
         """Scores from the postings of these terms."""
@@ -315,22 +304,24 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, set[bytes]]
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            total: dict[int, list] = {}
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own: dict[int, bytes | None] = {}
-                for w in set(words_of(text)):
-                    whole, *opened = term_hashes(w)
-                    own[whole] = None
-                    for h in opened:
-                        own.setdefault(h, w[:OPENINGS[0]])
-                for h, stem in own.items():
-                    if h not in total:
-                        total[h] = [0, 0, stem]
-                    total[h][label] += 1
-            if total:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(total), pa.int64()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(2)),
-                     pa.array([v[2] for v in total.values()], pa.binary())], names=["term", "clean", "toxic", "stem"])
+            texts = b.column(1).to_pylist()
+            for some in portions(texts):
+                total: tuple[Counter, Counter] = Counter(), Counter()  # of clean and toxic examples
+                stem: dict[int, bytes | None] = {}
+                for label, text in zip(b.column(0)[some.start:some.stop].to_pylist(), texts[some], strict=True):
+                    own: dict[int, bytes | None] = {}
+                    for w in set(words_of(text)):
+                        whole, *opened = term_hashes(w)
+                        own[whole] = None
+                        for h in opened:
+                            own.setdefault(h, w[:OPENINGS[0]])
+                    total[label].update(own.keys())
+                    for h, s in own.items():
+                        stem.setdefault(h, s)
+                if stem:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(stem, pa.int64()), *(pa.array([t[h] for h in stem], pa.int64()) for t in total),
+                         pa.array(stem.values(), pa.binary())], names=["term", "clean", "toxic", "stem"])
 
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -384,16 +375,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     weight = weight * (np.log((1.0 + n) / (1.0 + df)) + 1.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, TOGETHER):
-            text, term, count = lookup.counts(b.column(2).to_pylist())
-            cut = np.searchsorted(text, np.arange(b.num_rows + 1))
-            units = [unit_arrays(term[i:j], count[i:j], weight) for i, j in pairwise(cut)]
-            begin = pa.array(np.cumsum([0, *(len(t) for t, _ in units)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1),
-                 pa.ListArray.from_arrays(begin, pa.array(np.concatenate([t for t, _ in units]), pa.int32())),
-                 pa.ListArray.from_arrays(begin, pa.array(np.concatenate([w for _, w in units]), pa.float64()))],
-                names=["doc_id", "label", "t", "w"])
+        for b in slices(batches):
+            texts = b.column(2).to_pylist()
+            for some in portions(texts):
+                part = b.slice(some.start, some.stop - some.start)
+                text, term, n = lookup.counts(texts[some])
+                cut = np.searchsorted(text, np.arange(part.num_rows + 1))
+                units = [unit_arrays(term[i:j], n[i:j], weight) for i, j in pairwise(cut)]
+                begin = pa.array(np.cumsum([0, *(len(t) for t, _ in units)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1),
+                     pa.ListArray.from_arrays(begin, pa.array(np.concatenate([t for t, _ in units]), pa.int32())),
+                     pa.ListArray.from_arrays(begin, pa.array(np.concatenate([w for _, w in units]), pa.float64()))],
+                    names=["doc_id", "label", "t", "w"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(
@@ -411,12 +405,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT,
                    threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence (ids of the nearest examples)."""
-    model = fit(docs, labels, folds, held_out)
+    model = in_tasks(docs.sparkSession, fit(docs, labels, folds, held_out))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = model.scores(b.column(1).to_pylist())
+            found = model().scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _ in found], pa.float64()),
                  pa.array([e for _, e in found], pa.list_(b.column(0).type))], names=["doc_id", "score", "evidence"])
@@ -428,12 +422,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns; a narrow map."""
-    model = fit(docs, labels)
+    model = in_tasks(docs.sparkSession, fit(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            good = [s < threshold for s, _ in model.scores(b.column(at).to_pylist())]
+            good = [s < threshold for s, _ in model().scores(b.column(at).to_pylist())]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
