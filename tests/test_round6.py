@@ -111,3 +111,17 @@ def test_largest_batches_hold_a_program_over_their_ends():
     got = [(k[0], len(rows)) for k, rows in P.groups(iter([batch([1, 1, 2]), batch([]), batch([2, 2, 3]), batch([3])]), 1, rows=2)]
     assert got == [(1, 2), (2, 3), (3, 2)]
     assert Counter(P.words_of(" a  b\x0b")) == Counter(["a", "b"])
+
+
+def test_block_queries_are_those_of_the_frames(spark):
+    rows = [(i, lang, t[0]) for i, lang, t in _programs(9, 300, STRAIGHT[:10] + BLOCKS + BLOCKS)] + [(None, "Java", "x = y;")]
+    df = spark.createDataFrame(rows, "id long, lang string, text string").repartition(3, "id")
+    tok = D.token_table(df, ["id"], "text", "lang", layout=True)
+    sig = S.subtree_signatures(S.code_structure_tokens(tok, ["id"]), ["id"]).groupBy("id", "signature").agg(F.count(F.lit(1)).alias("cnt"))
+    assert sorted(P.signature_counts(df, "id", "text", "lang").collect()) == sorted(sig.collect())
+    uses = D.merged_uses(tok, ["id"]).collect()
+    line = {(r["id"], r["pos"]): r["line"] for r in uses}
+    want = sorted((r["id"], r["line"], r["token"], line[r["id"], d]) for r in uses for d in r["defs"])
+    got = P.reached_lines(df, "id", "text", "lang")
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
