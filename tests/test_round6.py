@@ -16,6 +16,7 @@ from tidemark.operators import inrow as P
 from tidemark.operators import structure as S
 from tidemark.operators import weighted as W
 from tidemark.plans import codebleu as C
+from tidemark.sources import files as FS
 
 SF001 = "/root/testdata/sf0.001"
 KEY = ["id", "member"]
@@ -125,3 +126,25 @@ def test_block_queries_are_those_of_the_frames(spark):
     got = P.reached_lines(df, "id", "text", "lang")
     assert sorted(map(tuple, got.collect())) == want and len(want) > 100
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_code_tree_on_a_mounted_file_system_is_that_of_sparks_writer(spark, tmp_path, monkeypatch):
+    rows = [("p1", "C++", "int a;"), ("p1", "C++", "int b;\n"), ("p/2", "Python", "é\r\nx"), ("p=3%", "Java", None), (None, "C", "c"), ("p1", "", "x"), ("p1", "Java", "")]
+    df = spark.createDataFrame(rows, "problem string, lang string, code string").repartition(3, "problem")
+    trees = []
+    for k, own in enumerate((True, False)):
+        root = tmp_path / str(k)
+        if not own:
+            monkeypatch.setattr(FS, "_mounted", lambda *a: None)
+        FS.write_code_tree(df, str(root))
+        FS.write_code_tree(df, str(root))  # overwrites
+        trees.append(sorted((str(p.parent.relative_to(root)), p.read_bytes()) for p in root.rglob("*.txt")))
+    assert trees[0] == trees[1] and len(trees[0]) == len(rows)
+    assert not list((tmp_path / "0").rglob(".*"))  # no checksum files, each of which costs a process
+    got = FS.read_code_tree(spark, str(tmp_path / "0"), {lang: "txt" for lang in FS.EXTENSIONS}).select("problem", "lang", "code").collect()
+    assert ("p1", "C++", "int a;\n") in [tuple(r) for r in got]
+
+
+def test_other_stores_take_sparks_writer(spark):
+    assert FS._mounted(spark, "/a/b") == "/a/b" and FS._mounted(spark, "file:///a/b") == "/a/b" and FS._mounted(spark, "file:/a") == "/a"
+    assert FS._mounted(spark, "hdfs://n/a") is None and FS._mounted(spark, "s3a://b/a") is None and FS._mounted(spark, "a/b") is None
