@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bleu_formulas as BF
 from tidemark.functions.text import line_tokens, word_tokens
+from tidemark.operators import attempts as AT
 from tidemark.operators import bleu as B
 from tidemark.operators import dataflow as D
 from tidemark.operators import inrow as P
 from tidemark.operators import structure as S
 from tidemark.operators import weighted as W
 from tidemark.plans import codebleu as C
+from tidemark.session import kept
 from tidemark.sources import files as FS
 
 SF001 = "/root/testdata/sf0.001"
@@ -148,3 +150,22 @@ def test_code_tree_on_a_mounted_file_system_is_that_of_sparks_writer(spark, tmp_
 def test_other_stores_take_sparks_writer(spark):
     assert FS._mounted(spark, "/a/b") == "/a/b" and FS._mounted(spark, "file:///a/b") == "/a/b" and FS._mounted(spark, "file:/a") == "/a"
     assert FS._mounted(spark, "hdfs://n/a") is None and FS._mounted(spark, "s3a://b/a") is None and FS._mounted(spark, "a/b") is None
+
+
+def test_listing_of_a_tree_leaves_the_setting(spark, tmp_path):
+    before = spark.conf.get(FS._LISTING)
+    seen = []
+    with FS._few_listing_tasks(spark):
+        seen.append(int(spark.conf.get(FS._LISTING)))
+    assert seen[0] < int(before) and spark.conf.get(FS._LISTING) == before
+
+
+def test_rounds_keep_of_a_resolved_record_its_text_only(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(AT, "kept", lambda df, name: frames.append(out := kept(df, name)) or out)
+    records = spark.createDataFrame([(k, "c" * 50, [k]) for k in range(9)], "id long, code string, `a.b` array<long>")
+    done, left = AT.attempt_rounds(records, lambda o, k: o.select("id", F.concat("code", F.lit(str(k))).alias("text")),
+                                   lambda t: t.withColumn("usable", F.col("id") % 3 == 0), 2)
+    assert {r["id"] for r in done.collect()} == {0, 3, 6} and {r["text"][-1] for r in left.collect()} == {"2"}
+    for f in frames[1:]:
+        assert all((r["code"] is None) == r["usable"] == (r["a.b"] is None) for r in f.collect())
